@@ -67,7 +67,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str
     if not options:
         return urls.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     fits = F.filter(F.array(*options), lambda o: (o.labels <= n) & (o.chars <= F.length("path")))
-    made = pairs.select("host", "path", F.explode(fits).alias("o")).select("host", "path", F.substring_index("host", ".", -F.col("o.labels")).alias("suffix"), F.substr(F.col("path"), F.lit(1), F.col("o.chars")).alias("start"))
+    made = pairs.select("host", "path", F.explode(fits).alias("o")).select("host", "path", F.call_function("substring_index", F.col("host"), F.lit("."), -F.col("o.labels")).alias("suffix"), F.substr(F.col("path"), F.lit(1), F.col("o.chars")).alias("start"))
     made = made.withColumn("url_digest", _digest(F.col("suffix"), F.col("start"))).withColumn("prefix", _prefix(F.col("url_digest")))
     hits = made.join(keyed, "prefix").where("url_digest = digest")
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict"), F.struct(F.length("rule_host"), F.length("rule_path"))).alias("won"))
