@@ -42,6 +42,16 @@ FROM c LEFT JOIN LATERAL (
   ORDER BY length(rule_host) DESC, length(rule_path) DESC LIMIT 1) w ON true
 """
 
+OP4 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, strlen(h)::bigint AS payload_bytes, sha1(h) AS payload_digest FROM p),
+m AS (SELECT payload_digest, max(page_id) AS latest FROM q WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN latest IS NOT NULL AND page_id <> latest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> latest THEN latest END AS refers_to
+FROM q LEFT JOIN m USING (payload_digest)
+"""
+
 _WORDS = ", ".join(f"'{w}'" for w in quality.COMMON_WORDS)
 _CLASSES = ", ".join(f"length(t) - length(regexp_replace(t, '{p.replace(chr(39), chr(39) * 2).replace(chr(92) + chr(39) * 2, chr(39) * 2)}', '', 'g')) AS c_{k}" for k, p in quality.CHAR_CLASSES.items())
 _BINS = [f"c_{k}" for k in quality.CHAR_CLASSES]

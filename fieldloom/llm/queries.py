@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat, oracles, quality, sharding, url_filter
+from fieldloom.llm import chat, oracles, quality, sharding, url_filter, warc
 from fieldloom.llm.common import table
 
 #: The rules of the query, as text: host, path, verdict.
@@ -25,6 +25,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    page = F.nullif(F.regexp_extract(F.col("metadata")[0]["fields"], r"page-id: (-?\d+)", 1), F.lit("")).cast("long")
+    found = captures.select(page.alias("page_id"), "capture_id", F.coalesce("response.payload_bytes", "original.payload_bytes").alias("payload_bytes"), F.coalesce("response.payload_sha1", "original.payload_sha1").alias("payload_digest"), F.col("response.kind").alias("record_type"), F.col("original.record_id").alias("original_id"))
+    names = found.where("record_type = 'response'").select(F.col("capture_id").alias("original_id"), F.col("page_id").alias("refers_to"))
+    return found.join(names, "original_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -37,5 +45,5 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_url_filter, op5_histogram_shards, op8_quality_rules)}
-ORACLES = {"op1_chat_perspectives": oracles.OP1, "op2_url_filter": oracles.OP2, "op8_quality_rules": oracles.OP8}
+QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_url_filter, op4_warc_transactions, op5_histogram_shards, op8_quality_rules)}
+ORACLES = {"op1_chat_perspectives": oracles.OP1, "op2_url_filter": oracles.OP2, "op4_warc_transactions": oracles.OP4, "op8_quality_rules": oracles.OP8}
