@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat, mixing, oracles, quality, sharding, url_filter, warc
+from fieldloom.llm import chat, mixing, oracles, quality, sharding, sketch, url_filter, warc
 from fieldloom.llm.common import table
 
 #: The rules of the query, as text: host, path, verdict.
@@ -49,5 +49,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_url_filter, op4_warc_transactions, op5_histogram_shards, op7_source_mix, op8_quality_rules)}
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints_with_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_url_filter, op4_warc_transactions, op5_histogram_shards, op7_source_mix, op8_quality_rules, op9_fingerprints)}
 ORACLES = {"op1_chat_perspectives": oracles.OP1, "op2_url_filter": oracles.OP2, "op4_warc_transactions": oracles.OP4, "op8_quality_rules": oracles.OP8}
