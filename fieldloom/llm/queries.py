@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat, mixing, oracles, quality, sharding, sketch, url_filter, warc
+from fieldloom.llm import chat, mixing, oracles, packing, quality, sharding, sketch, url_filter, warc
 from fieldloom.llm.common import table
 
 #: The rules of the query, as text: host, path, verdict.
@@ -41,6 +41,12 @@ def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -53,5 +59,5 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints_with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_url_filter, op4_warc_transactions, op5_histogram_shards, op7_source_mix, op8_quality_rules, op9_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_url_filter, op4_warc_transactions, op5_histogram_shards, op6_packed_sequences, op7_source_mix, op8_quality_rules, op9_fingerprints)}
 ORACLES = {"op1_chat_perspectives": oracles.OP1, "op2_url_filter": oracles.OP2, "op4_warc_transactions": oracles.OP4, "op8_quality_rules": oracles.OP8}
