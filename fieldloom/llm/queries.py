@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat, mixing, oracles, packing, quality, sharding, sketch, url_filter, warc
+from fieldloom.llm import chat, mixing, neardup, oracles, packing, quality, sharding, sketch, url_filter, warc
 from fieldloom.llm.common import table
 
 #: The rules of the query, as text: host, path, verdict.
@@ -25,6 +25,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     page = F.nullif(F.regexp_extract(F.col("metadata")[0]["fields"], r"page-id: (-?\d+)", 1), F.lit("")).cast("long")
@@ -59,5 +63,5 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints_with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_url_filter, op4_warc_transactions, op5_histogram_shards, op6_packed_sequences, op7_source_mix, op8_quality_rules, op9_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_url_filter, op3_minhash_classes, op4_warc_transactions, op5_histogram_shards, op6_packed_sequences, op7_source_mix, op8_quality_rules, op9_fingerprints)}
 ORACLES = {"op1_chat_perspectives": oracles.OP1, "op2_url_filter": oracles.OP2, "op4_warc_transactions": oracles.OP4, "op8_quality_rules": oracles.OP8}
