@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat, mixing, neardup, oracles, packing, quality, sharding, sketch, url_filter, warc
+from fieldloom.llm import chat, mixing, neardup, oracles, packing, quality, sharding, sketch, substring, url_filter, warc
 from fieldloom.llm.common import table
 
 #: The rules of the query, as text: host, path, verdict.
@@ -63,5 +63,11 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints_with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_url_filter, op3_minhash_classes, op4_warc_transactions, op5_histogram_shards, op6_packed_sequences, op7_source_mix, op8_quality_rules, op9_fingerprints)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.deduplicate_substrings(table(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, n: x + n)
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_url_filter, op3_minhash_classes, op4_warc_transactions, op5_histogram_shards, op6_packed_sequences, op7_source_mix, op8_quality_rules, op9_fingerprints, op10_substring_dedup)}
 ORACLES = {"op1_chat_perspectives": oracles.OP1, "op2_url_filter": oracles.OP2, "op4_warc_transactions": oracles.OP4, "op8_quality_rules": oracles.OP8}
