@@ -81,7 +81,7 @@ def document_features(docs: DataFrame) -> DataFrame:
 def jensen_shannon(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance (root of the divergence in bits, 0 to 1) of two histograms; null where one is empty."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-    shares = lambda x: F.transform(x, lambda v: v.cast("double") / F.nullif(total(x), F.lit(0.0)))
+    shares = lambda x: let(F.nullif(total(x), F.lit(0.0)), lambda t: F.transform(x, lambda v: v.cast("double") / t))
     part = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
     terms = F.zip_with(shares(p), shares(q), lambda a, b: 0.5 * (part(a, b) + part(b, a)))
     sum_of = F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)
