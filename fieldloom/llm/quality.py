@@ -27,6 +27,8 @@ SYMBOLS = "#*$%&|<>"
 CHAR_CLASSES = {"upper": "[A-Z]+", "digit": "[0-9]+", "mark": r"[.,;:!?'\"()\[\]{}/\\@=_+~^`-]+", "symbol": r"[#*$%&|<>]+", "wide": r"[^\x00-\x7F]+"}
 #: Largest distances that pass, and the fewest words and common words for which a distance counts.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_WORDS, MIN_COMMON = 0.30, 0.90, 50, 30
+#: Rejected texts are broadcast up to this many (under 50 bytes each).
+BROADCAST_ROWS = 500_000
 WINDOW, MIN_BASE_WORDS, MAX_REPEAT_SHARE = 3, 50, 50
 
 
@@ -51,14 +53,14 @@ def _without(text: Column, pattern: str) -> Column:
 
 
 def document_features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the counts of each row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars, common (histograms)."""
+    """doc_id, lang, text_key (MD5) and the counts of each row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars, common (histograms)."""
     text = F.coalesce("text", F.lit(""))
     src = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), text.alias("t"), F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)).alias("w"))
     lines = F.filter(F.split("t", "\n"), lambda x: F.regexp_like(x, F.lit(WORD)))
     codes = F.create_map(*[F.lit(x) for pair in zip(COMMON_WORDS, CODES, strict=True) for x in pair])
     known = F.transform(F.filter(F.transform("w", lambda x: F.lower(x)), lambda x: x.isin(*COMMON_WORDS)), lambda x: codes[x])
     found = src.select(
-        "doc_id", "lang", "t", F.size("w").cast("long").alias("n_words"),
+        "doc_id", "lang", "t", F.unhex(F.md5(F.col("t").cast("binary"))).alias("text_key"), F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.length("t").alias("n_chars"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
@@ -72,7 +74,7 @@ def document_features(docs: DataFrame) -> DataFrame:
         rest = rest - F.col(f"c_{k}")
     n_codes = F.length("codes")
     return counts.select(
-        "doc_id", "lang", "n_words", "word_chars", F.col("c_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
+        "doc_id", "lang", "text_key", "n_words", "word_chars", F.col("c_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
         F.array(space.cast("long"), rest, *[F.col(f"c_{k}") for k in CHAR_CLASSES]).alias("chars"),
         F.array(*[(n_codes - F.length(F.replace("codes", F.lit(c), F.lit("")))).cast("long") for c in CODES]).alias("common"),
     )
@@ -88,6 +90,17 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return F.sqrt(F.when(sum_of < 0, 0.0).otherwise(sum_of))
 
 
+def _judged(docs: DataFrame, max_char: float, max_word: float, min_words: int, min_common: int) -> DataFrame:
+    features = written(document_features(docs), "quality-features")
+    sums = lambda name, n: F.array(*[F.sum(F.col(name)[i]) for i in range(n)]).alias(f"all_{name}")
+    reference = features.groupBy("lang").agg(sums("chars", 2 + len(CHAR_CLASSES)), sums("common", len(COMMON_WORDS)))
+    seen = features.join(reference, "lang", "left")
+    failed = (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words"))
+    seen = seen.withColumns({"base_failed": failed, "char_distance": jensen_shannon(F.col("chars"), F.col("all_chars")), "word_distance": jensen_shannon(F.col("common"), F.col("all_common")), "n_common": F.aggregate("common", F.lit(0).cast("long"), lambda a, v: a + v)})
+    far = ((F.col("n_words") >= min_words) & (F.coalesce("char_distance", F.lit(0.0)) > max_char)) | ((F.col("n_common") >= min_common) & (F.coalesce("word_distance", F.lit(0.0)) > max_word))
+    return seen.withColumn("kept", ~F.col("base_failed") & ~far)
+
+
 def judge_quality(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_words: int = MIN_WORDS, min_common: int = MIN_COMMON) -> DataFrame:
     """One row for each row of docs (doc_id, text, lang; other columns are ignored).
 
@@ -100,11 +113,18 @@ def judge_quality(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word
     Spark broadcasts only under its threshold.  Repeated rows are judged
     alike; an empty table gives no rows.
     """
-    features = written(document_features(docs), "quality-features")
-    sums = lambda name, n: F.array(*[F.sum(F.col(name)[i]) for i in range(n)]).alias(f"all_{name}")
-    reference = features.groupBy("lang").agg(sums("chars", 2 + len(CHAR_CLASSES)), sums("common", len(COMMON_WORDS)))
-    seen = features.join(reference, "lang", "left")
-    failed = (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words"))
-    seen = seen.withColumns({"base_failed": failed, "char_distance": jensen_shannon(F.col("chars"), F.col("all_chars")), "word_distance": jensen_shannon(F.col("common"), F.col("all_common")), "n_common": F.aggregate("common", F.lit(0).cast("long"), lambda a, v: a + v)})
-    far = ((F.col("n_words") >= min_words) & (F.coalesce("char_distance", F.lit(0.0)) > max_char)) | ((F.col("n_common") >= min_common) & (F.coalesce("word_distance", F.lit(0.0)) > max_word))
-    return seen.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("char_distance", 4).alias("char_distance"), F.round("word_distance", 4).alias("word_distance"), (~F.col("base_failed") & ~far).alias("kept"))
+    seen = _judged(docs, max_char, max_word, min_words, min_common)
+    return seen.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("char_distance", 4).alias("char_distance"), F.round("word_distance", 4).alias("word_distance"), "kept")
+
+
+def keep_good_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that judge_quality keeps, with all their columns.
+
+    The verdict follows from text and lang, so rejected (text, lang) pairs are
+    taken out by an anti-join, broadcast only up to a number of rows.
+    """
+    rejected = _judged(docs, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_WORDS, MIN_COMMON).where(~F.col("kept")).select(F.col("text_key").alias("_key"), F.col("lang").alias("_lang")).distinct()
+    rejected = written(rejected, "rejected")
+    side = F.broadcast(rejected) if rejected.count() <= BROADCAST_ROWS else rejected
+    key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    return docs.join(side, (key == F.col("_key")) & (F.coalesce("lang", F.lit("")) == F.col("_lang")), "left_anti")
