@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 M_LON, M_LAT = 111320.0, 110540.0
 
 
+def _column(x: Column | str) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
 def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
@@ -31,8 +35,8 @@ def signed_area(ring: Column) -> Column:
     return F.when(F.size(ring) < 3, 0.0).otherwise(_sum(F.transform(edges(ring), lambda e: e.a.x * e.b.y - e.b.x * e.a.y)) / 2)
 
 
-def ring_area(ring: Column) -> Column:
-    return F.abs(signed_area(ring))
+def ring_area(ring: Column | str) -> Column:
+    return F.abs(signed_area(_column(ring)))
 
 
 def ring_area_m2(ring: Column) -> Column:
@@ -82,8 +86,9 @@ def frame_coverage(ring: Column, w: Column, h: Column) -> Column:
     return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)), F.lit(0.0))
 
 
-def centroid(ring: Column) -> Column:
+def centroid(ring: Column | str) -> Column:
     """Mean of the vertices."""
+    ring = _column(ring)
     mean = lambda f: _sum(F.transform(ring, f)) / F.size(ring)
     return F.struct(mean(lambda p: p.x).alias("x"), mean(lambda p: p.y).alias("y"))
 

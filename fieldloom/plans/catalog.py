@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as geo
 from fieldloom.functions import labels
-from fieldloom.operators import checks, frames, layout, signal
+from fieldloom.functions.crs import utm_forward
+from fieldloom.operators import checks, edits, frames, layout, signal
 from fieldloom.plans import derive
 from fieldloom.plans.derive import table, with_views
+from fieldloom.sources import records, vector
+from fieldloom.streaming import landing
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -501,3 +504,96 @@ def recipe_upsert(spark, sf_dir):
 def flags_joined(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("value > 50")
     return checks.flags_of(e.select(F.col("user_id").alias("plot"), F.col("event_id").alias("seq"), F.col("event_type").alias("flag"))).withColumnRenamed("plot", "user_id")
+
+
+# ---------------------------------------------------------------- sources, edits, events
+
+
+@query(with_views("plots", body="""SELECT plot_id, 4 AS corners, round(CASE WHEN plot_id % 2 = 0 THEN 4 ELSE 1 END * (x1 - x0) * (y1 - y0), 6) AS area, p_name AS name
+  FROM plots JOIN part ON p_partkey = plot_id"""))
+def geojson_polygons(spark, sf_dir):
+    """Features written as text and read back; every other one has a second part, twice as large each way, which counts."""
+    named = derive.plots(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("plot_id"), "p_name"), "plot_id")
+    rings = derive.rings(named)
+    feature = vector.geojson_feature(F.col("ring"), F.struct(F.col("p_name").alias("name")))
+    one = F.get_json_object(feature, "$.geometry.coordinates")
+    twice = F.to_json(F.array(F.transform(F.concat("ring", F.slice("ring", 1, 1)), lambda p: F.array(p.x * 2, p.y * 2))))
+    several = F.concat(F.lit('{"type":"MultiPolygon","coordinates":['), one, F.lit(","), twice, F.lit("]}"))
+    geometry = F.when(F.col("plot_id") % 2 == 0, several).otherwise(F.get_json_object(feature, "$.geometry"))
+    back = rings.select("plot_id", vector.polygon_of(geometry).alias("ring"), F.get_json_object(feature, "$.properties.name").alias("name"))
+    return back.select("plot_id", F.size("ring").alias("corners"), F.round(geo.ring_area("ring"), 6).alias("area"), "name")
+
+
+@query("""SELECT CASE WHEN event_id % 5 = 0 THEN 'ERR' WHEN event_id % 2 = 0 THEN 'OK' ELSE 'INFO' END AS kind, event_id::int AS job,
+  CASE WHEN event_id % 5 <> 0 THEN (100 + event_id % 900)::int END AS width, CASE WHEN event_id % 5 <> 0 THEN (200 + user_id)::int END AS height,
+  CASE WHEN event_id % 5 <> 0 AND event_id % 2 = 0 THEN 16 END AS bits, CASE WHEN event_id % 5 = 0 THEN 'no ' || event_type END AS message FROM events""")
+def helper_log(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    size = F.concat_ws(" ", "event_id", 100 + F.col("event_id") % 900, 200 + F.col("user_id"))
+    line = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("@@ERR "), F.col("event_id"), F.lit(" no "), F.col("event_type"))).when(F.col("event_id") % 2 == 0, F.concat(F.lit("@@OK "), size, F.lit(" 16"))).otherwise(F.concat(F.lit("@@INFO "), size, F.lit(" 7 7")))
+    return records.helper_log(e.select(line.alias("value")))
+
+
+@query("""SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k FROM events""")
+def recipe_settings(spark, sf_dir):
+    recipe = F.concat(F.lit('{"tiles":{"gui":'), F.coalesce("props", F.lit("null")), F.lit("}}"))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.try_element_at(records.recipe_section(recipe, "tiles"), F.lit("k")), F.lit("")).alias("k"))
+
+
+@query(with_views("plots", body="""SELECT plot_id, round((x1 - x0 + CASE WHEN plot_id % 3 = 0 THEN 0.2::double ELSE 0 END) * (y1 - y0 + CASE WHEN plot_id % 3 = 0 THEN -0.5::double ELSE 0 END), 6) AS area,
+  round(y0 + CASE WHEN plot_id % 3 = 0 THEN 0.25::double + 0.3::double ELSE 0 END, 6) AS low FROM plots"""))
+def plots_edited(spark, sf_dir):
+    """Every third plot shorter and wider, then shifted along its long axis."""
+    plots = derive.rings(derive.plots(spark, sf_dir))
+    chosen = plots.where("plot_id % 3 = 0").select("plot_id")
+    done = edits.shift_along(edits.resize(plots.select("plot_id", "ring"), -0.5, 0.2, chosen), 0.3, False, chosen)
+    return done.select("plot_id", F.round(geo.ring_area("ring"), 6).alias("area"), F.round(F.array_min(F.transform("ring", lambda p: p.y)), 6).alias("low"))
+
+
+@query(with_views("plots", body="SELECT plot_id, round((x0 + x1) / 2 + 3, 6) AS cx, round((y0 + y1) / 2 - 1, 6) AS cy, round(2.25::double * (x1 - x0) * (y1 - y0), 6) AS area FROM plots"))
+def plots_moved_and_scaled(spark, sf_dir):
+    done = edits.scale(edits.move(derive.rings(derive.plots(spark, sf_dir)), 3.0, -1.0), 1.5)
+    return done.select("plot_id", F.round(geo.centroid("ring").x, 6).alias("cx"), F.round(geo.centroid("ring").y, 6).alias("cy"), F.round(geo.ring_area("ring"), 6).alias("area"))
+
+
+@query("""WITH l AS (SELECT o_custkey AS plot_id, o_orderkey AS ord, o_totalprice % 1000 AS v, (o_orderkey % 9) / 2.0::double AS angle FROM orders)
+  SELECT plot_id, round(v, 4) AS v, round(angle, 4) AS angle, 'count' AS source, ord FROM l UNION ALL
+  SELECT c_custkey, 500.0, round(coalesce(median(angle), 0), 4), 'edit', coalesce(max(ord), 0) + 1 FROM customer LEFT JOIN l ON plot_id = c_custkey WHERE c_custkey % 4 = 0 GROUP BY c_custkey""")
+def rows_added(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("plot_id"), (F.col("o_totalprice") % 1000).alias("v"), ((F.col("o_orderkey") % 9) / 2).alias("angle"), F.lit("count").alias("source"), F.col("o_orderkey").alias("ord"))
+    new = table(spark, sf_dir, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("plot_id"), F.lit(500.0).alias("v"))
+    return edits.add_row(rows, new).select("plot_id", F.round("v", 4).alias("v"), F.round("angle", 4).alias("angle"), "source", "ord")
+
+
+@query()
+def utm_coordinates(spark, sf_dir):
+    t = table(spark, sf_dir, "customer")
+    lon, lat = F.col("c_acctbal") / 60 - 90, F.col("c_nationkey") * 6.0 - 70
+    zone = F.floor((lon + 180) / 6) + 1
+    p = t.select("c_custkey", utm_forward(lon, lat, zone, lat < 0).alias("p"))
+    return p.select("c_custkey", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def events_tumbling(spark, sf_dir):
+    return landing.tumbling_counts(table(spark, sf_dir, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("""SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS end, user_id, count(*) AS n FROM (
+  SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, k""")
+def event_sessions(spark, sf_dir):
+    form = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return landing.sessions(table(spark, sf_dir, "events")).select(form("start"), form("end"), "user_id", "n")
+
+
+@query("""WITH g AS (SELECT o_custkey AS g, o_orderkey AS k, (o_orderkey % 97) * 20 AS col, (o_orderkey % 89) * 20 AS row FROM orders),
+  p AS (SELECT a.g, sqrt((a.col - b.col) ** 2 + (a.row - b.row) ** 2) AS px FROM g a JOIN g b ON a.g = b.g AND a.k < b.k)
+  SELECT g, count(*) AS pairs, round(median(0.006::double * px / px), 6) AS scale FROM p WHERE px >= 50 GROUP BY g""")
+def gcp_scale_median(spark, sf_dir):
+    """Ground metres for each pixel from all pairs of a group's points that are 50 pixels apart; a group is a crop's few points."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("k"), ((F.col("o_orderkey") % 97) * 20).alias("col"), ((F.col("o_orderkey") % 89) * 20).alias("row"))
+    other = o.select("g", F.col("k").alias("k2"), F.col("col").alias("col2"), F.col("row").alias("row2"))
+    px = F.hypot(F.col("col") - F.col("col2"), F.col("row") - F.col("row2"))
+    ground = F.hypot(0.006 * (F.col("col") - F.col("col2")), 0.006 * (F.col("row") - F.col("row2")))
+    pairs = o.join(other, "g").where("k < k2").select("g", px.alias("px"), ground.alias("m")).where("px >= 50")
+    return pairs.groupBy("g").agg(F.count("*").alias("pairs"), F.round(F.median(F.col("m") / F.col("px")), 6).alias("scale"))
