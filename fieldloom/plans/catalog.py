@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import geometry as geo
 from fieldloom.functions import labels
 from fieldloom.functions.crs import utm_forward
-from fieldloom.operators import checks, edits, frames, layout, signal
+from fieldloom.operators import checks, edits, frames, layout, raster, signal
 from fieldloom.plans import derive
 from fieldloom.plans.derive import table, with_views
 from fieldloom.sources import records, vector
@@ -597,3 +597,97 @@ def gcp_scale_median(spark, sf_dir):
     ground = F.hypot(0.006 * (F.col("col") - F.col("col2")), 0.006 * (F.col("row") - F.col("row2")))
     pairs = o.join(other, "g").where("k < k2").select("g", px.alias("px"), ground.alias("m")).where("px >= 50")
     return pairs.groupBy("g").agg(F.count("*").alias("pairs"), F.round(F.median(F.col("m") / F.col("px")), 6).alias("scale"))
+
+
+# ---------------------------------------------------------------- rasters
+
+
+def _halves(spark, sf_dir):
+    """Pairs of patches as layers of one raster: the even one, then the odd one."""
+    p = derive.patches(spark, sf_dir)
+    return p.select(F.expr("vec_id div 2").alias("raster"), "row", "col", F.when((F.col("vec_id") % 2 == 0) & (F.col("row") + F.col("col") > 8), 0).otherwise(F.col("value")).alias("value"), (F.col("vec_id") % 2 + 1).alias("rank"), (1 + 0.7 * (F.expr("vec_id div 6") % 2 * (1 - F.col("vec_id") % 2))).alias("aniso"))
+
+
+_HALVES = "halves AS (SELECT vec_id // 2 AS raster, row, col, CASE WHEN vec_id % 2 = 0 AND row + col > 8 THEN 0 ELSE value END AS value, vec_id % 2 + 1 AS rank, 1 + 0.7::double * ((vec_id // 6) % 2 * (1 - vec_id % 2)) AS aniso FROM patches)"
+
+
+@query(with_views("patches", body="""SELECT p.vec_id, row, col, floor(255 * least(1, greatest(0, round((value - lo) / greatest(hi - lo, 1), 9))) + 0.5)::int AS shown
+  FROM patches p JOIN (SELECT vec_id, quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi FROM patches GROUP BY 1) e USING (vec_id)"""))
+def percentile_stretch(spark, sf_dir):
+    return raster.stretch(derive.patches(spark, sf_dir), "vec_id").select("vec_id", "row", F.col("col").cast("long").alias("col"), "shown")
+
+
+@query(with_views("patches", body="""SELECT vec_id, 0 AS level, row, col, value::double AS value FROM patches UNION ALL SELECT vec_id, 1, row // 2, col // 2, avg(value) FROM patches GROUP BY 1, 3, 4
+  UNION ALL SELECT vec_id, 2, row // 4, col // 4, avg(value) FROM patches GROUP BY 1, 3, 4 UNION ALL SELECT vec_id, 3, 0, 0, avg(value) FROM patches GROUP BY 1"""))
+def raster_pyramid(spark, sf_dir):
+    return raster.pyramid(derive.patches(spark, sf_dir), "vec_id", 3)
+
+
+@query(with_views("patches", body="SELECT vec_id, row - 2 AS row, col - 1 AS col, value FROM patches WHERE row BETWEEN 2 AND 6 AND col BETWEEN 1 AND 4"))
+def box_crop(spark, sf_dir):
+    return raster.crop(derive.patches(spark, sf_dir), 1, 2, 4, 5).select("vec_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value")
+
+
+@query(with_views("patches", body="") .rstrip() + ", " + _HALVES + """ SELECT raster, row, col, value, rank AS source FROM (SELECT *, row_number() OVER (PARTITION BY raster, row, col ORDER BY (aniso > 1.6)::int, rank) AS k FROM halves WHERE value > 0) WHERE k = 1""")
+def multi_frame_fill(spark, sf_dir):
+    return raster.filled(_halves(spark, sf_dir), "raster").select("raster", "row", F.col("col").cast("long").alias("col"), "value", F.col("source").cast("long").alias("source"))
+
+
+@query(with_views("patches", body="") .rstrip() + ", " + _HALVES + """, f AS (SELECT raster, row, col, rank AS source FROM (SELECT *, row_number() OVER (PARTITION BY raster, row, col ORDER BY (aniso > 1.6)::int, rank) AS k FROM halves WHERE value > 0) WHERE k = 1)
+  SELECT raster, median(row) AS seam, count(*) AS turns FROM (SELECT *, lag(source) OVER (PARTITION BY raster, col ORDER BY row) AS b FROM f) WHERE b IS NOT NULL AND b <> source GROUP BY 1""")
+def seam_position(spark, sf_dir):
+    return raster.seam_place(raster.filled(_halves(spark, sf_dir), "raster"), "raster")
+
+
+@query(with_views("patches", body="""SELECT raster, n, round(CASE WHEN n > 20 THEN s ELSE 1 END, 6) AS scale, round(CASE WHEN n > 20 THEN mb - s * mo ELSE 0 END, 6) AS offset_ FROM (SELECT *, least(1.6, greatest(0.6, coalesce(sb / nullif(so, 0), 1))) AS s FROM (
+  SELECT a.vec_id // 2 AS raster, count(*) AS n, avg(a.value) AS mb, avg(b.value) AS mo, stddev_pop(a.value) AS sb, stddev_pop(b.value) AS so FROM patches a JOIN patches b ON b.vec_id = a.vec_id + 1 AND b.row = a.row AND b.col = a.col WHERE a.vec_id % 2 = 0 GROUP BY 1))"""))
+def radiometric_match(spark, sf_dir):
+    p = derive.patches(spark, sf_dir)
+    one = p.where("vec_id % 2 = 0").select(F.expr("vec_id div 2").alias("raster"), "row", "col", F.col("value").alias("base"))
+    two = p.where("vec_id % 2 = 1").select(F.expr("vec_id div 2").alias("raster"), "row", "col", F.col("value").alias("other"))
+    return raster.matched(one.join(two, ["raster", "row", "col"]), "raster", "base", "other", 20).select("raster", "n", F.round("scale", 6).alias("scale"), F.round("offset", 6).alias("offset_"))
+
+
+@query(with_views("patches", body="""SELECT vec_id, round(avg(d), 6) AS mean_abs, round(quantile_cont(d, 0.99), 6) AS p99_abs, round(sqrt(avg(d * d)), 6) AS rms, round(avg((d > 0)::int), 6) AS changed, count(DISTINCT b) AS levels,
+  round(20 * log10(255 / nullif(sqrt(avg(d * d)), 0)), 4) AS psnr FROM (SELECT vec_id, b, abs(value - b) AS d FROM (SELECT vec_id, value, value // 4 * 4 AS b FROM patches)) GROUP BY 1"""))
+def format_difference(spark, sf_dir):
+    p = derive.patches(spark, sf_dir).withColumn("b", F.expr("value div 4 * 4"))
+    r = lambda c, n: F.round(c, n).alias(c)
+    return raster.difference(p, "vec_id", "value", "b").select("vec_id", r("mean_abs", 6), r("p99_abs", 6), r("rms", 6), r("changed", 6), "levels", r("psnr", 4))
+
+
+@query(with_views("patches", body="""SELECT vec_id, round(stddev_pop(l), 6) AS detail, count(*) AS n FROM (SELECT vec_id, lag(value) OVER a + lead(value) OVER a + lag(value) OVER d + lead(value) OVER d - 4 * value AS l
+  FROM patches WINDOW a AS (PARTITION BY vec_id, row ORDER BY col), d AS (PARTITION BY vec_id, col ORDER BY row)) WHERE l IS NOT NULL GROUP BY 1"""))
+def high_pass_detail(spark, sf_dir):
+    return raster.detail(derive.patches(spark, sf_dir), "vec_id").select("vec_id", F.round("detail", 6).alias("detail"), "n")
+
+
+@query(with_views("patches", body="""SELECT vec_id, col AS bin, count(*) FILTER (value > 4) AS n, CASE WHEN count(*) FILTER (value > 4) > 3 THEN round(avg((value > 128)::int::double) FILTER (value > 4), 6) END AS share,
+  CASE WHEN count(*) FILTER (value > 4) > 3 THEN round(avg(value) FILTER (value > 4), 6) END AS mean FROM patches GROUP BY 1, 2"""))
+def profile_across(spark, sf_dir):
+    b = raster.profile_bins(derive.patches(spark, sf_dir), "vec_id", 128)
+    return b.select("vec_id", F.col("bin").cast("long").alias("bin"), "n", F.round("share", 6).alias("share"), F.round("mean", 6).alias("mean"))
+
+
+@query(with_views("profile", body="""SELECT vec_id, CASE WHEN b - a + 1 >= 32 THEN a ELSE 0 END AS lo, CASE WHEN b - a + 1 >= 32 THEN b ELSE 63 END AS hi FROM (SELECT p.vec_id, min(CASE WHEN v >= l THEN i END) AS a, max(CASE WHEN v >= l THEN i END) AS b
+  FROM profile p JOIN (SELECT vec_id, 0.35::double * median(v) AS l FROM profile WHERE i BETWEEN 16 AND 47 GROUP BY 1) m USING (vec_id) GROUP BY 1)"""))
+def usable_length(spark, sf_dir):
+    u = raster.usable_length(derive.profile(spark, sf_dir), "vec_id", "i", "v")
+    return u.select("vec_id", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+
+
+@query(with_views("tiles", body="""SELECT plot_stem, tile_k, x0, y0, CASE WHEN ok THEN sx + x0 END AS src_photo_x0, CASE WHEN ok THEN sy + y0 END AS src_photo_y0, CASE WHEN st IS NULL THEN 'no manifest row' WHEN NOT ok THEN 'not a plain copy' ELSE '' END AS link_note
+  FROM (SELECT t.*, sx, sy, st, coalesce(st IN ('mask', 'bbox', 'native') AND fu = 1, false) AS ok FROM tiles t LEFT JOIN (SELECT o_orderkey AS plot_stem, o_custkey % 900 AS sx, o_custkey % 70 AS sy, CASE o_orderstatus WHEN 'F' THEN 'mask' WHEN 'O' THEN 'bbox' ELSE 'rectify' END AS st, 1 + o_orderkey % 2 AS fu FROM orders WHERE o_orderkey % 10 <> 3) USING (plot_stem))"""))
+def tile_source_links(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 <> 3")
+    style = F.when(F.col("o_orderstatus") == "F", "mask").when(F.col("o_orderstatus") == "O", "bbox").otherwise("rectify")
+    m = o.select(F.col("o_orderkey").alias("plot_stem"), style.alias("raw_style"), (1 + F.col("o_orderkey") % 2).alias("frames_used"), (F.col("o_custkey") % 900).alias("src_x0"), (F.col("o_custkey") % 70).alias("src_y0"), F.col("o_orderkey").alias("ord"))
+    return raster.linked(derive.tiles(spark, sf_dir), m).select("plot_stem", "tile_k", "x0", "y0", "src_photo_x0", "src_photo_y0", "link_note")
+
+
+@query(_frames_sql("""SELECT plot_id, camera, greatest(0, least(trunc(w), trunc(u0)))::int AS x0, greatest(0, least(trunc(h), trunc(v0)))::int AS y0, greatest(0, least(trunc(w), trunc(u1)))::int AS x1, greatest(0, least(trunc(h), trunc(v1)))::int AS y1 FROM ranked WHERE rank = 1"""))
+def crop_boxes(spark, sf_dir):
+    first = ranked(spark, sf_dir).where("rank = 1")
+    px = first.withColumns({"a": (F.col("x0") - F.col("fx0")) * F.col("gsd"), "b": (F.col("y0") - F.col("fy0")) * F.col("gsd"), "c": (F.col("x1") - F.col("fx0")) * F.col("gsd"), "d": (F.col("y1") - F.col("fy0")) * F.col("gsd")})
+    box = raster.crop_box(F.col("ring"), (F.col("fx1") - F.col("fx0")) * F.col("gsd"), (F.col("fy1") - F.col("fy0")) * F.col("gsd"))
+    return derive.rings(px, ("a", "b", "c", "d")).select("plot_id", "camera", box.alias("box")).select("plot_id", "camera", "box.*")
