@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import geometry as geo
 from fieldloom.functions import labels
 from fieldloom.functions.crs import utm_forward
-from fieldloom.operators import checks, edits, frames, layout, raster, signal
+from fieldloom.operators import checks, edits, frames, layout, raster, rows, signal
 from fieldloom.plans import derive
 from fieldloom.plans.derive import table, with_views
 from fieldloom.sources import records, vector
@@ -691,3 +691,71 @@ def crop_boxes(spark, sf_dir):
     px = first.withColumns({"a": (F.col("x0") - F.col("fx0")) * F.col("gsd"), "b": (F.col("y0") - F.col("fy0")) * F.col("gsd"), "c": (F.col("x1") - F.col("fx0")) * F.col("gsd"), "d": (F.col("y1") - F.col("fy0")) * F.col("gsd")})
     box = raster.crop_box(F.col("ring"), (F.col("fx1") - F.col("fx0")) * F.col("gsd"), (F.col("fy1") - F.col("fy0")) * F.col("gsd"))
     return derive.rings(px, ("a", "b", "c", "d")).select("plot_id", "camera", box.alias("box")).select("plot_id", "camera", "box.*")
+
+
+# ---------------------------------------------------------------- row detection
+
+
+_EDGE = "(sum(v) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN {b} PRECEDING AND {a} FOLLOWING) + greatest(0, {b} - i) * first_value(v) OVER (PARTITION BY vec_id ORDER BY i) + greatest(0, {a} - (63 - i)) * first_value(v) OVER (PARTITION BY vec_id ORDER BY i DESC)) / {k}"
+
+
+@query(with_views("profile", body=f"""SELECT vec_id, i, round(coalesce(r / nullif(stddev_pop(r) OVER (PARTITION BY vec_id), 0), 0), 5) AS signal FROM (
+  SELECT vec_id, i, {_EDGE.format(b=2, a=1, k=4)} - {_EDGE.format(b=8, a=7, k=16)} AS r FROM profile)"""))
+def ridge_signal(spark, sf_dir):
+    r = rows.ridge(derive.profile(spark, sf_dir), "vec_id", "i", "v", 4, 16)
+    return r.select("vec_id", F.col("i").cast("long").alias("i"), F.round("signal", 5).alias("signal"))
+
+
+@query(with_views("profile", body=f"""SELECT vec_id, round(arg_max(pitch, (power, -k)), 6) AS pitch FROM (SELECT vec_id, k, pitch, round(sum(v * cos(2 * {math.pi!r}::double * i / pitch)) ** 2 + sum(v * sin(2 * {math.pi!r}::double * i / pitch)) ** 2, 5) AS power
+  FROM (SELECT *, 8 * (0.94::double + k * (1.06::double - 0.94::double) / 40) AS pitch FROM (SELECT *, unnest(range(41)) AS k FROM profile)) GROUP BY 1, 2, 3) GROUP BY 1"""))
+def pitch_refined(spark, sf_dir):
+    return rows.fine_pitch(derive.profile(spark, sf_dir), "vec_id", "i", "v", F.lit(8.0), 41).select("vec_id", F.round("pitch", 6).alias("pitch"))
+
+
+@query(with_views("profile", body="""SELECT vec_id, arg_max(i, (s, -i)) AS start, max(s) AS contrast FROM (SELECT vec_id, i, round(sum(v) OVER w, 6) AS s, count(v) OVER w AS n FROM (SELECT vec_id, i, CASE WHEN v > -0.2 THEN v END AS v FROM profile)
+  WINDOW w AS (PARTITION BY vec_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) WHERE n = 5 GROUP BY 1"""))
+def expected_rows_block(spark, sf_dir):
+    p = derive.profile(spark, sf_dir).select("vec_id", F.col("i").cast("long").alias("i"), F.when(F.col("v") > -0.2, F.col("v")).alias("v"))
+    return rows.best_block(p, "vec_id", "i", "v", 5)
+
+
+@query(with_views("profile", body="""SELECT vec_id, arg_min(i, (round(abs(m - 300), 3), round(abs(m - al), 6), i)) AS start FROM (SELECT vec_id, i, (pos + lead(pos, 2) OVER (PARTITION BY vec_id ORDER BY i)) / 2 AS m, (min(pos) OVER (PARTITION BY vec_id) + max(pos) OVER (PARTITION BY vec_id)) / 2 AS al
+  FROM (SELECT vec_id, i, 10 * i + round(v, 4) AS pos FROM profile)) WHERE m IS NOT NULL GROUP BY 1"""))
+def middle_rows_block(spark, sf_dir):
+    p = derive.profile(spark, sf_dir).select("vec_id", F.col("i").cast("long").alias("i"), (10 * F.col("i") + F.round("v", 4)).alias("pos"))
+    return rows.middle_block(p, "vec_id", "i", "pos", 3, F.lit(300))
+
+
+@query(with_views("profile", body="SELECT vec_id, i, round(v, 6) AS v FROM profile JOIN (SELECT vec_id, min(i) AS a, max(i) AS b FROM profile WHERE v > 0.15 GROUP BY 1) USING (vec_id) WHERE i BETWEEN a AND b"))
+def present_rows_run(spark, sf_dir):
+    r = rows.present_run(derive.profile(spark, sf_dir), "vec_id", "i", F.col("v") > 0.15)
+    return r.select("vec_id", F.col("i").cast("long").alias("i"), F.round("v", 6).alias("v"))
+
+
+@query(with_views("profile", body="""SELECT s.vec_id, CASE WHEN k >= 2 THEN greatest(0, a - 2.5) ELSE 0 END::double AS lo, CASE WHEN k >= 2 THEN least(64, b + 2.5) ELSE 64 END::double AS hi FROM (SELECT DISTINCT vec_id FROM profile) s
+  LEFT JOIN (SELECT vec_id, min(i) AS a, max(i) AS b, count(*) AS k FROM (SELECT *, lag(v) OVER w AS p, lead(v) OVER w AS q FROM profile WINDOW w AS (PARTITION BY vec_id ORDER BY i)) WHERE v >= p AND v > q AND v > 0.2 GROUP BY 1) USING (vec_id)"""))
+def row_band_bounds(spark, sf_dir):
+    p = derive.profile(spark, sf_dir)
+    peaks = signal.local_maxima(p, "vec_id", "i", "v").where("v > 0.2")
+    return rows.row_band(peaks, p.groupBy("vec_id").agg(F.count("*").alias("n")), "vec_id", "i", 2.5)
+
+
+@query()
+def sparse_tiles_kept(spark, sf_dir):
+    t = derive.tiles(spark, sf_dir)
+    return rows.keep_sparse(t, F.col("veg_pct"), 5.0, 0.15, F.concat_ws("_", "plot_stem", "tile_k", "x0", "y0"))
+
+
+@query(with_views("patches", body="""SELECT a.vec_id, a.row AS i, a.col AS j, (a.value + b.value + c.value + d.value) / 4.0::double AS mean FROM patches a JOIN patches b ON b.vec_id = a.vec_id AND b.row = a.row + 1 AND b.col = a.col
+  JOIN patches c ON c.vec_id = a.vec_id AND c.row = a.row AND c.col = a.col + 1 JOIN patches d ON d.vec_id = a.vec_id AND d.row = a.row + 1 AND d.col = a.col + 1"""))
+def mesh_cell_means(spark, sf_dir):
+    nodes = derive.patches(spark, sf_dir).select("vec_id", F.col("row").alias("i"), F.col("col").cast("long").alias("j"), "value")
+    return rows.mesh_cells(nodes, ["vec_id"], "value").select("vec_id", "i", "j", "mean")
+
+
+@query(with_views("tiles", body="""SELECT result, count(*) AS n FROM (SELECT CASE WHEN w % 5 = 0 THEN 'RESAMPLED' WHEN bits = src AND x0 % 11 <> 0 THEN 'IDENTICAL' WHEN bits <> src AND y0 % 7 <> 0 THEN 'EXACT CONVERSION' ELSE 'FAIL' END AS result
+  FROM (SELECT *, 8 + 8 * (x0 % 2) AS bits, 8 + 8 * (y0 % 2) AS src FROM tiles)) GROUP BY 1"""))
+def qa_tile_results(spark, sf_dir):
+    t = derive.tiles(spark, sf_dir)
+    bits, src = 8 + 8 * (F.col("x0") % 2), 8 + 8 * (F.col("y0") % 2)
+    return t.select(rows.tile_result(F.col("x0") % 11 != 0, F.col("w") % 5 != 0, bits, src, F.col("y0") % 7 != 0).alias("result")).groupBy("result").agg(F.count("*").alias("n"))
