@@ -247,7 +247,7 @@ def _shared_anchors(sent: DataFrame, hot: int) -> DataFrame:
 
 
 def _surroundings(blocks: DataFrame, shared: DataFrame, n_shards: int) -> DataFrame:
-    """What lies around shared anchors: one row for each block and shard, and one for each hot anchor."""
+    """What lies around shared anchors, one row for each block and shard; part tells shard, windows (hot anchors) and spans (settled in the block)."""
     answers = shared.groupBy("block").agg(F.collect_list("several").alias("several"), F.collect_list("many").alias("many"))
     joined = blocks.join(answers.hint("shuffle_hash"), "block")
 
@@ -259,7 +259,7 @@ def _surroundings(blocks: DataFrame, shared: DataFrame, n_shards: int) -> DataFr
                 short = (key >> U(8)) & U((1 << 40) - 1)
                 block = batch.column("block")[i].as_py()
                 raw = data.tobytes()
-                for kind, name in ((False, "several"), (True, "many")):
+                for kind, name in (("shard", "several"), ("windows", "many")):
                     wanted = np.sort(np.concatenate([np.zeros(0, "<u8"), *[_forty(x.as_py()) for x in batch.column(name)[i].values]]))
                     at = np.searchsorted(wanted, short)
                     ok = at < len(wanted)
@@ -267,6 +267,17 @@ def _surroundings(blocks: DataFrame, shared: DataFrame, n_shards: int) -> DataFr
                     pick = np.flatnonzero(ok)
                     if not len(pick):
                         continue
+                    # Equal surroundings in the block: only those of its least document go on, larger ones are removed whole.
+                    ident: dict[bytes, int] = {}
+                    back = np.array([ident.setdefault(raw[f : f + c + WINDOW - 1], len(ident)) for f, c in zip(first[pick].tolist(), count[pick].tolist(), strict=True)])
+                    least = np.full(len(ident), NO_ID)
+                    np.minimum.at(least, back, ids[row[pick]])
+                    later = pick[ids[row[pick]] > least[back]]
+                    if len(later):
+                        begin = first[later] - offsets[row[later]]
+                        done = {"part": "spans", "shard": 0, "block": block, "keys": b"", "rows": row[later], "ids": [], "firsts": begin, "counts": begin + count[later] + WINDOW - 1, "around": b""}
+                        yield pa.RecordBatch.from_pylist([done], AROUND)
+                    pick = pick[ids[row[pick]] == least[back]]
                     shard = _ranged(mix(key[pick]), n_shards)
                     order = np.argsort(shard, kind="stable")
                     pick, shard = pick[order], shard[order]
@@ -275,7 +286,7 @@ def _surroundings(blocks: DataFrame, shared: DataFrame, n_shards: int) -> DataFr
                     for a, b in zip(cut[:-1], cut[1:], strict=True):
                         p = pick[a:b]
                         rows.append({
-                            "hot": kind, "shard": int(shard[a]), "block": block, "keys": key[p].astype("<u8").tobytes(), "rows": row[p], "ids": ids[row[p]],
+                            "part": kind, "shard": int(shard[a]), "block": block, "keys": key[p].astype("<u8").tobytes(), "rows": row[p], "ids": ids[row[p]],
                             "firsts": first[p] - offsets[row[p]], "counts": count[p], "around": b"".join(raw[f : f + c + WINDOW - 1] for f, c in zip(first[p].tolist(), count[p].tolist(), strict=True)),
                         })
                     yield pa.RecordBatch.from_pylist(rows, AROUND)
@@ -283,8 +294,8 @@ def _surroundings(blocks: DataFrame, shared: DataFrame, n_shards: int) -> DataFr
     return joined.mapInArrow(around, AROUND_DDL)
 
 
-AROUND = pa.schema([("hot", pa.bool_()), ("shard", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("rows", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("around", pa.binary())])
-AROUND_DDL = "hot boolean, shard bigint, block bigint, keys binary, rows array<bigint>, ids array<bigint>, firsts array<bigint>, counts array<bigint>, around binary"
+AROUND = pa.schema([("part", pa.string()), ("shard", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("rows", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("around", pa.binary())])
+AROUND_DDL = "part string, shard bigint, block bigint, keys binary, rows array<bigint>, ids array<bigint>, firsts array<bigint>, counts array<bigint>, around binary"
 SPANS_DDL = "block bigint, rows array<bigint>, starts array<bigint>, ends array<bigint>"
 
 
@@ -346,7 +357,8 @@ def removed_spans(docs: DataFrame, hot: int | None = None) -> tuple[DataFrame, D
     blocks = _bucketed(_gather(first), max(8, min(100_000, -(-n_blocks // 4))))
     shared = written(_shared_anchors(_send_anchors(blocks, max(4, -(-total // RANGE_BYTES))), hot), "shared-anchors")
     around = written(_surroundings(blocks, shared, max(8, -(-total // SHARD_BYTES))), "surroundings")
-    spans = written(_in_shards(around.where("not hot")).union(_by_window(around.where("hot"))), "spans")
+    settled = around.where("part = 'spans'").select("block", "rows", F.col("firsts").alias("starts"), F.col("counts").alias("ends"))
+    spans = written(_in_shards(around.where("part = 'shard'")).union(_by_window(around.where("part = 'windows'"))).union(settled), "spans")
     answers = spans.groupBy("block").agg(F.collect_list(F.struct("rows", "starts", "ends")).alias("found"))
     joined = blocks.join(answers.hint("shuffle_hash"), "block", "left")
 
