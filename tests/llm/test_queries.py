@@ -1,0 +1,61 @@
+"""The operators' queries and the pipeline over the small given tables."""
+
+from __future__ import annotations
+
+import collections
+import os
+import re
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from fieldloom.llm import queries
+
+TABLES = "documents pages conversations".split()
+
+
+def plain(rows, names):
+    one = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted("|".join(one(r[i]) for i in order) for r in rows)
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_equals_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        p = f"{sf}/{t}.parquet"
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{p + '/*.parquet' if os.path.isdir(p) else p}'")
+    df = queries.QUERIES[name](spark, sf)
+    found = con.execute(queries.ORACLES[name])
+    names = [d[0] for d in found.description]
+    assert plain(df.collect(), df.columns) == plain(found.fetchall(), names)
+
+
+def test_shards_of_all_documents(spark, sf):
+    out = queries.op5_histogram_shards(spark, sf).toPandas()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas().set_index("doc_id")
+    assert len(out) == len(docs) and all(len(docs.text[r.doc_id].encode()) + 8 == r.size for r in out.itertuples()) and out.grown_shard.isna().all()
+
+
+def test_mix_comes_near_its_targets(spark, sf):
+    out = queries.op7_source_mix(spark, sf).toPandas()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").toPandas()
+    g = out.merge(docs, on="doc_id").groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert abs(g.target.sum() - out["size"].sum()) < 1e-6 * g.target.sum() and ((g.taken - g.target).abs() <= 64 + 0.02 * g.target).all()
+
+
+def test_pipeline(spark, sf):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "MinHash near-dedup", "suffix-array dedup", "source mixing", "best-fit packing"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = corpus_pipeline.quality_rules(spark, docs, sf)
+    judged = {r.doc_id: r.kept for r in queries.quality.judge_quality(docs).collect()}
+    assert {r.doc_id for r in good.select("doc_id").collect()} == {d for d, k in judged.items() if k} and good.columns == docs.columns
+    one = corpus_pipeline.near_dedup(spark, good, sf)
+    assert one.columns == docs.columns
+    shingled = [tuple(re.findall(r"\S+", r.text)) for r in one.collect()]
+    assert len(set(shingled)) == len(shingled)
+    out = corpus_pipeline.run(spark, sf).toPandas()
+    assert (out.length.groupby(out.sequence_id).sum() <= 1024).all() and out.length.min() >= 1
+    assert collections.Counter(out.piece)[0] >= one.count() * 0.5
