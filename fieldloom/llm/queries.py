@@ -34,7 +34,8 @@ def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.nullif(F.regexp_extract(F.col("metadata")[0]["fields"], r"page-id: (-?\d+)", 1), F.lit("")).cast("long")
     found = captures.select(page.alias("page_id"), "capture_id", F.coalesce("response.payload_bytes", "original.payload_bytes").alias("payload_bytes"), F.coalesce("response.payload_sha1", "original.payload_sha1").alias("payload_digest"), F.col("response.kind").alias("record_type"), F.col("original.record_id").alias("original_id"))
     names = found.where("record_type = 'response'").select(F.col("capture_id").alias("original_id"), F.col("page_id").alias("refers_to"))
-    return found.join(names, "original_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    key = F.coalesce("original_id", F.concat(F.lit("none:"), "capture_id"))
+    return found.join(names.withColumnRenamed("original_id", "of"), key == F.col("of"), "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,7 +163,9 @@ def assemble_transactions(records: DataFrame) -> DataFrame:
     main = anchors.select(F.col("record_id").alias("capture_id"), whole.alias("response"))
     out = main.join(sides, "capture_id", "full_outer")
     originals = main.select(F.col("capture_id").alias("of"), F.col("response").alias("original")).where("original.kind = 'response'")
-    return out.join(originals, F.col("response.refers_to") == F.col("of"), "left").drop("of")
+    # Captures that refer to none have a key of their own, which matches nothing: nulls would all meet in one task.
+    refers = F.coalesce("response.refers_to", F.concat(F.lit("none:"), "capture_id"))
+    return out.join(originals, refers == F.col("of"), "left").drop("of")
 
 
 def round_trip(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
