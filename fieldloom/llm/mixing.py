@@ -128,7 +128,8 @@ def draw_spans(placed: DataFrame, sources: list[dict], block_words: int = BLOCK_
     w = F.lit(block_words).cast("long")
     pieces = placed.where("size > 0").select("rid", "s", "start", "size", F.explode(F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))).alias("block"))
     pieces = pieces.select("rid", "s", "block", (F.greatest("start", F.col("block") * w) - F.col("start")).alias("word_from"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * w) - F.col("start")).alias("word_to"))
-    return slots.join(pieces, ["s", "block"]).select("shard", "s", "slot", "epoch", "block", "rid", "word_from", "word_to")
+    # The plan's estimate of the slots is that of the few runs they come from: without the hint they would be broadcast.
+    return slots.hint("merge").join(pieces, ["s", "block"]).select("shard", "s", "slot", "epoch", "block", "rid", "word_from", "word_to")
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
