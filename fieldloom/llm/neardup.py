@@ -10,7 +10,8 @@ about (ln k + 2) / weight are thrown, so the work is near weight + k ln k.
 
 Bands of the signature are joined by equality.  In each bucket members are
 compared with a hub, not with each other; the compare is on the whole sets of
-cells.  Links make classes by connected components.
+cells.  Links make classes by connected components.  Buckets that then hold
+several classes are finished exactly, see _pivot_pairs.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from fieldloom.llm.components import connected_components
 from fieldloom.llm.textnum import U, mix, shingles, slices, text_buffers
 
 BANDS, BAND_ROWS, SIMILARITY = 24, 5, 0.8
-#: Buckets with at most this many members left compare all of them; larger ones meet some hubs.
+#: Buckets of several classes with at most this many members compare all of them; larger ones filter pairs by a pivot.
 SMALL_BUCKET = 32
-#: Larger ones meet this many hubs in each of so many rounds, or until a round finds no link.
-LARGE_HUBS, LARGE_ROUNDS = 12, 3
+#: Members that meet a copy of their pivot's cells in one task, about.
+PIVOT_MEMBERS = 1000
 #: Nodes are broadcast up to this many (16 bytes each, and an id).
 BROADCAST_ROWS = 1_000_000
 _UNIT = 2.0**-53
@@ -100,7 +101,7 @@ def _banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def _cell_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, cells) of the texts in nodes (node, rep): sorted 32-bit cell hashes as bytes."""
+    """(node, cells) of the texts in nodes (node, rep): sorted distinct 32-bit cell hashes as bytes."""
     small = nodes.count() <= BROADCAST_ROWS
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("n"), F.coalesce("text", F.lit("")).alias("text"))
     chosen = F.broadcast(nodes) if small else nodes
@@ -112,7 +113,7 @@ def _cell_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             for a, b, part, edges in slices(data, offsets):
                 c, r = cells(*shingles(part, edges))
                 key = (r.astype(U) << U(32)) | (c >> U(32))
-                key.sort()
+                key = np.unique(key)
                 edge = np.searchsorted(key >> U(32), np.arange(b - a + 1).astype(U))
                 low = (key & U(0xFFFFFFFF)).astype("<u4")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([low[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], names=["node", "cells"])
@@ -143,6 +144,62 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return joined.mapInArrow(check, "a binary, b binary").distinct()
 
 
+def _pivot_pairs(state: DataFrame, hubs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different classes in the buckets of hubs (band, n, hub) that may be similar; none that is goes missing.
+
+    Each member x of a bucket has met its hub T, so those similar to T are of
+    one class.  With D(x) = x xor T, a pair differs in D(x) xor D(y), and is
+    similar if that is at most c (|x| + |y|), c = (1 - s) / (1 + s).  So
+    |D(x) and D(y)| >= (e(x) + e(y)) / 2 with e(x) = |D(x)| - c |x|, where
+    e > c |T| for members not similar to T, and e >= -c |T| for all.  At least
+    one of a pair of two classes is not similar to T, so every such pair
+    shares o > (e + c |T|) / 2 elements seen from the other one, and o >=
+    (e - c |T|) / 2 seen from the one whose partner is similar to T.  With the
+    rarest elements first, the pair then shares one of the first |D| - o + 1 of
+    both: edits that both have, not the template they were made from.
+    """
+    c = (1 - similarity) / (1 + similarity)
+    parts = hubs.groupBy("hub").agg((F.sum("n") / PIVOT_MEMBERS).cast("int").alias("parts"))
+    placed = hubs.join(parts, "hub").select("band", "hub", "parts")
+    part = F.pmod(F.xxhash64("node"), F.col("parts") + 1).alias("part")
+    members = state.join(placed, "band").select("hub", part, "node", "root").distinct()
+    pivots = parts.join(sets.select(F.col("node").alias("hub"), F.col("cells").alias("pivot")), "hub").select("hub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint"))).alias("part"), "pivot")
+    joined = members.join(sets, "node").join(pivots, ["hub", "part"]).select("node", "root", F.xxhash64("hub").alias("hub"), "cells", "pivot")
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near, excess, short, long, differing = [], [], [], [], []
+            for hub, x, t in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                x, t = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(t.as_buffer(), "<u4")
+                d = np.setxor1d(x, t, assume_unique=True)
+                both = len(x) + len(t)
+                near.append((both - len(d)) / (both + len(d)) >= similarity)
+                e = len(d) - c * len(x)
+                excess.append(e)
+                short.append(max(0, len(d) - int(np.floor((e + c * len(t)) / 2 - 1e-6))))
+                long.append(len(d) - max(1, int(np.ceil((e - c * len(t)) / 2 - 1e-6))) + 1)
+                differing.append(mix(d.astype(U) ^ mix(np.array([hub]).astype(U))).astype(np.int64))
+            offsets = np.concatenate([[0], np.cumsum([len(d) for d in differing])])
+            made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*differing, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(near, pa.bool_()), pa.array(excess, pa.float64()), pa.array(short, pa.int32()), pa.array(long, pa.int32()), made], names=["node", "root", "hub", "near", "excess", "short", "long", "differing"])
+
+    differing = written(joined.mapInArrow(differ, "node binary, root binary, hub bigint, near boolean, excess double, short int, long int, differing array<bigint>"), "pivot-cells")
+    of_cell = differing.select("node", "hub", F.explode("differing").alias("cell"))
+    common = of_cell.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = of_cell.join(common, "cell").groupBy("node", "hub").agg(F.sort_array(F.collect_list(F.struct("n", "cell"))).alias("common"))
+    # An element that no other member has comes first, and makes no pair.
+    alone = F.size("differing") - F.size("common")
+    first = lambda n: F.slice("common", 1, F.greatest(F.lit(0), F.col(n) - alone))
+    prefixes = written(differing.join(ordered, ["node", "hub"]).select("node", "root", "near", "excess", F.size("common").alias("n_common"), first("short").alias("short"), first("long").alias("long")), "pivot-prefixes")
+    far = prefixes.where("not near")
+    # As many elements as follow in both, this one included, are the most that a pair shares from its first common one on.
+    entries = lambda df, kind, x: df.select(F.posexplode(F.col(f"{kind}.cell")).alias("at", "cell"), F.struct("node", "root", "excess", "n_common").alias(x)).select("cell", F.struct(f"{x}.*", (F.col(f"{x}.n_common") - F.col("at")).alias("rest")).alias(x))
+    enough = "a.root <> b.root and least(a.rest, b.rest) >= (a.excess + b.excess) / 2 - 1e-6"
+    one = entries(far, "short", "a").join(entries(far, "short", "b"), "cell").where(f"a.node < b.node and {enough}")
+    two = entries(prefixes.where("near"), "short", "a").join(entries(far, "long", "b"), "cell").where(enough)
+    return one.union(two).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+
+
 def near_duplicate_links(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """((doc_id, node) of every row, (node, root) of every node with a link); node is a text, root its class."""
     signed = written(_banded(docs, bands, rows), "signatures")
@@ -153,38 +210,32 @@ def near_duplicate_links(docs: DataFrame, bands: int = BANDS, rows: int = BAND_R
     sets = written(_cell_sets(docs, live.select("node", "rep").distinct()), "cells")
 
     # First each bucket's members meet one of them, by a hash; then the one with the most links so far.
-    def meet(hub: Column, members: DataFrame) -> DataFrame:
-        hubs = members.groupBy("band").agg(hub.alias("hub"))
+    def meet(hubs: DataFrame, members: DataFrame) -> DataFrame:
         pairs = members.join(hubs, "band").where("node <> hub")
         return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
-    by_hash = F.max_by("node", F.xxhash64("band", "node"))
+    by_hash = live.groupBy("band").agg(F.max_by("node", F.xxhash64("band", "node")).alias("hub"))
     links = written(_verified(meet(by_hash, live), sets, similarity), "near-links")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     central = F.max_by("node", F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("node", "band")))
-    more = meet(central, live.join(degree, "node", "left"))
+    hubs = written(live.join(degree, "node", "left").groupBy("band").agg(central.alias("hub")), "hubs")
+    more = meet(hubs, live)
     links = links.union(written(_verified(more.join(links, ["a", "b"], "left_anti"), sets, similarity), "near-links"))
     roots = written(connected_components(links), "roots")
 
-    # Buckets that still hold several classes: small ones compare all members, large ones some new hubs each round.
-    for round_ in range(LARGE_ROUNDS):
-        rooted = live.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        several = rooted.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n")).where("r1 <> r2").select("band", "n")
-        state = written(rooted.join(several, "band"), "bucket-state")
-        large = state.where(F.col("n") > SMALL_BUCKET)
-        chance = F.xxhash64(F.lit(round_), "band", "node")
-        hubs = large.groupBy("band", F.pmod(chance, F.lit(LARGE_HUBS))).agg(F.max_by(F.struct("node", "root"), chance).alias("hub"))
-        pairs = large.join(hubs.select("band", "hub"), "band").where("root <> hub.root").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-        if not round_:
-            few = state.where(F.col("n") <= SMALL_BUCKET)
-            other = few.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"))
-            pairs = pairs.union(few.join(other, "band").where("node < b and root <> root_b").select(F.col("node").alias("a"), "b"))
-        found = written(_verified(pairs.distinct(), sets, similarity), "near-links")
-        if found.isEmpty():
-            break
-        links = links.union(found)
-        roots = written(connected_components(links), "roots")
-        live = large.select("band", "node")
+    # Buckets that still hold several classes: small ones compare all members, large ones all that the pivot leaves.
+    rooted = live.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n")).where("r1 <> r2").select("band", "n")
+    state = written(rooted.join(several, "band"), "bucket-state")
+    few = state.where(F.col("n") <= SMALL_BUCKET)
+    other = few.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    pairs = few.join(other, "band").where("node < b and root <> root_b").select(F.col("node").alias("a"), "b")
+    large = several.where(F.col("n") > SMALL_BUCKET)
+    if not large.isEmpty():
+        pairs = pairs.union(_pivot_pairs(state, large.join(hubs, "band"), sets, similarity))
+    found = written(_verified(pairs.distinct(), sets, similarity), "near-links")
+    if not found.isEmpty():
+        roots = written(connected_components(links.union(found)), "roots")
     return signed.select("doc_id", "node"), roots
 
 
