@@ -44,11 +44,11 @@ FROM c LEFT JOIN LATERAL (
 
 OP4 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-q AS (SELECT page_id, strlen(h)::bigint AS payload_bytes, sha1(h) AS payload_digest FROM p),
+q AS (SELECT page_id, strlen(h)::bigint AS payload_bytes, sha1(h) AS payload_digest, row_number() OVER (PARTITION BY page_id, sha1(h)) AS n FROM p),
 m AS (SELECT payload_digest, max(page_id) AS latest FROM q WHERE payload_bytes >= 1000 GROUP BY 1)
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN latest IS NOT NULL AND page_id <> latest THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN page_id <> latest THEN latest END AS refers_to
+       CASE WHEN latest IS NOT NULL AND (page_id <> latest OR n > 1) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> latest OR n > 1 THEN latest END AS refers_to
 FROM q LEFT JOIN m USING (payload_digest)
 """
 
@@ -71,23 +71,28 @@ f AS (SELECT rid, doc_id, lang, t, len(words) AS n_words, length(array_to_string
 h AS (SELECT *, length(t) - word_chars AS c_space, word_chars - {" - ".join(_BINS)} AS c_other FROM f),
 cb AS (SELECT rid, lang, unnest(['space', 'other', {", ".join(f"'{b[2:]}'" for b in _BINS)}]) AS bin,
               unnest([c_space, c_other, {", ".join(_BINS)}]) AS n FROM h),
-wb AS (SELECT u.rid, d.lang, lower(u.word) AS bin, count(*) AS n FROM u JOIN d USING (rid) WHERE lower(u.word) IN ({_WORDS}) GROUP BY ALL),
-cr AS (SELECT lang, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM cb GROUP BY lang, bin),
-wr AS (SELECT lang, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM wb GROUP BY lang, bin),
+wu AS (SELECT u.rid, d.lang, CASE WHEN lower(u.word) IN ({_WORDS}) THEN lower(u.word) ELSE '' END AS bin, count(*) AS n FROM u JOIN d USING (rid) GROUP BY ALL),
+b AS (SELECT rid, h.lang, h.n_words, coalesce(n_repeat_words, 0) AS n_repeat_words, h.n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * h.n_words AS base_failed
+      FROM h LEFT JOIN covered USING (rid)),
+big AS (SELECT lang FROM b WHERE NOT base_failed GROUP BY lang HAVING sum(n_words) >= {quality.MIN_REFERENCE_WORDS}),
+cg AS (SELECT cb.lang, bin, sum(n) AS n FROM cb JOIN b USING (rid) WHERE NOT base_failed GROUP BY cb.lang, bin),
+wg AS (SELECT wu.lang, bin, sum(n) AS n FROM wu JOIN b USING (rid) WHERE NOT base_failed GROUP BY wu.lang, bin),
+langs AS (SELECT DISTINCT d.lang, big.lang IS NOT NULL AS own FROM d LEFT JOIN big USING (lang)),
+cr AS (SELECT lang, bin, n / sum(n) OVER (PARTITION BY lang) AS q FROM
+        (SELECT l.lang, bin, sum(n) AS n FROM langs l JOIN cg ON cg.lang = l.lang OR NOT l.own GROUP BY l.lang, bin)),
+wr AS (SELECT lang, bin, n / sum(n) OVER (PARTITION BY lang) AS q FROM
+        (SELECT l.lang, bin, sum(n) AS n FROM langs l JOIN wg ON wg.lang = l.lang OR NOT l.own GROUP BY l.lang, bin)),
 cd AS (SELECT rid, sqrt(greatest(0, sum({_TERM}))) AS char_distance FROM
         (SELECT rid, n / nullif(sum(n) OVER (PARTITION BY rid), 0) AS p, q FROM cb JOIN cr USING (lang, bin)) WHERE p IS NOT NULL GROUP BY rid),
-wt AS (SELECT rid, lang, sum(n) AS n_common FROM wb GROUP BY rid, lang),
-wd AS (SELECT rid, n_common, sqrt(greatest(0, sum({_TERM}))) AS word_distance FROM
-        (SELECT wt.rid, wt.n_common, coalesce(wb.n, 0) / wt.n_common AS p, wr.q FROM wt JOIN wr USING (lang)
-         LEFT JOIN wb ON wb.rid = wt.rid AND wb.bin = wr.bin) GROUP BY rid, n_common),
-r AS (SELECT doc_id, n_words, word_chars, c_symbol AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
-             coalesce(n_repeat_words, 0) AS n_repeat_words, char_distance, word_distance, coalesce(n_common, 0) AS n_common
-      FROM h LEFT JOIN covered USING (rid) LEFT JOIN lines USING (rid) LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+own AS (SELECT rid, lang, bin, n / sum(n) OVER (PARTITION BY rid) AS p FROM wu),
+both_ AS (SELECT o.rid, wr.bin, wr.q FROM (SELECT DISTINCT rid, lang FROM own) o JOIN wr USING (lang)),
+wd AS (SELECT rid, sqrt(greatest(0, sum({_TERM}))) AS word_distance FROM
+        (SELECT coalesce(own.rid, both_.rid) AS rid, coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM both_ FULL JOIN own ON own.rid = both_.rid AND own.bin = both_.bin) GROUP BY rid),
+r AS (SELECT doc_id, h.n_words, word_chars, c_symbol AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, b.n_repeat_words, base_failed, char_distance, word_distance
+      FROM h JOIN b USING (rid) LEFT JOIN lines USING (rid) LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        round(char_distance, 4) AS char_distance, round(word_distance, 4) AS word_distance,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
-       AND NOT ((n_words >= {quality.MIN_WORDS} AND coalesce(char_distance, 0) > {quality.MAX_CHAR_DISTANCE})
-             OR (n_common >= {quality.MIN_COMMON} AND coalesce(word_distance, 0) > {quality.MAX_WORD_DISTANCE})) AS kept
+       NOT base_failed AND NOT (n_words >= {quality.MIN_WORDS}
+         AND (coalesce(char_distance, 0) > {quality.MAX_CHAR_DISTANCE} OR coalesce(word_distance, 0) > {quality.MAX_WORD_DISTANCE})) AS kept
 FROM r
 """

@@ -1,8 +1,10 @@
 """Quality rules: base counts of a text, and its divergence from its language.
 
-The histograms of character classes and of common words of each document are
-compared by Jensen-Shannon distance with those of all documents of the same
-language; very short texts have too few counts to judge and are guarded.
+The histograms of character classes and of common words (with one bin for all
+other words) of each document are compared by Jensen-Shannon distance with a
+reference of its language: the sums over the language's documents that pass
+the base rules.  Languages with few words in those are compared with the sums
+over all languages.  Very short texts have too few counts and are guarded.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import WORD, let, written
+from fieldloom.llm.common import WORD, let, sent_if_small, written
 
 # Common words of four languages, the bins of the word histogram.
 COMMON_WORDS = (
@@ -25,10 +27,12 @@ CODES = "".join(chr(0x4E00 + i) for i in range(len(COMMON_WORDS)))
 SYMBOLS = "#*$%&|<>"
 #: Character classes, with a pattern of runs for those that are rare; what is left is "other", mostly small letters.
 CHAR_CLASSES = {"upper": "[A-Z]+", "digit": "[0-9]+", "mark": r"[.,;:!?'\"()\[\]{}/\\@=_+~^`-]+", "symbol": r"[#*$%&|<>]+", "wide": r"[^\x00-\x7F]+"}
-#: Largest distances that pass, and the fewest words and common words for which a distance counts.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_WORDS, MIN_COMMON = 0.30, 0.90, 50, 30
-#: Rejected texts are broadcast up to this many (under 50 bytes each).
-BROADCAST_ROWS = 500_000
+#: Largest distances that pass, and the fewest words for which a distance counts.
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_WORDS = 0.30, 0.32, 50
+#: Words that a language's reference needs; below, the reference of all languages stands in.
+MIN_REFERENCE_WORDS = 10_000
+#: Bytes of a rejected text's key, and of a language's sums, in tables that are sent whole.
+KEY_BYTES, REFERENCE_BYTES = 64, 2048
 WINDOW, MIN_BASE_WORDS, MAX_REPEAT_SHARE = 3, 50, 50
 
 
@@ -73,10 +77,11 @@ def document_features(docs: DataFrame) -> DataFrame:
     for k in CHAR_CLASSES:
         rest = rest - F.col(f"c_{k}")
     n_codes = F.length("codes")
+    common = [(n_codes - F.length(F.replace("codes", F.lit(c), F.lit("")))).cast("long") for c in CODES]
     return counts.select(
         "doc_id", "lang", "text_key", "n_words", "word_chars", F.col("c_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
         F.array(space.cast("long"), rest, *[F.col(f"c_{k}") for k in CHAR_CLASSES]).alias("chars"),
-        F.array(*[(n_codes - F.length(F.replace("codes", F.lit(c), F.lit("")))).cast("long") for c in CODES]).alias("common"),
+        F.array(F.col("n_words") - n_codes, *common).alias("common"),
     )
 
 
@@ -90,30 +95,33 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return F.sqrt(F.when(sum_of < 0, 0.0).otherwise(sum_of))
 
 
-def _judged(docs: DataFrame, max_char: float, max_word: float, min_words: int, min_common: int) -> DataFrame:
-    features = written(document_features(docs), "quality-features")
-    sums = lambda name, n: F.array(*[F.sum(F.col(name)[i]) for i in range(n)]).alias(f"all_{name}")
-    reference = features.groupBy("lang").agg(sums("chars", 2 + len(CHAR_CLASSES)), sums("common", len(COMMON_WORDS)))
-    seen = features.join(reference, "lang", "left")
+def _judged(docs: DataFrame, max_char: float, max_word: float, min_words: int) -> DataFrame:
     failed = (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words"))
-    seen = seen.withColumns({"base_failed": failed, "char_distance": jensen_shannon(F.col("chars"), F.col("all_chars")), "word_distance": jensen_shannon(F.col("common"), F.col("all_common")), "n_common": F.aggregate("common", F.lit(0).cast("long"), lambda a, v: a + v)})
-    far = ((F.col("n_words") >= min_words) & (F.coalesce("char_distance", F.lit(0.0)) > max_char)) | ((F.col("n_common") >= min_common) & (F.coalesce("word_distance", F.lit(0.0)) > max_word))
+    features = written(document_features(docs).withColumn("base_failed", failed), "quality-features")
+    n_chars, n_common = 2 + len(CHAR_CLASSES), 1 + len(COMMON_WORDS)
+    sums = lambda name, n: F.array(*[F.coalesce(F.sum(F.get(F.col(name), F.lit(i))), F.lit(0)) for i in range(n)]).alias(f"all_{name}")
+    good = features.where(~F.col("base_failed"))
+    by_lang = written(good.groupBy("lang").agg(sums("chars", n_chars), sums("common", n_common), F.sum("n_words").alias("n")).where(F.col("n") >= MIN_REFERENCE_WORDS).drop("n"), "quality-references")
+    every = good.agg(sums("chars", n_chars), sums("common", n_common)).first()  # one row of sums
+    seen = features.join(sent_if_small(by_lang, REFERENCE_BYTES), "lang", "left")
+    of = lambda name: F.coalesce(f"all_{name}", F.lit(list(every[f"all_{name}"])).cast("array<bigint>"))
+    seen = seen.withColumns({"char_distance": jensen_shannon(F.col("chars"), of("chars")), "word_distance": jensen_shannon(F.col("common"), of("common"))})
+    far = (F.col("n_words") >= min_words) & ((F.coalesce("char_distance", F.lit(0.0)) > max_char) | (F.coalesce("word_distance", F.lit(0.0)) > max_word))
     return seen.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
-def judge_quality(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_words: int = MIN_WORDS, min_common: int = MIN_COMMON) -> DataFrame:
+def judge_quality(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each row of docs (doc_id, text, lang; other columns are ignored).
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, char_distance, word_distance, kept.  A null text has no
-    words; a null lang is a language of its own.  A text under min_words words
-    fails the base rules anyway where min_words is 50; the character distance
-    counts from min_words words, the word distance from min_common common
-    words.  References are the sums over all documents of the language, which
-    Spark broadcasts only under its threshold.  Repeated rows are judged
-    alike; an empty table gives no rows.
+    words; a null lang is a language of its own.  Distances count from
+    min_words words.  References are sums over all documents that pass the
+    base rules, by language, or over all of them where a language has fewer
+    than MIN_REFERENCE_WORDS words; where none passes, distances are null.
+    Repeated rows are judged alike; an empty table gives no rows.
     """
-    seen = _judged(docs, max_char, max_word, min_words, min_common)
+    seen = _judged(docs, max_char, max_word, min_words)
     return seen.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("char_distance", 4).alias("char_distance"), F.round("word_distance", 4).alias("word_distance"), "kept")
 
 
@@ -121,10 +129,10 @@ def keep_good_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that judge_quality keeps, with all their columns.
 
     The verdict follows from text and lang, so rejected (text, lang) pairs are
-    taken out by an anti-join, broadcast only up to a number of rows.
+    taken out by an anti-join, which sends them whole only where they are few.
+    Nulls, empty texts, repeated rows and empty tables are as in judge_quality.
     """
-    rejected = _judged(docs, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_WORDS, MIN_COMMON).where(~F.col("kept")).select(F.col("text_key").alias("_key"), F.col("lang").alias("_lang")).distinct()
-    rejected = written(rejected, "rejected")
-    side = F.broadcast(rejected) if rejected.count() <= BROADCAST_ROWS else rejected
+    rejected = _judged(docs, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_WORDS).where(~F.col("kept")).select(F.col("text_key").alias("__key"), F.col("lang").alias("__lang")).distinct()
+    side = sent_if_small(written(rejected, "rejected"), KEY_BYTES)
     key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    return docs.join(side, (key == F.col("_key")) & (F.coalesce("lang", F.lit("")) == F.col("_lang")), "left_anti")
+    return docs.join(side, (key == F.col("__key")) & (F.coalesce("lang", F.lit("")) == F.col("__lang")), "left_anti")
