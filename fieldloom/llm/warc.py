@@ -18,16 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import scratch_path, written
+from fieldloom.llm.common import scratch_path, sent_if_small, written
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads under this size are never revisits.
 MIN_REVISIT_BYTES = 1000
-#: Records of an archive file: what a reader holds at once.
-RECORDS_A_FILE = 6000
-#: The table of repeated payloads is broadcast up to this many rows (under 200 bytes each).
-BROADCAST_ROWS = 100_000
+#: Size classes of payloads, as (bytes below, pages of an archive file): a file, which a reader holds at once, is some 32 MB or one page.
+FILE_PAGES = ((16 << 10, 2000), (256 << 10, 128), (1 << 20, 32), (1 << 40, 1))
+#: Bytes of a repeated payload, or of a repeated page, in a table that is sent whole.
+COPY_BYTES = 512
 RECORD = pa.schema([
     ("record_id", pa.string()), ("kind", pa.string()), ("target", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()),
     ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha1", pa.string()), ("fields", pa.string()), ("payload", pa.binary()),
@@ -35,8 +35,9 @@ RECORD = pa.schema([
 RECORD_DDL = "record_id string, kind string, target string, concurrent_to array<string>, refers_to string, payload_digest string, payload_bytes bigint, payload_sha1 string, fields string, payload binary"
 
 
-def _record_id(page_id: Column, url: Column, digest: Column, kind: str) -> Column:
-    h = F.md5(F.to_json(F.struct(page_id.alias("p"), url.alias("u"), digest.alias("d"), F.lit(kind).alias("k"))).cast("binary"))
+def _record_id(page_id: Column, url: Column, digest: Column, number: Column, kind: str) -> Column:
+    """An id that follows from the page and its number among equal ones; the first has none in its key."""
+    h = F.md5(F.to_json(F.struct(page_id.alias("p"), url.alias("u"), digest.alias("d"), F.nullif(number, F.lit(0)).alias("n"), F.lit(kind).alias("k"))).cast("binary"))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -55,33 +56,52 @@ def write_archives(pages: DataFrame, path: str, date: str, min_revisit: int = MI
     Of rows with equal payloads of min_revisit bytes or more, that with the
     largest page_id (then url) is the response, the others are revisits, whose
     payload isn't written again.  A null html is an empty payload; a null url
-    has the target urn:none.  Record ids follow from page_id, url and payload:
-    a row that repeats all three is the same capture and has the same ids.
-    The only shuffle is of repeated digests.
+    has the target urn:none; a null page_id is less than all others.  Rows
+    that repeat each other are captures of their own: they are numbered, and
+    record ids follow from page_id, url, payload and number.  An empty table
+    gives no archives.  The shuffles are of digests and keys, not payloads
+    (but for rows that repeat each other).  A file is a gzip stream of its
+    own; records in it aren't separate gzip members.
     """
     html = F.coalesce("html", F.lit(""))
     base = pages.select("page_id", F.coalesce("url", F.lit("urn:none")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("bytes"))
+    keys = written(base.select("page_id", "url", "digest", "bytes"), "page-keys")
     latest = F.max(F.struct("page_id", "url")).alias("latest")
-    again = written(base.where(F.col("bytes") >= min_revisit).groupBy("digest").agg(latest, F.count("*").alias("n")).where("n > 1").select("digest", "latest"), "payload-copies")
-    small = again.count() <= BROADCAST_ROWS
-    rows = base.join(F.broadcast(again) if small else again, "digest", "left")
+    copies = written(keys.where(F.col("bytes") >= min_revisit).groupBy("digest").agg(latest, F.count("*").alias("n")).where("n > 1").select("digest", "latest"), "payload-copies")
+    own_key = F.unhex(F.md5(F.to_json(F.struct("page_id", "url", "digest")).cast("binary")))
+    again = written(keys.groupBy(own_key.alias("key")).agg(F.count("*").alias("n")).where("n > 1"), "page-copies")
+    if again.isEmpty():
+        rows = base.withColumn("number", F.lit(0))
+    else:
+        known = base.withColumn("key", own_key).join(sent_if_small(again, COPY_BYTES), "key", "left")
+        alone = known.where("n is null").select(*base.columns, F.lit(0).alias("number"))
+        many = known.where("n is not null").groupBy("key", "n").agg(*[F.first(c).alias(c) for c in base.columns])
+        rows = alone.union(many.select(*base.columns, F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("number")))
+    rows = rows.join(sent_if_small(copies, COPY_BYTES), "digest", "left")
     url = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
-    revisit = F.col("latest").isNotNull() & ~F.struct("page_id", "url").eqNullSafe(F.col("latest")) & (F.col("bytes") >= min_revisit)
-    own = lambda kind: _record_id(F.col("page_id"), F.col("url"), F.col("digest"), kind)
+    revisit = F.col("latest").isNotNull() & ~(F.struct("page_id", "url").eqNullSafe(F.col("latest")) & (F.col("number") == 0)) & (F.col("bytes") >= min_revisit)
+    own = lambda kind: _record_id(F.col("page_id"), F.col("url"), F.col("digest"), F.col("number"), kind)
     day = ("WARC-Date", date)
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF + CRLF))
     host = F.regexp_extract(url, "://([^/?#]*)", 1)
     rest = F.regexp_extract(url, "://[^/?#]*(.*)$", 1)
     request = _record("request", [("WARC-Record-ID", own("request")), day, ("WARC-Target-URI", url), ("WARC-Concurrent-To", own("response")), ("Content-Type", "application/http; msgtype=request")], F.concat(F.lit("GET "), F.when(rest == "", "/").otherwise(rest), F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF + CRLF)))
-    referred = F.when(revisit, _record_id(F.col("latest.page_id"), F.col("latest.url"), F.col("digest"), "response"))
+    referred = F.when(revisit, _record_id(F.col("latest.page_id"), F.col("latest.url"), F.col("digest"), F.lit(0), "response"))
     response = _record(
         F.when(revisit, "revisit").otherwise("response"),
         [("WARC-Record-ID", own("response")), day, ("WARC-Target-URI", url), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), ("WARC-Refers-To", referred), ("WARC-Profile", F.when(revisit, F.lit(PROFILE))), ("Content-Type", "application/http; msgtype=response")],
         F.concat(http, F.when(revisit, "").otherwise(F.col("html"))),
     )
     metadata = _record("metadata", [("WARC-Record-ID", own("metadata")), day, ("WARC-Target-URI", url), ("WARC-Concurrent-To", own("response")), ("Content-Type", "application/warc-fields")], F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF)))
-    records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    written_bytes = F.when(revisit, 0).otherwise(F.col("bytes"))
+    below = 0
+    sizes = keys.select(*[F.max((F.col("bytes") >= a) & (F.col("bytes") < b)) for a, b in zip((0, *[c for c, _ in FILE_PAGES]), [c for c, _ in FILE_PAGES], strict=False)]).first()
+    for (limit, pages_a_file), present in zip(FILE_PAGES, sizes, strict=True):
+        if present or not below:  # revisits are of the first class, whatever their payload's size
+            own_class = rows.where((written_bytes >= below) & (written_bytes < limit))
+            records = own_class.select(F.explode(F.array(request, response, metadata)).alias("value"))
+            records.write.mode("append").option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", 3 * pages_a_file).text(path)
+        below = limit
 
 
 def parse_archive(stream: io.BufferedIOBase) -> Iterator[dict]:
@@ -112,7 +132,12 @@ def parse_archive(stream: io.BufferedIOBase) -> Iterator[dict]:
 
 
 def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """All records of the archives under path (gzip'd or plain); payload is null where payloads is false."""
+    """All records of the archives under path (gzip'd or plain); payload is null where payloads is false.
+
+    Records come in any order, repeated ones as often as they stand; a header
+    that is missing is null; a file that isn't WARC raises an error; a folder
+    without archives gives no rows.
+    """
 
     def records(batches):
         rows, held = [], 0
@@ -169,7 +194,11 @@ def assemble_transactions(records: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Captures of pages, written as archives to the shared folder and read back; payloads are hashed, not kept."""
+    """Captures of pages, written as archives to the shared folder and read back; payloads are hashed, not kept.
+
+    One capture for each row, repeated ones too; nulls, empty texts, ties and
+    empty tables are as in write_archives, other columns are ignored.
+    """
     path = scratch_path(pages.sparkSession, "warc")
     write_archives(pages, path, date)
     return assemble_transactions(written(read_records(pages.sparkSession, path, payloads=False).drop("payload"), "warc-records"))
