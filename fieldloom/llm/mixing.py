@@ -19,15 +19,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.llm.common import WORD, written
+from fieldloom.llm.common import WORD, sent_if_small, written
 from fieldloom.llm.textnum import mix as mixed_bits
 from fieldloom.llm.textnum import slices, text_buffers, word_bounds
 
 BLOCK_WORDS, OUTPUT_SHARDS, SEED, MAX_REPEATS = 64, 64, 17, 3
-#: A source is laid out in this many chunks; offsets are sums over chunks, then within one.
-CHUNKS = 4096
+#: Rows of the table for each chunk that a source is laid out in; offsets are sums over chunks, then within one.
+ROWS_A_CHUNK = 20_000
+MIN_CHUNKS, MAX_CHUNKS = 64, 1_000_000
 #: More sources than this raise an error: weights are given for each, so they are few.
 MAX_SOURCES = 10_000
+SOURCE_BYTES = 256
 SLOTS_A_TASK = 1_000_000
 
 
@@ -84,11 +86,11 @@ def _permuted(at: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
 
 
 def lay_out(docs: DataFrame, block_words: int = BLOCK_WORDS, cap: float = MAX_REPEATS, keep_text: bool = False) -> tuple[DataFrame, list[dict]]:
-    """(documents with rid, size, s and start within their source; the sources in order with size, weight, target)."""
+    """(documents with rid and size; rid, copy, s and start within its source of each row, where rows that repeat each other share the first's rid; the sources in order)."""
     text = F.coalesce("text", F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
     columns = docs.columns if keep_text else ["doc_id", "source"]
-    rows = written(docs.select(*[F.col(c).alias(f"in_{c}") for c in columns], F.monotonically_increasing_id().alias("rid"), size.alias("size"), F.xxhash64("doc_id", "text").alias("h")), "mix-documents")
+    rows = written(docs.select(*[F.col(c).alias(f"in_{c}") for c in columns], F.monotonically_increasing_id().alias("rid"), size.alias("size"), F.xxhash64("doc_id", "text").alias("h"), F.xxhash64(*columns).alias("same")), "mix-documents")
     found = rows.groupBy(F.col("in_source").alias("source")).agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources")
@@ -99,18 +101,22 @@ def lay_out(docs: DataFrame, block_words: int = BLOCK_WORDS, cap: float = MAX_RE
     sources = [{"s": i, "source": r["source"], "size": z, "target": t, "blocks": -(-z // block_words)} for i, (r, z, t) in enumerate(zip(found, sizes, targets, strict=True))]
     schema = "s int, source string, source_size bigint, target double, blocks bigint"
     side = rows.sparkSession.createDataFrame([(x["s"], x["source"], x["size"], x["target"], x["blocks"]) for x in sources], schema)
-    named = rows.join(F.broadcast(side), F.col("in_source").eqNullSafe(F.col("source")), "inner").drop("source")  # at most MAX_SOURCES rows
-    named = named.withColumn("chunk", F.pmod("h", F.lit(CHUNKS)).cast("int"))
-    bases = named.groupBy("s", "chunk").agg(F.sum("size").alias("n"))
-    bases = bases.select("s", "chunk", (F.sum("n").over(Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
-    within = F.sum("size").over(Window.partitionBy("s", "chunk").orderBy("h", "in_doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    slim = named.select("rid", "in_doc_id", "s", "chunk", "size", within.alias("within"), "source_size", "target")
-    placed = slim.join(bases, ["s", "chunk"]).select("rid", F.col("in_doc_id").alias("doc_id"), "s", "size", (F.col("base") + F.col("within")).alias("start"), "source_size", "target")
-    return rows, placed, sources
+    named = rows.join(sent_if_small(side, SOURCE_BYTES), F.col("in_source").eqNullSafe(F.col("source")), "inner").drop("source")
+    # Rows that repeat each other are one row with a count: they don't meet in a window.
+    alike = named.groupBy("s", "h", "in_doc_id", "size", "same", "source_size", "target").agg(F.min("rid").alias("rid"), F.count("*").alias("n"))
+    chunks = max(MIN_CHUNKS, min(MAX_CHUNKS, -(-rows.count() // ROWS_A_CHUNK)))
+    alike = alike.withColumn("chunk", F.pmod("h", F.lit(chunks)).cast("int")).withColumn("words", F.col("size") * F.col("n"))
+    bases = alike.groupBy("s", "chunk").agg(F.sum("words").alias("w"))
+    bases = bases.select("s", "chunk", (F.sum("w").over(Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("w")).alias("base"))
+    within = F.sum("words").over(Window.partitionBy("s", "chunk").orderBy("h", "in_doc_id", "size", "same").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
+    slim = alike.select("rid", "n", "in_doc_id", "s", "chunk", "size", "same", within.alias("within"), "source_size", "target")
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("copy")
+    placed = slim.join(bases, ["s", "chunk"]).select("rid", copies, F.col("in_doc_id").alias("doc_id"), "s", "size", (F.col("base") + F.col("within")).alias("start"), "source_size", "target")
+    return rows, placed.withColumn("start", F.col("start") + F.col("copy") * F.col("size")), sources
 
 
 def draw_spans(placed: DataFrame, sources: list[dict], block_words: int = BLOCK_WORDS, n_shards: int = OUTPUT_SHARDS, seed: int = SEED) -> DataFrame:
-    """What the mix holds: shard, s, slot, epoch, block, rid, word_from, word_to; a slot's rows are one block of words."""
+    """What the mix holds: shard, s, slot, epoch, block, rid, copy, word_from, word_to; a slot's rows are one block of words."""
     spark = placed.sparkSession
     quotas = []
     for x in sources:
@@ -121,15 +127,17 @@ def draw_spans(placed: DataFrame, sources: list[dict], block_words: int = BLOCK_
     first = np.cumsum(counts, axis=0) - counts
     made = [(i, x["s"], int(counts[i, j]), int(first[i, j]), x["blocks"]) for j, x in enumerate(sources) for i in range(len(counts)) if counts[i, j]]
     runs = spark.createDataFrame(made, "shard int, s int, n bigint, first bigint, blocks bigint")
-    runs = runs.withColumn("run", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {SLOTS_A_TASK}")))).repartition("shard", "s", "run")
+    runs = runs.withColumn("run", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {SLOTS_A_TASK}"))))
+    # As many tasks as there are runs of slots: the runs are few rows, and would else be merged into one task.
+    runs = runs.repartition(max(1, sum(-(-m[2] // SLOTS_A_TASK) for m in made)), "shard", "s", "run")
     begin = F.col("run") * SLOTS_A_TASK
     slots = runs.select("shard", "s", "blocks", F.explode(F.sequence(F.col("first") + begin, F.col("first") + F.least(F.col("n"), begin + SLOTS_A_TASK) - 1)).alias("slot"))
     slots = slots.withColumn("epoch", F.expr("slot div blocks")).withColumn("block", _permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "s", "epoch")))
     w = F.lit(block_words).cast("long")
-    pieces = placed.where("size > 0").select("rid", "s", "start", "size", F.explode(F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))).alias("block"))
-    pieces = pieces.select("rid", "s", "block", (F.greatest("start", F.col("block") * w) - F.col("start")).alias("word_from"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * w) - F.col("start")).alias("word_to"))
+    pieces = placed.where("size > 0").select("rid", "copy", "s", "start", "size", F.explode(F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))).alias("block"))
+    pieces = pieces.select("rid", "copy", "s", "block", (F.greatest("start", F.col("block") * w) - F.col("start")).alias("word_from"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * w) - F.col("start")).alias("word_to"))
     # The plan's estimate of the slots is that of the few runs they come from: without the hint they would be broadcast.
-    return slots.hint("merge").join(pieces, ["s", "block"]).select("shard", "s", "slot", "epoch", "block", "rid", "word_from", "word_to")
+    return slots.hint("merge").join(pieces, ["s", "block"]).select("shard", "s", "slot", "epoch", "block", "rid", "copy", "word_from", "word_to")
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
@@ -144,8 +152,8 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     """
     _, placed, sources = lay_out(docs, **options)
     spans = draw_spans(placed, sources, **options)
-    taken = spans.groupBy("rid").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
-    return placed.join(taken, "rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = spans.groupBy("rid", "copy").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
+    return placed.join(taken, ["rid", "copy"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def cut_words(text: bytes, spans: list[tuple[int, int]], starts: np.ndarray) -> bytes:
@@ -159,10 +167,13 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
     text is the document's taken words in that epoch, in order, with the white
     space after them: the whole text where all words are taken.  n_chars, if
-    there, is that text's.  Documents that aren't taken have no row.
+    there, is that text's.  Documents that aren't taken have no row: null and
+    empty texts never have one.  Repeated rows are taken each for itself; ties
+    in the order go by hash.  Other columns are passed on whatever their
+    names.  An empty table gives no rows.
     """
     rows, placed, sources = lay_out(docs, keep_text=True)
-    taken = draw_spans(placed, sources).groupBy("rid", "epoch").agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("spans"))
+    taken = draw_spans(placed, sources).groupBy("rid", "copy", "epoch").agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("spans"))
     joined = rows.join(taken, "rid")
     whole = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.word_to - s.word_from) >= F.col("size")
     joined = joined.withColumn("cut", F.when(~whole, F.col("spans")))
