@@ -143,7 +143,8 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.explode(places(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull())).alias("p"))
     rows = rows.withColumns({"range": F.when(F.col("p") < 0, -1 - F.col("p")).otherwise(F.col("p")), "halo": F.col("p") < 0})
-    rows = rows.repartition(max(ranges, 1), "range").withColumn("h", F.xxhash64("text")).sortWithinPartitions("range", "halo", F.desc("doc_id"), "h")
+    # By number, so no task gets two ranges while another has none.
+    rows = rows.repartitionById(max(ranges, 1), F.col("range")).withColumn("h", F.xxhash64("text")).sortWithinPartitions("range", "halo", F.desc("doc_id"), "h")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, str]] = []
