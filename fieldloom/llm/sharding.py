@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import written
+from fieldloom.llm.common import sent_if_small, written
 
 #: Bits of the key that a round of probes adds; the first round has 2**16 candidates.
 ROUNDS = (16, 12, 12, 12, 12, 16, 12, 12, 12, 12)
 #: A splitter is settled when it is within this share of a shard's mean bytes of its target.
 TOLERANCE = 0.002
 ROWS_A_RANGE = 1_000_000
+#: Bytes of an open cell, and of a range's start, in tables that are sent whole.
+CELL_BYTES = 64
 
 
 def _bits(upto: int, width: int) -> Column:
@@ -46,8 +48,10 @@ def find_splitters(keys: DataFrame, targets: list[float], tolerance: float) -> l
             break
         grid = keys
         if used:
-            grid = grid.where(_prefix_column(used).isin(*[_prefix_value(p, used) for p in cells]))
-        counts = grid.groupBy(_prefix_column(used).alias("cell") if used else F.lit("").alias("cell"), _bits(used + width, width).alias("probe")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
+            spark = keys.sparkSession
+            live = spark.createDataFrame(pa.table({"cell": pa.array([_prefix_value(p, used) for p in cells], pa.string())}))
+            grid = grid.withColumn("cell", _prefix_column(used)).join(sent_if_small(live, CELL_BYTES), "cell", "left_semi")
+        counts = grid.groupBy("cell" if used else F.lit("").alias("cell"), _bits(used + width, width).alias("probe")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
         by_cell: dict[str, list[tuple[int, int, int]]] = {}
         for r in counts:
             by_cell.setdefault(r["cell"], []).append((r["probe"], r["bytes"], r["n"]))
@@ -100,7 +104,8 @@ def histogram_shards(docs: DataFrame, n_shards: int, group: str, size: Column, c
     place, so a group of any size can be cut, one of identical
     rows too.  Nulls in group or tie columns are values like others.  An empty
     table gives no rows; a shard may be empty where there are few rows.
-    carry's names must differ from size, shard, slot, k1 and k2.
+    carry's names must differ from size, shard, slot, base, k1 and k2; with the
+    text among them whole rows are exchanged, else only what is carried.
     """
     spark = docs.sparkSession
     keys = written(docs.select(*carry, size.cast("long").alias("size"), F.xxhash64(group).alias("k1"), _row_key(tie).alias("k2")), "shard-keys")
@@ -125,9 +130,10 @@ def histogram_shards(docs: DataFrame, n_shards: int, group: str, size: Column, c
     full = F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0"))
     ranged = keys.withColumn("cell", _bits(16, 16).cast("int")).join(F.broadcast(place), "cell")  # 2**16 rows
     ranged = ranged.withColumn("range", F.col("before") + F.size(F.filter("cuts", lambda c: c <= full)))
-    starts = F.array(*[F.lit(n) for _, n in below]).cast("array<bigint>")
+    firsts = [n for _, n in below]
+    starts = spark.createDataFrame(pa.table({"range": pa.array(range(len(firsts)), pa.int32()), "base": pa.array([n - firsts[i // per * per] for i, n in enumerate(firsts)], pa.int64())}))
+    ranged = ranged.join(sent_if_small(starts, CELL_BYTES), "range")
     shard = F.floor(F.col("range") / per).cast("int")
     names = [c for c in keys.columns if c not in ("k1", "k2")]
     number = F.row_number().over(Window.partitionBy("range").orderBy("k1", "k2", *[c for c in names if c != "size"])) - 1
-    base = F.element_at(starts, F.col("range") + 1) - F.element_at(starts, shard * per + 1)
-    return ranged.select(*names, shard.alias("shard"), (base + number).alias("slot"))
+    return ranged.select(*names, shard.alias("shard"), (F.col("base") + number).alias("slot"))
