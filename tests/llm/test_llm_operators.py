@@ -172,8 +172,13 @@ def test_warc(spark, tmp_path):
     big, small = "<p>é世</p>\r\n\r\nWARC/1.1\r\n" * 80, "tiny"
     pages = [(1, "http://a.org/x\ny", big), (2, "http://b.org/", big), (3, None, big), (4, "http://c.org/", small), (5, "http://c.org/", small), (6, "u", None), (None, "http://n.org", "z" * 2000), (2, "http://b.org/", big)]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id bigint, url string, html string, payload string").select("page_id", "url", "html")
-    got = {r.metadata[0].fields.strip(): r for r in warc.round_trip(df).collect()}
+    found = warc.round_trip(df).collect()
+    twice = [r for r in found if r.metadata[0].fields.strip() == "page-id: 2"]
+    assert len(found) == 8 and len({r.capture_id for r in found}) == 8 and [r.response.kind for r in twice] == ["revisit", "revisit"]
+    got = {r.metadata[0].fields.strip(): r for r in found}
     assert len(got) == 7
+    last = warc.round_trip(spark.createDataFrame([(9, "u", "y" * 1500)] * 3, "page_id bigint, url string, html string")).collect()
+    assert sorted(r.response.kind for r in last) == ["response", "revisit", "revisit"] and all(r.original is not None for r in last if r.response.kind == "revisit")
     kinds = {k: (r.response.kind, r.original and r.original.payload_sha1, len(r.requests)) for k, r in got.items()}
     sha = hashlib.sha1(big.encode()).hexdigest()
     assert kinds["page-id: 3"] == ("response", None, 1) and kinds["page-id: 1"] == kinds["page-id: 2"] == ("revisit", sha, 1) and kinds["page-id: 5"][0] == "response"
@@ -322,6 +327,27 @@ def test_sketch_columns(spark):
     assert r[2] == sketch.to_text(np.unique(h)[:128])
 
 
+@pytest.mark.parametrize("raw", [b"ab\0\0", b"\0" * 20, b"banana\0\0\0", b"a\0b\0\0a\0", bytes(random.Random(1).choices(b"\0\1", k=300))])
+def test_suffix_array_with_zero_bytes(raw):
+    order = suffix.suffix_array(np.frombuffer(raw, np.uint8))
+    assert [raw[i:] for i in order] == sorted(raw[i:] for i in range(len(raw)))
+
+
+def test_substrings_with_zero_characters(spark):
+    passage = " ".join(words(30, 77))
+    rows = [(i, f"{' '.join(words(20, 500 + i))} {passage}" + "\0" * (i % 5)) for i in range(60)] + [(100, "\0" * 200), (101, "\0" * 130 + "x"), (102, "a" + "\0" * 60)]
+    assert removed(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)) == brute_removed(rows)
+
+
+def test_substrings_leave_callers_columns(spark):
+    passage = " ".join(words(40, 78))
+    rows = [(1, f"one {passage}", "a", "b"), (2, f"two {passage}", "c", "d"), (2, f"two {passage}", "c", "d")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, rid string, block string")
+    out = substring.remove_repeats(df).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.rid, r.block) for r in out] == [(1, "a", "b"), (2, "c", "d"), (2, "c", "d")] and out[0].text == rows[0][1] and len(out[1].text) < 10
+    assert removed(df) == brute_removed([r[:2] for r in rows])
+
+
 @pytest.mark.parametrize("n, letters", [(0, 2), (1, 2), (9, 1), (70, 1), (300, 2), (500, 20)])
 def test_suffix_array(n, letters):
     data = np.random.default_rng(n).integers(97, 97 + letters, n).astype(np.uint8)
