@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import written
+from fieldloom.llm.common import dropped, stored
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -56,9 +56,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each is a minimum by key (pre-aggregated before its shuffle) and a join,
     so a node with a third of all links is no group that a task must hold.
     """
-    edges = written(edges.select("a", "b"), "pairs")
+    spark = edges.sparkSession
+    edges, pairs_path = stored(edges.select("a", "b"), "pairs")
     kind = edges.schema["a"].dataType.simpleString()
-    e = written(edges.coalesce(max(1, -(-edges.count() // CHUNK_LINKS))).mapInArrow(_contracted, f"u {kind}, v {kind}"), "links")
+    e, path = stored(edges.coalesce(max(1, -(-edges.count() // CHUNK_LINKS))).mapInArrow(_contracted, f"u {kind}, v {kind}"), "links")
+    dropped(spark, pairs_path)
     state = _state(e)
     while state[0]:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -66,7 +68,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = written(small, "links")
+        before = path
+        e, path = stored(small, "links")
+        dropped(spark, before)
         now = _state(e)
         if now == state:
             break
