@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import WORD, scratch_path, written
+from fieldloom.llm.common import WORD, scratch_path, sent_if_small, written
 from fieldloom.llm.suffix import common_prefixes, suffix_array
 from fieldloom.llm.textnum import U, mix, powers, slices, text_buffers
 
@@ -37,8 +37,11 @@ BLOCK_BYTES = 4 << 20
 #: An anchor that this many documents have goes window by window.
 HOT_DOCS = 5_000
 #: Key ranges and shards are counted for about this much text in each.
-RANGE_BYTES, SHARD_BYTES = 64 << 20, 8 << 20
-BROADCAST_ROWS = 1_000_000
+RANGE_BYTES, SHARD_BYTES = 64 << 20, 4 << 20
+#: A suffix array covers about this much of a shard; surroundings of one anchor stay together.
+SORTED_BYTES = 512 << 10
+#: Bytes of a text's key with an id in a table that is sent whole.
+KEY_BYTES = 64
 NO_ID = np.iinfo(np.int64).max
 _MULT = 0xF1357AEA2E62A9C5 | 1
 _WHERE = U(0xFFFFFF)
@@ -110,37 +113,47 @@ def shard_spans(doc: np.ndarray, key: np.ndarray, count: np.ndarray, around: lis
     # Anchors with several surroundings: which of their windows are equal?
     keys, n_around = np.unique(key[rep], return_counts=True)
     mixed = np.flatnonzero(n_around[np.searchsorted(keys, key[rep])] > 1)
-    if len(mixed):
-        texts = [around[rep[u]] for u in mixed]
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        size = np.array([len(t) for t in texts])
-        begin = np.cumsum(size) - size
-        order = suffix_array(data)
-        shared = common_prefixes(data, order, WINDOW)
-        group = np.cumsum(shared < WINDOW) - 1
-        owner = np.repeat(np.arange(len(mixed)), size)
-        place = np.arange(len(data)) - begin[owner]
-        valid = place < count[rep[mixed]][owner]
-        ids = np.where(valid, least[mixed][owner], NO_ID)
-        low = np.full(group[-1] + 1, NO_ID)
-        np.minimum.at(low, group, ids[order])
-        hit = np.zeros(len(data), bool)
-        hit[order] = low[group] < ids[order]
-        hit &= valid
-        # Runs of hit windows of each surrounding, for its entries with the least id.
-        edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-        up, down = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        cut = owner[up] != owner[down - 1]
-        assert not cut.any()  # the last WINDOW - 1 places of a surrounding are never valid
-        kept = np.flatnonzero(doc == least[back])
-        entries = kept[np.argsort(back[kept], kind="stable")]
-        lo, hi = np.searchsorted(back[entries], mixed[owner[up]], "left"), np.searchsorted(back[entries], mixed[owner[up]], "right")
+    mixed = mixed[np.argsort(key[rep[mixed]], kind="stable")]
+    kept = np.flatnonzero(doc == least[back])
+    entries = kept[np.argsort(back[kept], kind="stable")]
+    owners = back[entries]
+    # Cut at anchors, so that an array stays in the cache and windows meet all that can equal them.
+    size = count[rep[mixed]] + WINDOW - 1
+    first = np.ones(len(mixed), bool)
+    first[1:] = key[rep[mixed]][1:] != key[rep[mixed]][:-1]
+    piece = (np.cumsum(size) - size)[first] // SORTED_BYTES
+    edges = np.append(np.flatnonzero(first)[np.concatenate([[True], piece[1:] != piece[:-1]])], len(mixed)) if len(mixed) else [0]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        own = mixed[a:b]
+        of, up, down = _equal_windows([around[rep[u]] for u in own], count[rep[own]], least[own])
+        lo, hi = np.searchsorted(owners, own[of], "left"), np.searchsorted(owners, own[of], "right")
         n = hi - lo
         pick = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out.append((entries[pick], np.repeat(up - begin[owner[up]], n), np.repeat(down - begin[owner[up]] + WINDOW - 1, n)))
+        out.append((entries[pick], np.repeat(up, n), np.repeat(down + WINDOW - 1, n)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _equal_windows(texts: list[bytes], count: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first, end) of runs of windows that equal one of a text with a smaller least; the first count places of a text are windows."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    size = np.array([len(t) for t in texts])
+    begin = np.cumsum(size) - size
+    order = suffix_array(data, WINDOW)
+    shared = common_prefixes(data, order, WINDOW)
+    group = np.cumsum(shared < WINDOW) - 1
+    owner = np.repeat(np.arange(len(texts)), size)
+    valid = np.arange(len(data)) - begin[owner] < count[owner]
+    ids = np.where(valid, least[owner], NO_ID)
+    low = np.full(group[-1] + 1, NO_ID)
+    np.minimum.at(low, group, ids[order])
+    hit = np.zeros(len(data), bool)
+    hit[order] = low[group] < ids[order]
+    hit &= valid  # the last WINDOW - 1 places of a text never are, so no run crosses texts
+    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    up, down = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return owner[up], up - begin[owner[up]], down - begin[owner[up]]
+
+
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -197,22 +210,32 @@ def _ranged(key: np.ndarray, n: int) -> np.ndarray:
 
 
 def _send_anchors(blocks: DataFrame, n_ranges: int) -> DataFrame:
+    """For each range and block: the block's distinct anchors in order, and for those of several documents (place, count) pairs."""
+
     def send(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 _, ids, offsets, data = _arrays(batch, i)
                 row, key, _, _ = _block_anchors(data, offsets)
-                # Each document counts once for an anchor; within a block sorted by anchor.
+                # Each document counts once for an anchor.
+                key = key >> U(8) & U((1 << 40) - 1)
                 order = np.lexsort((ids[row], key))
                 key, own = key[order], ids[row][order]
-                keep = np.ones(len(key), bool)
-                keep[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
-                key = key[keep]
-                cut = np.searchsorted(_ranged(key, n_ranges), np.arange(n_ranges + 1))
-                rows = [r for r in range(n_ranges) if cut[r] < cut[r + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([batch.column("block")[i].as_py()] * len(rows), pa.int64()), pa.array([(key[cut[r] : cut[r + 1]] >> U(8)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for r in rows], pa.binary())], names=["range", "block", "keys"])
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+                key, n = np.unique(key[new], return_counts=True)
+                cut = np.searchsorted(_ranged(key << U(8), n_ranges), np.arange(n_ranges + 1))
+                rows = [(r, slice(cut[r], cut[r + 1])) for r in range(n_ranges) if cut[r] < cut[r + 1]]
+                several = [np.flatnonzero(n[part] > 1) for _, part in rows]
+                counts = [np.stack([at, np.minimum(n[part][at], 2**32 - 1)], axis=1).astype("<u4").tobytes() for at, (_, part) in zip(several, rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([batch.column("block")[i].as_py()] * len(rows), pa.int64()), pa.array([_packed(key[part]) for _, part in rows], pa.binary()), pa.array(counts, pa.binary())], names=["range", "block", "keys", "counts"])
+
+    return blocks.mapInArrow(send, "range int, block bigint, keys binary, counts binary")
+
 
-    return blocks.mapInArrow(send, "range int, block bigint, keys binary")
+def _packed(key: np.ndarray) -> bytes:
+    """40-bit numbers as 5 bytes each."""
+    return np.ascontiguousarray(key, "<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
 def _forty(blob: bytes) -> np.ndarray:
@@ -227,19 +250,28 @@ def _shared_anchors(sent: DataFrame, hot: int) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         lists = [_forty(x.as_py()) for x in table.column("keys")]
-        every = np.sort(np.concatenate(lists))
-        distinct, n = np.unique(every, return_counts=True)
+        counts = []
+        for own, blob in zip(lists, table.column("counts"), strict=True):
+            n = np.ones(len(own), np.int64)
+            pairs = np.frombuffer(blob.as_buffer(), "<u4").reshape(-1, 2)
+            n[pairs[:, 0]] = pairs[:, 1]
+            counts.append(n)
+        every = np.concatenate(lists)
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        start = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+        n = np.add.reduceat(np.concatenate(counts)[order], start) if len(every) else np.zeros(0, np.int64)
+        distinct = every[start]
         several, many = distinct[(n > 1) & (n < hot)], distinct[n >= hot]
         back = []
         for own in lists:
             # Binary search of the block's sorted anchors in the merged ones.
-            own = np.unique(own)
             both = []
             for found in (several, many):
                 at = np.searchsorted(found, own)
                 ok = at < len(found)
                 ok[ok] = found[at[ok]] == own[ok]
-                both.append(own[ok].view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+                both.append(_packed(own[ok]))
             back.append(both)
         return pa.table([table.column("block"), pa.array([b[0] for b in back], pa.binary()), pa.array([b[1] for b in back], pa.binary())], names=["block", "several", "many"])
 
@@ -324,33 +356,40 @@ def _in_shards(around: DataFrame) -> DataFrame:
 
 
 def _by_window(around: DataFrame) -> DataFrame:
-    """Spans of hot anchors: each of their windows is a row, whose least document is an aggregate."""
+    """Spans of hot anchors: each of their windows is a row of its block, and its least document is an aggregate over the blocks."""
 
     def split(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 rows, ids, firsts, counts = (np.asarray(batch.column(c)[i].values) for c in ("rows", "ids", "firsts", "counts"))
-                raw, at, out = batch.column("around")[i].as_py(), 0, []
+                raw, at = batch.column("around")[i].as_py(), 0
+                places: dict[bytes, list[tuple[int, int, int]]] = {}
                 for r, d, f, c in zip(rows.tolist(), ids.tolist(), firsts.tolist(), counts.tolist(), strict=True):
-                    out += [(r, d, f + j, raw[at + j : at + j + WINDOW]) for j in range(c)]
+                    for j in range(c):
+                        places.setdefault(raw[at + j : at + j + WINDOW], []).append((r, d, f + j))
                     at += c + WINDOW - 1
                 block = batch.column("block")[i].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]], names=["block", "row", "id", "start", "window"])
+                made = [list(zip(*v, strict=True)) for v in places.values()]
+                columns = [pa.array([v[k] for v in made], pa.list_(pa.int64())) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(made), pa.int64()), pa.array(list(places), pa.binary()), *columns], names=["block", "window", "rows", "ids", "begins"])
 
-    windows = around.mapInArrow(split, "block bigint, row bigint, id bigint, start bigint, window binary")
-    least = windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    hit = windows.join(least, "window").where("id > least")
-    return hit.groupBy("block").agg(F.collect_list("row").alias("rows"), F.collect_list("start").alias("starts"), F.collect_list(F.col("start") + WINDOW).alias("ends"))
+    windows = around.mapInArrow(split, "block bigint, window binary, rows array<bigint>, ids array<bigint>, begins array<bigint>")
+    least = windows.groupBy("window").agg(F.min(F.array_min("ids")).alias("least"), F.max(F.array_max("ids")).alias("most")).where("least < most").select("window", "least")
+    hit = windows.join(least, "window").select("block", F.explode(F.filter(F.arrays_zip("rows", "ids", "begins"), lambda x: x.ids > F.col("least"))).alias("x"))
+    return hit.groupBy("block").agg(F.collect_list("x.rows").alias("rows"), F.collect_list("x.begins").alias("starts"), F.collect_list(F.col("x.begins") + WINDOW).alias("ends"))
+
+
+#: Name of the row numbers that this module gives; a caller's column of any other name is left alone.
+ROW_ID = "__substring_row"
 
 
 def removed_spans(docs: DataFrame, hot: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(all rows, marked where they copy a smaller document; the cut texts of the others)."""
+    """(all rows, marked where they copy a smaller document; the cut texts of the others); docs has ROW_ID, doc_id and text."""
     hot = hot or HOT_DOCS
-    keyed = docs.select("rid", F.coalesce("doc_id", F.lit(int(NO_ID))).alias("order_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = docs.select(F.col(ROW_ID).alias("rid"), F.coalesce("doc_id", F.lit(int(NO_ID))).alias("order_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
     copies = written(keyed.groupBy("key").agg(F.min("order_id").alias("original"), F.count("*").alias("n")).where("n > 1").select("key", "original"), "text-copies")
-    known = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
-    keyed = keyed.join(known, "key", "left").withColumn("copy", F.coalesce(F.col("original") < F.col("order_id"), F.lit(False)))
+    keyed = keyed.join(sent_if_small(copies, KEY_BYTES), "key", "left").withColumn("copy", F.coalesce(F.col("original") < F.col("order_id"), F.lit(False)))
     first = keyed.where(~F.col("copy"))
     total = first.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = -(-total // BLOCK_BYTES)
@@ -390,18 +429,9 @@ CUT = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int
 CUT_DDL = "rid bigint, doc_id bigint, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept_sha256 string, kept binary"
 
 
-def deduplicate_substrings(docs: DataFrame, hot: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, starts, ends (of maximal removed runs), kept (the bytes left) and kept_sha256 of each row.
-
-    docs has doc_id and text, and rid where rows must be told apart (it is
-    passed on); other columns are ignored.  A null text is an empty one.  A
-    null doc_id is larger than all others, and none is smaller than itself:
-    rows that share an id don't affect each other.  Matches never cross
-    documents, and are judged on the texts as they came.  A text that equals
-    one with a smaller id is removed whole if it has 50 bytes, and its work is
-    skipped.  An empty table gives no rows.
-    """
-    keyed, cut = removed_spans(docs if "rid" in docs.columns else docs.withColumn("rid", F.monotonically_increasing_id()), hot)
+def _cut_rows(docs: DataFrame, hot: int | None) -> DataFrame:
+    """rid and the columns of deduplicate_substrings for each row of docs (ROW_ID, doc_id, text)."""
+    keyed, cut = removed_spans(docs, hot)
     size = F.octet_length("text").cast("long")
     gone = size >= WINDOW
     none = F.array().cast("array<bigint>")
@@ -409,22 +439,38 @@ def deduplicate_substrings(docs: DataFrame, hot: int | None = None) -> DataFrame
         "rid", F.nullif("order_id", F.lit(int(NO_ID))).alias("doc_id"), size.alias("n_bytes"), F.when(gone, F.array(F.lit(0).cast("long"))).otherwise(none).alias("starts"), F.when(gone, F.array(size)).otherwise(none).alias("ends"),
         F.sha2(F.when(gone, "").otherwise(F.col("text")).cast("binary"), 256).alias("kept_sha256"), F.when(gone, "").otherwise(F.col("text")).cast("binary").alias("kept"),
     )
-    out = cut.union(copies)
-    return out if "rid" in docs.columns else out.drop("rid")
+    return cut.union(copies)
+
+
+def deduplicate_substrings(docs: DataFrame, hot: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, starts, ends (of maximal removed runs), kept (the bytes left) and kept_sha256 of each row.
+
+    docs has doc_id and text; other columns are ignored.  A null text is an
+    empty one; zero characters are bytes like others.  A null doc_id is larger
+    than all others, and none is smaller than itself: rows that share an id
+    don't affect each other.  Matches never cross documents, and are judged on
+    the texts as they came.  A text that equals one with a smaller id is
+    removed whole if it has 50 bytes, and its work is skipped.  An empty table
+    gives no rows.
+    """
+    return _cut_rows(docs.select("doc_id", "text", F.monotonically_increasing_id().alias(ROW_ID)), hot).drop("rid")
 
 
 def remove_repeats(docs: DataFrame, hot: int | None = None) -> DataFrame:
     """docs without the bytes that deduplicate_substrings removes; all columns are kept.
 
     Bytes of a character that was cut in two go with it.  Rows whose words
-    are all removed go; n_chars, if there, is the new text's.
+    are all removed go; n_chars, if there, is the new text's.  Null texts,
+    null ids, repeated rows and empty tables are as there: a null or empty
+    text loses nothing and stays, a null one as an empty text.
     """
-    numbered = written(docs.withColumn("rid", F.monotonically_increasing_id()), "texts")
-    cut = deduplicate_substrings(numbered.select("rid", "doc_id", "text"), hot).select("rid", "starts", "kept")
+    numbered = written(docs.withColumn(ROW_ID, F.monotonically_increasing_id()), "texts")
+    cut = _cut_rows(numbered.select(ROW_ID, "doc_id", "text"), hot)
     whole = F.size("starts") == 0
     text = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\uFFFD", "")
-    joined = numbered.drop("text").join(cut.select("rid", F.size("starts").alias("n_cut"), F.when(whole, F.col("kept").cast("string")).otherwise(text).alias("text")), "rid")
-    joined = joined.where((F.col("n_cut") == 0) | F.regexp_like("text", F.lit(WORD)))
+    cut = cut.select(F.col("rid").alias(ROW_ID), F.size("starts").alias("__n_cut"), F.when(whole, F.col("kept").cast("string")).otherwise(text).alias("text"))
+    joined = numbered.drop("text").join(cut, ROW_ID)
+    joined = joined.where((F.col("__n_cut") == 0) | F.regexp_like("text", F.lit(WORD)))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return joined.select(*docs.columns)

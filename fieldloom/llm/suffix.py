@@ -14,20 +14,28 @@ def _eight(data: np.ndarray) -> np.ndarray:
     return key
 
 
-def suffix_array(data: np.ndarray) -> np.ndarray:
+def suffix_array(data: np.ndarray, depth: int | None = None) -> np.ndarray:
     """Positions of data, sorted by the bytes from there to the end.
 
-    The first sort is by 8 bytes.  Then, as Larsson and Sadakane refine, only
-    groups that are still equal are sorted again, by the rank of the position
-    that lies h further, and h doubles.
+    The first sort is by 8 bytes; the end is less than any byte, a zero too.
+    Then, as Larsson and Sadakane refine, only groups that are still equal are
+    sorted again, by the rank of the position that lies h further, and h
+    doubles.  With a depth it ends when depth bytes are told apart: suffixes
+    that share them are side by side, in any order.
     """
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
     key = _eight(data)
     order = np.argsort(key, kind="stable")
+    # Of equal keys those that the end cuts short come first, the shortest before all.
+    short = np.arange(max(0, n - 7), n)
+    left = np.full(n, 8, np.int8)
+    left[short] = n - short
+    ties = np.flatnonzero(np.isin(key[order], key[short]))
+    order[ties] = order[ties][np.lexsort((left[order[ties]], key[order[ties]]))]
     new = np.ones(n, bool)
-    new[1:] = key[order][1:] != key[order][:-1]
+    new[1:] = (key[order][1:] != key[order][:-1]) | (left[order][1:] != left[order][:-1])
     h = 8
     while True:
         group = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # a group's number is its first place
@@ -36,7 +44,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         rank[n] = -1
         alone = new & np.append(new[1:], True)
         at = np.flatnonzero(~alone)
-        if not len(at):
+        if not len(at) or (depth and h >= depth):
             break
         pos = order[at]
         following = rank[np.minimum(pos + h, n)]
