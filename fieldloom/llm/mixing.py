@@ -30,7 +30,7 @@ MIN_CHUNKS, MAX_CHUNKS = 64, 1_000_000
 #: More sources than this raise an error: weights are given for each, so they are few.
 MAX_SOURCES = 10_000
 SOURCE_BYTES = 256
-SLOTS_A_TASK = 1_000_000
+SLOTS_A_TASK = 250_000
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, cap: float) -> list[float]:
@@ -128,8 +128,8 @@ def draw_spans(placed: DataFrame, sources: list[dict], block_words: int = BLOCK_
     made = [(i, x["s"], int(counts[i, j]), int(first[i, j]), x["blocks"]) for j, x in enumerate(sources) for i in range(len(counts)) if counts[i, j]]
     runs = spark.createDataFrame(made, "shard int, s int, n bigint, first bigint, blocks bigint")
     runs = runs.withColumn("run", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {SLOTS_A_TASK}"))))
-    # As many tasks as there are runs of slots: the runs are few rows, and would else be merged into one task.
-    runs = runs.repartition(max(1, sum(-(-m[2] // SLOTS_A_TASK) for m in made)), "shard", "s", "run")
+    # Tasks by the number of slots: the runs are few rows, and would else be merged into one task.
+    runs = runs.repartition(max(1, -(-sum(m[2] for m in made) // SLOTS_A_TASK)), "shard", "s", "run")
     begin = F.col("run") * SLOTS_A_TASK
     slots = runs.select("shard", "s", "blocks", F.explode(F.sequence(F.col("first") + begin, F.col("first") + F.least(F.col("n"), begin + SLOTS_A_TASK) - 1)).alias("slot"))
     slots = slots.withColumn("epoch", F.expr("slot div blocks")).withColumn("block", _permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "s", "epoch")))
