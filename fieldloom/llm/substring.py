@@ -37,7 +37,7 @@ BLOCK_BYTES = 4 << 20
 #: An anchor that this many documents have goes window by window.
 HOT_DOCS = 5_000
 #: Key ranges and shards are counted for about this much text in each.
-RANGE_BYTES, SHARD_BYTES = 64 << 20, 4 << 20
+RANGE_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
 #: A suffix array covers about this much of a shard; surroundings of one anchor stay together.
 SORTED_BYTES = 512 << 10
 #: Bytes of a text's key with an id in a table that is sent whole.
@@ -224,8 +224,9 @@ def _send_anchors(blocks: DataFrame, n_ranges: int) -> DataFrame:
                 new = np.ones(len(key), bool)
                 new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
                 key, n = np.unique(key[new], return_counts=True)
-                cut = np.searchsorted(_ranged(key << U(8), n_ranges), np.arange(n_ranges + 1))
-                rows = [(r, slice(cut[r], cut[r + 1])) for r in range(n_ranges) if cut[r] < cut[r + 1]]
+                # Keys are in order, so their ranges are too: only those that the block has are visited.
+                own_ranges, begin = np.unique(_ranged(key << U(8), n_ranges), return_index=True)
+                rows = [(int(r), slice(a, b)) for r, a, b in zip(own_ranges, begin, np.append(begin, len(key))[1:], strict=True)]
                 several = [np.flatnonzero(n[part] > 1) for _, part in rows]
                 counts = [np.stack([at, np.minimum(n[part][at], 2**32 - 1)], axis=1).astype("<u4").tobytes() for at, (_, part) in zip(several, rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([batch.column("block")[i].as_py()] * len(rows), pa.int64()), pa.array([_packed(key[part]) for _, part in rows], pa.binary()), pa.array(counts, pa.binary())], names=["range", "block", "keys", "counts"])
