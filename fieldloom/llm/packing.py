@@ -10,6 +10,7 @@ that raises the sum of squared fills, until bins are empty or nothing helps.
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -27,8 +28,10 @@ from fieldloom.llm.textnum import U, _MULT, mix, powers, slices, text_buffers
 SEQUENCE, END_ID = 1024, 2
 #: Pieces of a group: one task packs them; a group wastes less than one sequence or so.
 GROUP_PIECES = 50_000
-#: Most words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+#: Most words whose ids a worker remembers: some 40 bytes each.
+CACHE_WORDS = 1_000_000
+#: Bytes of text that are split and looked up at once: its arrays stay in a core's cache.
+LOOKUP_BYTES = 1 << 18
 #: Code points up to here are split by table; texts with others go to the tokenizer whole.
 TABLE_POINTS = 0x0590
 
@@ -59,8 +62,8 @@ class WordTokenizer:
             kinds[c] = 1 if joins("a", x) else 2 if joins("1", x) else 0 if joins("!", x) else 3
         self.kinds = kinds
         self.keys = np.zeros(0, U)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
+        self.starts = np.zeros(0, np.int32)
+        self.lengths = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +147,7 @@ class WordTokenizer:
             found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
             self._learn(distinct[new], found)
             place = np.searchsorted(self.keys, distinct)
-        begin, length = self.starts[place][back], self.lengths[place][back]
+        begin, length = self.starts[place][back].astype(np.int64), self.lengths[place][back].astype(np.int64)
         upto = np.cumsum(length)
         total = int(upto[-1]) if len(upto) else 0
         flat = self.ids[np.repeat(begin - (upto - length), length) + np.arange(total)]
@@ -158,12 +161,12 @@ class WordTokenizer:
         return out
 
     def _learn(self, keys: np.ndarray, found: list[list[int]]) -> None:
-        lengths = np.array([len(f) for f in found], np.int64)
-        starts = np.cumsum(lengths) - lengths + len(self.ids)
-        self.ids = np.concatenate([self.ids, np.array([i for f in found for i in f], np.uint32)])
-        keys, starts, lengths = np.concatenate([self.keys, keys]), np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
-        order = np.argsort(keys)
-        self.keys, self.starts, self.lengths = keys[order], starts[order], lengths[order]
+        """Adds sorted new keys where they belong among the known ones."""
+        lengths = np.fromiter(map(len, found), np.int32, len(found))
+        starts = (np.cumsum(lengths, dtype=np.int64) - lengths + len(self.ids)).astype(np.int32)
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum()))])
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.starts, self.lengths = np.insert(self.keys, place, keys), np.insert(self.starts, place, starts), np.insert(self.lengths, place, lengths)
 
 
 @functools.lru_cache(maxsize=2)
@@ -193,7 +196,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int =
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             data, offsets = text_buffers(batch.column(1))
-            for a, _, part, edges in slices(data, offsets):
+            for a, _, part, edges in slices(data, offsets, LOOKUP_BYTES):
                 rows = []
                 for doc, ids in zip(doc_ids[a:], tok.encode(part, edges), strict=False):
                     ids = np.concatenate([ids, end]).astype("<u4")
