@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import written
+from fieldloom.llm.common import sent_if_small, written
 from fieldloom.llm.components import connected_components
 from fieldloom.llm.textnum import U, mix, shingles, slices, text_buffers
 
@@ -32,8 +32,8 @@ BANDS, BAND_ROWS, SIMILARITY = 24, 5, 0.8
 SMALL_BUCKET = 32
 #: Members that meet a copy of their pivot's cells in one task, about.
 PIVOT_MEMBERS = 1000
-#: Nodes are broadcast up to this many (16 bytes each, and an id).
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a node (16, and an id) in a table that is sent whole.
+NODE_BYTES = 64
 _UNIT = 2.0**-53
 
 
@@ -101,10 +101,9 @@ def _banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def _cell_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, cells) of the texts in nodes (node, rep): sorted distinct 32-bit cell hashes as bytes."""
-    small = nodes.count() <= BROADCAST_ROWS
+    """(node, cells) of the texts in nodes (node, rep): distinct 32-bit cell hashes."""
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("n"), F.coalesce("text", F.lit("")).alias("text"))
-    chosen = F.broadcast(nodes) if small else nodes
+    chosen = sent_if_small(nodes, NODE_BYTES)
     texts = keyed.join(chosen, (F.col("n") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,92 +111,75 @@ def _cell_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             data, offsets = text_buffers(batch.column(1))
             for a, b, part, edges in slices(data, offsets):
                 c, r = cells(*shingles(part, edges))
-                key = (r.astype(U) << U(32)) | (c >> U(32))
-                key = np.unique(key)
+                key = np.unique((r.astype(U) << U(32)) | (c >> U(32)))
                 edge = np.searchsorted(key >> U(32), np.arange(b - a + 1).astype(U))
-                low = (key & U(0xFFFFFFFF)).astype("<u4")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([low[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], names=["node", "cells"])
+                low = (key & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                made = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(low))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), made], names=["node", "cells"])
 
-    return texts.mapInArrow(sets, "node binary, cells binary")
-
-
-def set_similarity(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard similarity of two texts from their cells."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = np.concatenate([x, y])
-    both.sort(kind="stable")
-    shared = int((both[1:] == both[:-1]).sum())
-    return shared / (len(both) - shared) if len(both) else 1.0
+    # A row that stands twice has one set.
+    return texts.mapInArrow(sets, "node binary, cells array<int>").groupBy("node").agg(F.first("cells").alias("cells"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of pairs (a, b) whose texts are at least so similar."""
+    """Those of the distinct pairs (a, b) whose texts are at least so similar, by their whole sets of cells."""
     left = sets.select(F.col("node").alias("a"), F.col("cells").alias("cells_a"))
     right = sets.select(F.col("node").alias("b"), F.col("cells").alias("cells_b"))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [set_similarity(x.as_buffer(), y.as_buffer()) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "cells_a", "cells_b")
-    return joined.mapInArrow(check, "a binary, b binary").distinct()
+    shared = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("cells_a", "cells_b")).alias("n"), (F.size("cells_a") + F.size("cells_b")).alias("both"))
+    return shared.where((F.col("both") == 0) | (F.col("n") >= similarity * (F.col("both") - F.col("n")) - 1e-9)).select("a", "b")
 
 
 def _pivot_pairs(state: DataFrame, hubs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of different classes in the buckets of hubs (band, n, hub) that may be similar; none that is goes missing.
 
-    Each member x of a bucket has met its hub T, so those similar to T are of
-    one class.  With D(x) = x xor T, a pair differs in D(x) xor D(y), and is
-    similar if that is at most c (|x| + |y|), c = (1 - s) / (1 + s).  So
-    |D(x) and D(y)| >= (e(x) + e(y)) / 2 with e(x) = |D(x)| - c |x|, where
-    e > c |T| for members not similar to T, and e >= -c |T| for all.  At least
-    one of a pair of two classes is not similar to T, so every such pair
-    shares o > (e + c |T|) / 2 elements seen from the other one, and o >=
-    (e - c |T|) / 2 seen from the one whose partner is similar to T.  With the
-    rarest elements first, the pair then shares one of the first |D| - o + 1 of
-    both: edits that both have, not the template they were made from.
+    The members of all buckets with one hub, together, are compared with its consensus
+    T: the hub's cells, but for those in which more than half of the members
+    differ from it.  With D(x) = x xor T, a pair differs in D(x) xor D(y), and
+    is similar if that is at most c (|x| + |y|), c = (1 - s) / (1 + s).  So
+    |D(x) and D(y)| >= (e(x) + e(y)) / 2 with e(x) = |D(x)| - c |x|.  Let z be
+    the member with the least e.  Where e(x) + e(z) <= 0, x is similar to z:
+    one pair for each such x, and all of them are near.  The others are far;
+    a pair with a far x has e(x) + e(y) > 0, so it shares an element.  Seen
+    from a far x it shares at least (e(x) + e(z)) / 2 of them, seen from a
+    near y at least (e(y) - e(z)) / 2.  With o of them to share and the rarest
+    elements first, a pair meets in one of the first |D| - o + 1 of both:
+    edits that both have, not the template they were made from.
     """
     c = (1 - similarity) / (1 + similarity)
     parts = hubs.groupBy("hub").agg((F.sum("n") / PIVOT_MEMBERS).cast("int").alias("parts"))
     placed = hubs.join(parts, "hub").select("band", "hub", "parts")
     part = F.pmod(F.xxhash64("node"), F.col("parts") + 1).alias("part")
     members = state.join(placed, "band").select("hub", part, "node", "root").distinct()
-    pivots = parts.join(sets.select(F.col("node").alias("hub"), F.col("cells").alias("pivot")), "hub").select("hub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint"))).alias("part"), "pivot")
-    joined = members.join(sets, "node").join(pivots, ["hub", "part"]).select("node", "root", F.xxhash64("hub").alias("hub"), "cells", "pivot")
-
-    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near, excess, short, long, differing = [], [], [], [], []
-            for hub, x, t in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
-                x, t = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(t.as_buffer(), "<u4")
-                d = np.setxor1d(x, t, assume_unique=True)
-                both = len(x) + len(t)
-                near.append((both - len(d)) / (both + len(d)) >= similarity)
-                e = len(d) - c * len(x)
-                excess.append(e)
-                short.append(max(0, len(d) - int(np.floor((e + c * len(t)) / 2 - 1e-6))))
-                long.append(len(d) - max(1, int(np.ceil((e - c * len(t)) / 2 - 1e-6))) + 1)
-                differing.append(mix(d.astype(U) ^ mix(np.array([hub]).astype(U))).astype(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(d) for d in differing])])
-            made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*differing, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(near, pa.bool_()), pa.array(excess, pa.float64()), pa.array(short, pa.int32()), pa.array(long, pa.int32()), made], names=["node", "root", "hub", "near", "excess", "short", "long", "differing"])
-
-    differing = written(joined.mapInArrow(differ, "node binary, root binary, hub bigint, near boolean, excess double, short int, long int, differing array<bigint>"), "pivot-cells")
-    of_cell = differing.select("node", "hub", F.explode("differing").alias("cell"))
-    common = of_cell.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    ordered = of_cell.join(common, "cell").groupBy("node", "hub").agg(F.sort_array(F.collect_list(F.struct("n", "cell"))).alias("common"))
+    spread = lambda df: df.join(parts, "hub").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint")))).drop("parts")
+    pivots = spread(sets.select(F.col("node").alias("hub"), F.col("cells").alias("pivot")))
+    xor = lambda a, b: F.array_union(F.array_except(a, b), F.array_except(b, a))
+    joined = members.join(sets, "node").join(pivots, ["hub", "part"])
+    raw = written(joined.select("hub", "part", "node", "root", F.size("cells").alias("size"), F.transform(xor("cells", "pivot"), lambda x: F.xxhash64("hub", x)).alias("d")), "pivot-cells")
+    sizes = raw.groupBy("hub").agg(F.count("*").alias("members"))
+    counted = written(raw.select("hub", F.explode("d").alias("cell")).groupBy("hub", "cell").agg(F.count("*").alias("n")).where("n > 1").join(sizes, "hub"), "pivot-counts")
+    # At most twice the mean number of differences: bounded by the texts, not by the members.
+    flips = counted.where("2 * n > members").groupBy("hub").agg(F.collect_list("cell").alias("flip"))
+    none = F.array().cast("array<bigint>")
+    turned = raw.join(spread(flips), ["hub", "part"], "left").select("hub", "node", "root", xor("d", F.coalesce("flip", none)).alias("d"), "size")
+    turned = turned.select("*", (F.size("d") - c * F.col("size")).alias("e"))
+    least = turned.groupBy("hub").agg(F.min("e").alias("least"), F.min_by(F.struct("node", "root"), "e").alias("z"))
+    half = F.when(F.col("far"), F.col("e") + F.col("least")).otherwise(F.col("e") - F.col("least")) / 2
+    seen = turned.join(least, "hub").withColumn("far", F.col("e") + F.col("least") > 1e-9)
+    seen = written(seen.withColumn("first", F.size("d") + 1 - F.greatest(F.lit(1), F.ceil(half - 1e-6).cast("int"))), "pivot-members")
+    similar = seen.where("not far and root <> z.root").select(F.least("node", "z.node").alias("a"), F.greatest("node", "z.node").alias("b"))
+    # Hubs whose members are all near are done.
+    live = seen.join(seen.where("far").select("hub").distinct(), "hub", "left_semi").where("first > 0")
+    common = counted.select("cell", F.when(F.expr("2 * n > members"), F.col("members") - F.col("n")).otherwise(F.col("n")).alias("n")).where("n > 1")
+    ordered = live.select("hub", "node", F.explode("d").alias("cell")).join(common, "cell").groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("n", "cell"))).alias("common"))
     # An element that no other member has comes first, and makes no pair.
-    alone = F.size("differing") - F.size("common")
-    first = lambda n: F.slice("common", 1, F.greatest(F.lit(0), F.col(n) - alone))
-    prefixes = written(differing.join(ordered, ["node", "hub"]).select("node", "root", "near", "excess", F.size("common").alias("n_common"), first("short").alias("short"), first("long").alias("long")), "pivot-prefixes")
-    far = prefixes.where("not near")
+    alone = F.size("d") - F.size("common")
+    entries = live.join(ordered, ["hub", "node"]).select("node", "root", "e", "far", F.size("common").alias("n_common"), F.slice("common", 1, F.greatest(F.lit(0), F.col("first") - alone)).alias("prefix"))
+    entries = entries.select("node", "root", "e", "far", "n_common", F.posexplode("prefix.cell").alias("at", "cell"))
     # As many elements as follow in both, this one included, are the most that a pair shares from its first common one on.
-    entries = lambda df, kind, x: df.select(F.posexplode(F.col(f"{kind}.cell")).alias("at", "cell"), F.struct("node", "root", "excess", "n_common").alias(x)).select("cell", F.struct(f"{x}.*", (F.col(f"{x}.n_common") - F.col("at")).alias("rest")).alias(x))
-    enough = "a.root <> b.root and least(a.rest, b.rest) >= (a.excess + b.excess) / 2 - 1e-6"
-    one = entries(far, "short", "a").join(entries(far, "short", "b"), "cell").where(f"a.node < b.node and {enough}")
-    two = entries(prefixes.where("near"), "short", "a").join(entries(far, "long", "b"), "cell").where(enough)
-    return one.union(two).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+    entries = written(entries.select("cell", F.struct("node", "root", "e", "far", (F.col("n_common") - F.col("at")).alias("rest")).alias("x")), "pivot-prefixes")
+    met = entries.where("x.far").withColumnRenamed("x", "a").join(entries.withColumnRenamed("x", "b"), "cell")
+    met = met.where("a.root <> b.root and (not b.far or a.node < b.node) and least(a.rest, b.rest) >= (a.e + b.e) / 2 - 1e-6")
+    return similar.union(met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")))
 
 
 def near_duplicate_links(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -217,7 +199,8 @@ def near_duplicate_links(docs: DataFrame, bands: int = BANDS, rows: int = BAND_R
     by_hash = live.groupBy("band").agg(F.max_by("node", F.xxhash64("band", "node")).alias("hub"))
     links = written(_verified(meet(by_hash, live), sets, similarity), "near-links")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    central = F.max_by("node", F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("node", "band")))
+    # Ties go to the same node in every band, so buckets share their hubs.
+    central = F.max_by("node", F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("node")))
     hubs = written(live.join(degree, "node", "left").groupBy("band").agg(central.alias("hub")), "hubs")
     more = meet(hubs, live)
     links = links.union(written(_verified(more.join(links, ["a", "b"], "left_anti"), sets, similarity), "near-links"))
@@ -232,7 +215,11 @@ def near_duplicate_links(docs: DataFrame, bands: int = BANDS, rows: int = BAND_R
     pairs = few.join(other, "band").where("node < b and root <> root_b").select(F.col("node").alias("a"), "b")
     large = several.where(F.col("n") > SMALL_BUCKET)
     if not large.isEmpty():
-        pairs = pairs.union(_pivot_pairs(state, large.join(hubs, "band"), sets, similarity))
+        # Buckets whose hubs are of one class are filtered together, by one of these hubs: a member stands once for all of them.
+        of_class = large.join(hubs, "band").join(roots.withColumnRenamed("node", "hub"), "hub", "left").withColumn("root", F.coalesce("root", "hub"))
+        pivots = of_class.groupBy("root").agg(F.max_by("hub", F.struct("n", "hub")).alias("pivot"))
+        large = written(of_class.join(pivots, "root").select("band", "n", F.col("pivot").alias("hub")), "pivots")
+        pairs = pairs.union(_pivot_pairs(state, large, sets, similarity))
     found = written(_verified(pairs.distinct(), sets, similarity), "near-links")
     if not found.isEmpty():
         roots = written(connected_components(links.union(found)), "roots")
@@ -263,10 +250,9 @@ def keep_one_of_each_class(docs: DataFrame, **options) -> DataFrame:
     kept = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("k")).select(F.col("k.node").alias("kept_node"), F.col("k.doc_id").alias("kept_id"))
     copies = rows.groupBy("node", "doc_id").agg(F.count("*").alias("n")).where("n > 1")
     kept = written(kept, "kept-rows")
-    small = kept.count() <= BROADCAST_ROWS
     again = not copies.limit(1).isEmpty()
     keyed = docs.withColumn("_near_node", text_key(F.col("text")))
-    out = keyed.join(F.broadcast(kept) if small else kept, (F.col("_near_node") == F.col("kept_node")) & keyed["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    out = keyed.join(sent_if_small(kept, NODE_BYTES), (F.col("_near_node") == F.col("kept_node")) & keyed["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
     if again:
         out = out.dropDuplicates(["doc_id", "_near_node"])
     return out.drop("_near_node")
