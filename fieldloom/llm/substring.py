@@ -225,7 +225,7 @@ def _send_anchors(blocks: DataFrame, n_ranges: int) -> DataFrame:
                 new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
                 key, n = np.unique(key[new], return_counts=True)
                 # Keys are in order, so their ranges are too: only those that the block has are visited.
-                own_ranges, begin = np.unique(_ranged(key << U(8), n_ranges), return_index=True)
+                own_ranges, begin = np.unique((key * U(n_ranges) >> U(40)).astype(np.int64), return_index=True)
                 rows = [(int(r), slice(a, b)) for r, a, b in zip(own_ranges, begin, np.append(begin, len(key))[1:], strict=True)]
                 several = [np.flatnonzero(n[part] > 1) for _, part in rows]
                 counts = [np.stack([at, np.minimum(n[part][at], 2**32 - 1)], axis=1).astype("<u4").tobytes() for at, (_, part) in zip(several, rows, strict=True)]
