@@ -401,3 +401,12 @@ def test_remove_repeats_keeps_columns(spark, docs, none):
     ids = [r.doc_id for r in out]
     assert 3 not in ids and 1 in ids and 4 in ids and len([i for i in ids if i == 7]) == 2
     assert substring.remove_repeats(none).count() == 0
+
+
+def test_anchors_are_dealt_over_all_ranges(spark):
+    rows = [(i, " ".join(words(300, 900 + i))) for i in range(40)]
+    blocks = substring._gather(spark.createDataFrame(rows, "order_id bigint, text string").withColumn("rid", F.col("order_id")))
+    sent = substring._send_anchors(blocks, 8).toPandas()
+    assert set(sent["range"]) == set(range(8))
+    n = sent.groupby("range")["keys"].apply(lambda x: sum(map(len, x)))
+    assert n.max() < 2 * n.min()
