@@ -38,7 +38,7 @@ def format_ext(label: Column) -> Column:
 
 
 def to_8_bit(v: Column) -> Column:
-    return F.expr("cast(0 as int)") + F.floor((v + 128) / 257).cast("int")
+    return F.floor((v + 128) / 257).cast("int")
 
 
 def to_16_bit(v: Column) -> Column:
@@ -46,10 +46,19 @@ def to_16_bit(v: Column) -> Column:
 
 
 def row_spec(spec: Column) -> Column:
-    """Row numbers of "1,2,5-7" in order, each once; null for all ("", "all", "*")."""
-    parts = F.filter(F.transform(F.split(F.regexp_replace(spec, ";", ","), ","), lambda x: F.trim(x)), lambda x: x != "")
-    one = lambda x: F.when(x.contains("-"), F.sequence(F.split_part(x, F.lit("-"), F.lit(1)).cast("int"), F.split_part(x, F.lit("-"), F.lit(2)).cast("int"))).otherwise(F.array(F.regexp_extract(x, r"^(\d+)", 1).try_cast("int")))
-    return F.when(F.lower(F.trim(spec)).isin("", "all", "*"), F.lit(None)).otherwise(F.array_distinct(F.flatten(F.transform(parts, one))))
+    """Struct mode, n, rows of a choice of rows: "all" ("", "all", "*"), "middle" with n ("middle 3"), or "list" with its numbers in order, each once ("1,2,5-7").
+
+    Numbers count from 1; a list without numbers, or with smaller ones, raises an error.
+    """
+    low = F.lower(F.trim(F.coalesce(spec, F.lit(""))))
+    parts = F.filter(F.transform(F.split(F.replace(low, F.lit(";"), F.lit(",")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    one = lambda x: F.when(x.contains("-"), F.sequence(F.split_part(x, F.lit("-"), F.lit(1)).cast("int"), F.split_part(x, F.lit("-"), F.lit(2)).cast("int"))).otherwise(F.array(x.cast("int")))
+    numbers = F.array_sort(F.array_distinct(F.flatten(F.transform(parts, one))))
+    every, middle = low.isin("", "all", "*"), low.startswith("middle")
+    wrong = ~every & ~middle & F.coalesce(F.array_min(numbers) < 1, F.lit(True))
+    mode = F.when(every, "all").when(middle, "middle").when(wrong, F.raise_error(F.concat(F.lit("rows '"), spec, F.lit("': use all, middle N or numbers from 1 on")))).otherwise("list")
+    n = F.when(middle, F.greatest(F.lit(1), F.regexp_extract(low, r"(\S+)$", 1).cast("int")))
+    return F.struct(mode.alias("mode"), n.alias("n"), F.when(~every & ~middle, numbers).alias("rows"))
 
 
 def plot_label(bank: Column, place: Column) -> Column:

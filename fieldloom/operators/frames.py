@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,25 +116,29 @@ def cover_sets(ranked: DataFrame, n_x: int = 5, n_y: int = 13, most: int = 8) ->
     are used.  A plot has few candidates (a pool of max(2*most, 12)).
     """
     pool = ranked.where(F.col("rank") <= max(2 * most, REPORT))
-    i = F.sequence(F.lit(0), F.lit(n_x * n_y - 1))
     x = lambda k: F.col("x0") + (F.col("x1") - F.col("x0")) * ((k % n_x) / (n_x - 1))
     y = lambda k: F.col("y0") + (F.col("y1") - F.col("y0")) * (F.floor(k / n_x) / (n_y - 1))
-    sees = F.filter(i, lambda k: (x(k) >= F.col("fx0")) & (x(k) < F.col("fx1")) & (y(k) >= F.col("fy0")) & (y(k) < F.col("fy1")))
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        left = [set(s) for s in pdf["nodes"]]
-        have, used = set(left[0]), [0]
-        while len(have) < n_x * n_y and len(used) < most:
-            gains = [len(s - have) for s in left]
-            k = max(range(len(left)), key=lambda j: (gains[j], -j))
-            if not gains[k]:
-                break
-            used.append(k)
-            have |= left[k]
-        return pd.DataFrame({"plot_id": [pdf["plot_id"].iloc[0]], "frames": [",".join(str(pdf["camera"].iloc[k]) for k in used)], "covered": [len(have)]})
-
-    return pool.select("plot_id", "rank", "camera", sees.alias("nodes")).groupBy("plot_id").applyInPandas(pick, "plot_id long, frames string, covered int")
+    sees = lambda k: (x(k) >= F.col("fx0")) & (x(k) < F.col("fx1")) & (y(k) >= F.col("fy0")) & (y(k) < F.col("fy1"))
+
+    def mask(a: int, b: int) -> Column:
+        """Nodes a to b that the frame sees, as bits."""
+        bits = F.transform(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(1 << (k - a)).cast("bigint").alias("bit")) for k in range(a, b)]), lambda s: F.when(sees(s.k), s.bit).otherwise(F.lit(0).cast("bigint")))
+        return F.aggregate(bits, F.lit(0).cast("bigint"), lambda m, v: m.bitwiseOR(v))
+
+    words = [(a, min(a + 60, n_x * n_y)) for a in range(0, n_x * n_y, 60)]
+    each = pool.select("plot_id", F.struct("rank", "camera", F.array(*[mask(a, b) for a, b in words]).alias("m")).alias("f")).groupBy("plot_id").agg(F.array_sort(F.collect_list("f")).alias("fs"))
+    total = lambda m: F.aggregate(m, F.lit(0), lambda n, w: n + F.bit_count(w))
+    gain = lambda m, have: total(F.zip_with(m, have, lambda w, h: w.bitwiseAND(F.bitwise_not(h))))
+
+    def step(s, _):
+        """The frame with the most new nodes, the first of equals, joins; none where nothing is new."""
+        best = F.array_max(F.transform(F.col("fs"), lambda f: F.struct(gain(f.m, s.have).alias("gain"), (-f["rank"]).alias("rank"), f.camera.alias("camera"), f.m.alias("m"))))
+        more = best.gain > 0
+        return F.struct(F.when(more, F.zip_with(s.have, best.m, lambda h, w: h.bitwiseOR(w))).otherwise(s.have).alias("have"), F.when(more, F.concat(s.used, F.array(best.camera))).otherwise(s.used).alias("used"))
+
+    first = F.struct(F.get("fs", F.lit(0))["m"].alias("have"), F.array(F.get("fs", F.lit(0))["camera"]).alias("used"))
+    done = each.select("plot_id", F.aggregate(F.sequence(F.lit(2), F.lit(most)), first, step).alias("s"))
+    return done.select("plot_id", F.array_join("s.used", ",").alias("frames"), total(F.col("s.have")).alias("covered"))
 
 
 def by_priority(keys: DataFrame, index: DataFrame) -> DataFrame:

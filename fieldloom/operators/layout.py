@@ -12,13 +12,13 @@ def starts(a: Column, b: Column, tile: Column, stride: Column) -> Column:
 
 
 def tile_grid(crops: DataFrame, tile: int, stride: int, whole_only: bool = False) -> DataFrame:
-    """crops (w, h) with one row for each tile: col, row, x, y, tw, th, in reading order."""
+    """crops (w, h) with one row for each tile: col, row, x, y, tw, th, in reading order; tiles cut below half a side go."""
     t, s, zero = F.lit(tile), F.lit(stride), F.lit(0)
     out = crops.select("*", F.posexplode(starts(zero, F.col("h").cast("int"), t, s)).alias("row", "y")).select("*", F.posexplode(starts(zero, F.col("w").cast("int"), t, s)).alias("col", "x"))
     out = out.withColumns({"tw": F.least(t, F.col("w") - F.col("x")), "th": F.least(t, F.col("h") - F.col("y"))})
     if whole_only:
         return out.where((F.col("tw") == tile) & (F.col("th") == tile))
-    return out.where((F.col("tw") >= tile // 2) & (F.col("th") >= tile // 2) | (F.col("w") <= tile) | (F.col("h") <= tile))
+    return out.where((F.col("tw") >= tile // 2) & (F.col("th") >= tile // 2))
 
 
 def row_tiles(rows: DataFrame, length: int, stride: int) -> DataFrame:

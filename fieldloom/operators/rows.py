@@ -85,3 +85,17 @@ def mesh_cells(nodes: DataFrame, by: list[str], value: str) -> DataFrame:
 def tile_result(same: Column, shape_ok: Column, bits: Column, src_bits: Column, scaled_same: Column) -> Column:
     """Result of a tile against its window: RESAMPLED, IDENTICAL, EXACT CONVERSION or FAIL."""
     return F.when(~shape_ok, "RESAMPLED").when((bits == src_bits) & same, "IDENTICAL").when((bits != src_bits) & scaled_same, "EXACT CONVERSION").otherwise("FAIL")
+
+
+def scale_of_points(crops: DataFrame, by: str, points: str, least_px: float) -> DataFrame:
+    """pairs and median ground metres for each pixel, over pairs of a crop's control points (k, col, row, x, y) at least least_px pixels apart.
+
+    A crop has a bounded number of points (25), so pairs are made in its row.
+    """
+    pixels = lambda a, b: F.hypot(a.col - b.col, a.row - b.row)
+    later = lambda a: F.filter(points, lambda b: (b.k > a.k) & (pixels(a, b) >= least_px))
+    ratios = F.flatten(F.transform(points, lambda a: F.transform(later(a), lambda b: F.hypot(a.x - b.x, a.y - b.y) / pixels(a, b))))
+    each = crops.select(by, F.array_sort(ratios).alias("r")).where(F.size("r") > 0)
+    at = lambda i: F.get("r", i.cast("int"))
+    middle = (at(F.floor((F.size("r") - 1) / 2)) + at(F.floor(F.size("r") / 2))) / 2
+    return each.select(by, F.size("r").cast("long").alias("pairs"), middle.alias("scale"))

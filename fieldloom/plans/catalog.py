@@ -93,9 +93,9 @@ def frame_tiered(spark, sf_dir):
 
 
 @query(with_views("plots", "cameras", body="""SELECT plot_id, 'no covering raw image' AS note FROM plots p WHERE NOT EXISTS (SELECT 1 FROM cameras
-  WHERE camera % 3 <> 0 AND x0 < fx1 AND fx0 < x1 AND y0 < fy1 AND fy0 < y1)"""))
+  WHERE x0 < fx1 - 2.5::double AND fx0 + 2.5::double < x1 AND y0 < fy1 - 4.0::double AND fy0 + 4.0::double < y1)"""))
 def plots_uncovered(spark, sf_dir):
-    seen = frames.box_join(derive.plots(spark, sf_dir), derive.sparse_cameras(spark, sf_dir)).select("plot_id").distinct()
+    seen = frames.box_join(derive.plots(spark, sf_dir), derive.narrow_cameras(spark, sf_dir)).select("plot_id").distinct()
     return derive.plots(spark, sf_dir).join(seen, "plot_id", "left_anti").select("plot_id", F.lit("no covering raw image").alias("note"))
 
 
@@ -106,7 +106,17 @@ def frame_run_totals(spark, sf_dir):
     return per.agg(F.sum("n").alias("pairs"), F.count("*").alias("plots"), F.count(F.when(F.col("c") >= 0.999, 1)).alias("whole"), F.count(F.when(F.col("c") < 0.999, 1)).alias("partial"))
 
 
-@query()
+_COVER = """, pool AS (
+  SELECT plot_id, rank, camera, list_reduce(list_transform(range(65), lambda k: CASE WHEN x0 + (x1 - x0) * ((k % 5) / 4.0::double) >= fx0 AND x0 + (x1 - x0) * ((k % 5) / 4.0::double) < fx1
+    AND y0 + (y1 - y0) * ((k // 5) / 12.0::double) >= fy0 AND y0 + (y1 - y0) * ((k // 5) / 12.0::double) < fy1 THEN 1::hugeint << k::int ELSE 0::hugeint END), lambda a, b: a | b) AS m FROM ranked WHERE rank <= 16),
+cover AS (SELECT plot_id, 1 AS step, m AS have, camera::varchar AS used FROM pool WHERE rank = 1 UNION ALL
+  SELECT plot_id, step + 1, have | m, used || ',' || camera FROM (
+    SELECT c.plot_id, c.step, c.have, c.used, p.m, p.camera, bit_count(p.m & ~c.have) AS gain, row_number() OVER (PARTITION BY c.plot_id ORDER BY bit_count(p.m & ~c.have) DESC, p.rank) AS place
+    FROM cover c JOIN pool p USING (plot_id) WHERE c.step < 8) WHERE place = 1 AND gain > 0)
+SELECT plot_id, arg_max(used, step) AS frames, max(bit_count(have))::int AS covered FROM cover GROUP BY plot_id"""
+
+
+@query("WITH RECURSIVE " + _frames_sql(_COVER).removeprefix("WITH "))
 def set_cover(spark, sf_dir):
     return frames.cover_sets(ranked(spark, sf_dir))
 
@@ -238,18 +248,18 @@ def rows_summary(spark, sf_dir):
     return d.groupBy("plot_id").agg(F.count("*").alias("n_rows"), F.round(F.median("gap"), 6).alias("spacing"), F.array_join(texts, " ").alias("rows_v"))
 
 
-_CROPS = "crops AS (SELECT s_suppkey AS id, 700 + 97 * s_nationkey AS w, 900 + 61 * (s_suppkey % 37) AS h FROM supplier)"
+_CROPS = "crops AS (SELECT s_suppkey AS id, 300 + 97 * s_nationkey AS w, 900 + 61 * (s_suppkey % 37) AS h FROM supplier)"
 
 
 def _crops(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (700 + 97 * F.col("s_nationkey")).cast("int").alias("w"), (900 + 61 * (F.col("s_suppkey") % 37)).cast("int").alias("h"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (300 + 97 * F.col("s_nationkey")).cast("int").alias("w"), (900 + 61 * (F.col("s_suppkey") % 37)).cast("int").alias("h"))
 
 
 _STARTS = "list_distinct(list_append(list_filter(range(0, greatest({n} - 1024, 0) + 1, 768), lambda s: s = 0 OR s <= {n} - 1024), greatest({n} - 1024, 0)))"
 
 
 @query(f"""WITH {_CROPS}, xs AS (SELECT *, unnest(list_sort({_STARTS.format(n="w")})) AS x FROM crops), ys AS (SELECT *, unnest(list_sort({_STARTS.format(n="h")})) AS y FROM xs)
-  SELECT id, dense_rank() OVER (PARTITION BY id ORDER BY x) - 1 AS col, dense_rank() OVER (PARTITION BY id ORDER BY y) - 1 AS row, x, y, least(1024, w - x) AS tw, least(1024, h - y) AS th FROM ys""")
+  SELECT id, dense_rank() OVER (PARTITION BY id ORDER BY x) - 1 AS col, dense_rank() OVER (PARTITION BY id ORDER BY y) - 1 AS row, x, y, least(1024, w - x) AS tw, least(1024, h - y) AS th FROM ys WHERE least(1024, w - x) >= 512 AND least(1024, h - y) >= 512""")
 def tiles_plain_grid(spark, sf_dir):
     t = layout.tile_grid(_crops(spark, sf_dir), 1024, 768)
     return t.select("id", *[F.col(c).cast("long").alias(c) for c in ("col", "row", "x", "y", "tw", "th")])
@@ -411,11 +421,12 @@ def local_maxima(spark, sf_dir):
 @query(with_views("profile", body="""SELECT vec_id, round(arg_max(mid, (between_, -bin)), 6) AS threshold FROM (
   SELECT *, round(coalesce(w0 * nullif(w - w0, 0) * (s0 / w0 - (s - s0) / nullif(w - w0, 0)) ** 2, 0), 6) AS between_ FROM (
   SELECT vec_id, bin, mid, sum(n) OVER u AS w0, sum(n) OVER a AS w, sum(n * mid) OVER u AS s0, sum(n * mid) OVER a AS s FROM (
-    SELECT vec_id, bin, lo + (bin + 0.5::double) * (hi - lo) / 16 AS mid, count(*) AS n FROM (
-      SELECT vec_id, lo, hi, least(15, floor(coalesce((v - lo) / nullif((hi - lo) / 16, 0), 0)))::int AS bin FROM (SELECT *, min(v) OVER (PARTITION BY vec_id) AS lo, max(v) OVER (PARTITION BY vec_id) AS hi FROM profile)) GROUP BY vec_id, bin, lo, hi)
+    SELECT vec_id, bin, lo + (bin + 0.5::double) * ((hi - lo) / 256) AS mid, count(*) AS n FROM (
+      SELECT vec_id, lo, hi, least(255, floor((v - lo) / ((hi - lo) / 256)))::int AS bin FROM profile
+      JOIN (SELECT vec_id, quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi FROM profile GROUP BY 1) USING (vec_id) WHERE v BETWEEN lo AND hi) GROUP BY vec_id, bin, lo, hi)
   WINDOW u AS (PARTITION BY vec_id ORDER BY bin), a AS (PARTITION BY vec_id))) GROUP BY vec_id"""))
 def otsu_threshold(spark, sf_dir):
-    return signal.otsu(derive.profile(spark, sf_dir), "vec_id", "v", 16)
+    return signal.otsu(derive.profile(spark, sf_dir), "vec_id", "v")
 
 
 _PERIODS = [4 + 0.5 * k for k in range(25)]
@@ -434,7 +445,11 @@ def comb_fit(spark, sf_dir):
     return signal.comb_fit(derive.profile(spark, sf_dir), "vec_id", "i", "v", 8).select("vec_id", F.col("phase").cast("long").alias("phase"), "contrast")
 
 
-@query()
+@query(with_views("profile", body="""SELECT vec_id, unnest(taken)::int AS i, v[unnest(taken) + 1] AS v FROM (
+  SELECT vec_id, v, list_reduce(list_transform(list_sort(list_transform(found, lambda i: struct_pack(h := -v[i + 1], i := i))), lambda x: [x.i]),
+    lambda a, x: CASE WHEN len(list_filter(a, lambda j: abs(j - x[1]) < 4)) > 0 THEN a ELSE list_concat(a, x) END, []::bigint[]) AS taken FROM (
+  SELECT vec_id, v, list_filter(range(1, 63), lambda i: v[i + 1] >= v[i] AND v[i + 1] > v[i + 2]
+    AND v[i + 1] - greatest(list_min(v[greatest(0, i - 4) + 1:i]), list_min(v[i + 2:least(64, i + 5)])) >= 0.05::double) AS found FROM (SELECT vec_id, list(v ORDER BY i) AS v FROM profile GROUP BY 1)))"""))
 def peak_nms(spark, sf_dir):
     return signal.peaks_of(derive.profile(spark, sf_dir), "vec_id", "i", "v", 4, 0.05)
 
@@ -459,12 +474,14 @@ def safe_name(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", labels.safe_name(F.col("url")).alias("name"))
 
 
-@query("""SELECT o_orderkey, a || ',' || b || '-' || (b + c) AS spec, list_distinct(list_concat([a], range(b, b + c + 1)))::varchar AS rows_ FROM (
-  SELECT o_orderkey, (1 + o_orderkey % 4)::int AS a, (1 + o_custkey % 5)::int AS b, (o_orderkey % 3)::int AS c FROM orders) WHERE false""".replace(" WHERE false", "").replace("list_distinct(list_concat([a], range(b, b + c + 1)))::varchar", "array_to_string(list_sort(list_distinct(list_concat([a::bigint], range(b, b + c + 1)))), ' ')"))
+@query("""SELECT o_orderkey, b || '-' || (b + c) || ',' || a AS spec, CASE WHEN c = 1 THEN 'middle' ELSE 'list' END AS mode, CASE WHEN c = 1 THEN a END AS n,
+  CASE WHEN c <> 1 THEN array_to_string(list_sort(list_distinct(list_concat([a::bigint], range(b, b + c + 1)))), ' ') END AS rows_ FROM (
+  SELECT o_orderkey, (1 + o_orderkey % 4)::int AS a, (1 + o_custkey % 5)::int AS b, (o_orderkey % 3)::int AS c FROM orders)""")
 def row_spec_parse(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", (1 + F.col("o_orderkey") % 4).alias("a"), (1 + F.col("o_custkey") % 5).alias("b"), (F.col("o_orderkey") % 3).alias("c"))
-    spec = F.concat_ws("", F.col("a"), F.lit(","), F.col("b"), F.lit("-"), F.col("b") + F.col("c"))
-    return o.select("o_orderkey", spec.alias("spec"), F.array_join(F.array_sort(labels.row_spec(spec)), " ").alias("rows_"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (1 + F.col("o_orderkey") % 4).cast("int").alias("a"), (1 + F.col("o_custkey") % 5).alias("b"), (F.col("o_orderkey") % 3).alias("c"))
+    spec = F.concat_ws("", F.col("b"), F.lit("-"), F.col("b") + F.col("c"), F.lit(","), F.col("a"))
+    chosen = labels.row_spec(F.when(F.col("c") == 1, F.concat(F.lit("middle "), F.col("a").cast("string"))).otherwise(spec))
+    return o.select("o_orderkey", spec.alias("spec"), chosen.alias("r")).select("o_orderkey", "spec", "r.mode", "r.n", F.array_join("r.rows", " ").alias("rows_"))
 
 
 @query("""WITH k AS (SELECT o_orderkey AS id, o_orderkey % 5000 AS key, 1 AS prio FROM orders UNION ALL SELECT o_orderkey, o_custkey % 700, 2 FROM orders),
@@ -586,17 +603,15 @@ def event_sessions(spark, sf_dir):
     return landing.sessions(table(spark, sf_dir, "events")).select(form("start"), form("end"), "user_id", "n")
 
 
-@query("""WITH g AS (SELECT o_custkey AS g, o_orderkey AS k, (o_orderkey % 97) * 20 AS col, (o_orderkey % 89) * 20 AS row FROM orders),
-  p AS (SELECT a.g, sqrt((a.col - b.col) ** 2 + (a.row - b.row) ** 2) AS px FROM g a JOIN g b ON a.g = b.g AND a.k < b.k)
-  SELECT g, count(*) AS pairs, round(median(0.006::double * px / px), 6) AS scale FROM p WHERE px >= 50 GROUP BY g""")
+@query("""WITH g AS (SELECT l_orderkey AS g, l_linenumber AS k, (l_partkey % 97) * 20 AS col, (l_suppkey % 89) * 20 AS row, l_quantity::double / 1000 AS e FROM lineitem),
+  p AS (SELECT a.g, sqrt((a.col - b.col) ** 2 + (a.row - b.row) ** 2) AS px, sqrt((0.006::double * (a.col - b.col) + a.e - b.e) ** 2 + (0.006::double * (a.row - b.row) - a.e + b.e) ** 2) AS m FROM g a JOIN g b ON a.g = b.g AND a.k < b.k)
+  SELECT g, count(*) AS pairs, round(median(m / px), 6) AS scale FROM p WHERE px >= 50 GROUP BY g""")
 def gcp_scale_median(spark, sf_dir):
-    """Ground metres for each pixel from all pairs of a group's points that are 50 pixels apart; a group is a crop's few points."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("k"), ((F.col("o_orderkey") % 97) * 20).alias("col"), ((F.col("o_orderkey") % 89) * 20).alias("row"))
-    other = o.select("g", F.col("k").alias("k2"), F.col("col").alias("col2"), F.col("row").alias("row2"))
-    px = F.hypot(F.col("col") - F.col("col2"), F.col("row") - F.col("row2"))
-    ground = F.hypot(0.006 * (F.col("col") - F.col("col2")), 0.006 * (F.col("row") - F.col("row2")))
-    pairs = o.join(other, "g").where("k < k2").select("g", px.alias("px"), ground.alias("m")).where("px >= 50")
-    return pairs.groupBy("g").agg(F.count("*").alias("pairs"), F.round(F.median(F.col("m") / F.col("px")), 6).alias("scale"))
+    """Ground metres for each pixel: the median over pairs of a crop's control points (an order's at most seven lines) that are 50 pixels apart."""
+    li = table(spark, sf_dir, "lineitem")
+    col, row, e = (F.col("l_partkey") % 97) * 20, (F.col("l_suppkey") % 89) * 20, F.col("l_quantity").cast("double") / 1000
+    point = F.struct(F.col("l_linenumber").alias("k"), col.alias("col"), row.alias("row"), (0.006 * col + e).alias("x"), (0.006 * row - e).alias("y"))
+    return rows.scale_of_points(li.groupBy(F.col("l_orderkey").alias("g")).agg(F.collect_list(point).alias("points")), "g", "points", 50.0).withColumn("scale", F.round("scale", 6))
 
 
 # ---------------------------------------------------------------- rasters

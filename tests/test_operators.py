@@ -58,7 +58,10 @@ def test_labels(spark):
     v = lambda c: value(spark, c)
     assert [v(labels.safe_name(F.lit(x))) for x in ("a b/c", "  ", "é-1.x")] == ["a_b_c", "unnamed", "é-1.x"]
     assert v(labels.utm_epsg(F.lit(116.77), F.lit(-31.9))) == 7850 and v(labels.utm_epsg(F.lit(10.0), F.lit(50.0))) == 32632
-    assert v(labels.row_spec(F.lit("1,2,5-7"))) == [1, 2, 5, 6, 7] and v(labels.row_spec(F.lit("all"))) is None
+    assert tuple(v(labels.row_spec(F.lit("5-7;2,1,2")))) == ("list", None, [1, 2, 5, 6, 7]) and tuple(v(labels.row_spec(F.lit("All")))) == ("all", None, None)
+    assert tuple(v(labels.row_spec(F.lit("middle 3")))) == ("middle", 3, None)
+    with pytest.raises(Exception, match="numbers from 1 on"):
+        v(labels.row_spec(F.lit("0,2")))
     assert [v(labels.compress_key(F.lit(x))) for x in ("None", "LZW fast", "zip")] == ["none", "lzw", "deflate"]
     assert v(labels.epsg_of(F.lit("urn:ogc:def:crs:epsg::7850"))) == 7850 and v(labels.epsg_of(F.lit("x"))) is None
     assert v(labels.plot_label(F.lit(1), F.lit(2))) == "Rg2Rw3" and v(labels.plot_number(F.lit(1), F.lit(2))) == 2003
@@ -90,8 +93,9 @@ def test_layout(spark):
 
 
 def test_tiles_cover_their_crop(spark):
-    t = layout.tile_grid(spark.createDataFrame([(1, 2418, 1500), (2, 500, 3000)], "id int, w int, h int"), 1024, 768).collect()
-    for crop, w, h in ((1, 2418, 1500), (2, 500, 3000)):
+    t = layout.tile_grid(spark.createDataFrame([(1, 2418, 1500), (2, 600, 3000), (3, 500, 3000)], "id int, w int, h int"), 1024, 768).collect()
+    assert not any(r.id == 3 for r in t)  # cut below half a tile
+    for crop, w, h in ((1, 2418, 1500), (2, 600, 3000)):
         seen = np.zeros((h, w), bool)
         for r in t:
             if r.id == crop:
@@ -164,7 +168,8 @@ def test_signals(spark):
     assert signal.comb_fit(comb, "g", "i", "v", 6).first().phase == 2
     two = spark.createDataFrame([(1, float(v)) for v in [0, 1, 0, 1, 9, 10, 10, 9]], "g int, v double")
     assert 1 < signal.otsu(two, "g", "v", 10).first().threshold < 9
-    assert signal.greedy_peaks(np.array([0, 5, 0, 4, 0, 0, 0, 3, 0.0]), 3, 1.0) == [1, 7]
+    peaks = lambda x, d, p: sorted(r.i for r in signal.peaks_of(spark.createDataFrame([(1, i, float(a)) for i, a in enumerate(x)], "g int, i int, v double"), "g", "i", "v", d, p).collect())
+    assert peaks([0, 5, 0, 4, 0, 0, 0, 3, 0.0], 3, 1.0) == [1, 7] and peaks([0, 5, 4.9, 6, 0], 1, 1.0) == [3]
     cost = np.random.default_rng(1).random((6, 9))
     path = signal.seam_path(cost, 1)
     best = min(sum(cost[r, c] for c, r in enumerate(p)) for p in _paths(6, 9))
