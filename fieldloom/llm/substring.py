@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import WORD, scratch_path, sent_if_small, written
+from fieldloom.llm.common import WORD, dropped, scratch_path, sent_if_small, stored, written
 from fieldloom.llm.suffix import common_prefixes, suffix_array
 from fieldloom.llm.textnum import U, mix, powers, slices, text_buffers
 
@@ -193,10 +193,18 @@ def _gather(docs: DataFrame) -> DataFrame:
 
 
 def _bucketed(df: DataFrame, n: int) -> DataFrame:
-    """df as a table bucketed by block in the shared folder: joins by block don't move it."""
+    """df as a table of n buckets by block in the shared folder: joins with answers in as many partitions don't move it."""
     name = f"text_blocks_{uuid.uuid4().hex}"
     df.write.bucketBy(n, "block").option("path", scratch_path(df.sparkSession, "blocks")).option("compression", "zstd").saveAsTable(name)
-    return df.sparkSession.table(name)
+    table = df.sparkSession.table(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")  # from the catalogue; its files stay until the driver ends
+    return table
+
+
+def _answered(blocks: DataFrame, n: int, answers: DataFrame, how: str, **lists: Column) -> DataFrame:
+    """blocks with the lists gathered from answers by block."""
+    gathered = answers.repartition(n, "block").groupBy("block").agg(*[F.collect_list(c).alias(k) for k, c in lists.items()])
+    return blocks.join(gathered.hint("shuffle_hash"), "block", how)
 
 
 def _arrays(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -279,10 +287,9 @@ def _shared_anchors(sent: DataFrame, hot: int) -> DataFrame:
     return sent.groupBy("range").applyInArrow(meet, "block bigint, several binary, many binary").where((F.length("several") > 0) | (F.length("many") > 0))
 
 
-def _surroundings(blocks: DataFrame, shared: DataFrame, n_shards: int) -> DataFrame:
+def _surroundings(blocks: DataFrame, n_buckets: int, shared: DataFrame, n_shards: int) -> DataFrame:
     """What lies around shared anchors, one row for each block and shard; part tells shard, windows (hot anchors) and spans (settled in the block)."""
-    answers = shared.groupBy("block").agg(F.collect_list("several").alias("several"), F.collect_list("many").alias("many"))
-    joined = blocks.join(answers.hint("shuffle_hash"), "block")
+    joined = _answered(blocks, n_buckets, shared, "inner", several=F.col("several"), many=F.col("many"))
 
     def around(batches):
         for batch in batches:
@@ -394,13 +401,16 @@ def removed_spans(docs: DataFrame, hot: int | None = None) -> tuple[DataFrame, D
     first = keyed.where(~F.col("copy"))
     total = first.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = -(-total // BLOCK_BYTES)
-    blocks = _bucketed(_gather(first), max(8, min(100_000, -(-n_blocks // 4))))
-    shared = written(_shared_anchors(_send_anchors(blocks, max(4, -(-total // RANGE_BYTES))), hot), "shared-anchors")
-    around = written(_surroundings(blocks, shared, max(8, -(-total // SHARD_BYTES))), "surroundings")
+    n_buckets = max(8, min(100_000, -(-n_blocks // 4)))
+    blocks = _bucketed(_gather(first), n_buckets)
+    spark = docs.sparkSession
+    shared, shared_path = stored(_shared_anchors(_send_anchors(blocks, max(4, -(-total // RANGE_BYTES))), hot), "shared-anchors")
+    around, around_path = stored(_surroundings(blocks, n_buckets, shared, max(8, -(-total // SHARD_BYTES))), "surroundings")
+    dropped(spark, shared_path)
     settled = around.where("part = 'spans'").select("block", "rows", F.col("firsts").alias("starts"), F.col("counts").alias("ends"))
     spans = written(_in_shards(around.where("part = 'shard'")).union(_by_window(around.where("part = 'windows'"))).union(settled), "spans")
-    answers = spans.groupBy("block").agg(F.collect_list(F.struct("rows", "starts", "ends")).alias("found"))
-    joined = blocks.join(answers.hint("shuffle_hash"), "block", "left")
+    dropped(spark, around_path)
+    joined = _answered(blocks, n_buckets, spans, "left", found=F.struct("rows", "starts", "ends"))
 
     def cut(batches):
         for batch in batches:
