@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -29,7 +30,7 @@ SEQUENCE, END_ID = 1024, 2
 #: Pieces of a group: one task packs them; a group wastes less than one sequence or so.
 GROUP_PIECES = 50_000
 #: Most words whose ids a worker remembers: some 40 bytes each.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 #: Bytes of text that are split and looked up at once: its arrays stay in a core's cache.
 LOOKUP_BYTES = 1 << 18
 #: Code points up to here are split by table; texts with others go to the tokenizer whole.
@@ -50,6 +51,8 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        # Tasks share the cores already; more threads would only take memory for each of their heaps.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
