@@ -218,12 +218,11 @@ def frames_one_way(spark, sf_dir):
 
 @query(f"""WITH {_FRAMES}, l AS (SELECT l_orderkey, l_linenumber, l_suppkey + l_linenumber - 4 AS b, 4.0::double * l_suppkey AS x0, l_quantity AS y0, 4.0::double * l_suppkey + l_linenumber AS x1, l_quantity + 100 * l_discount - 4.5::double AS y1 FROM lineitem),
 j AS (SELECT *, ((x0 + x1) / 2 - cx) * vx + ((y0 + y1) / 2 - cy) * vy AS v, (x1 - x0) * ux + (y1 - y0) * uy AS al, (x1 - x0) * vx + (y1 - y0) * vy AS ac FROM l JOIN frames_ USING (b))
-SELECT count(*) AS lines, round(sum(v), 2) AS v_sum, round(sum(degrees(atan2(CASE WHEN al < 0 THEN -ac ELSE ac END, abs(al)))), 1) AS angle_sum FROM j""")
+SELECT l_orderkey, l_linenumber, round(v, 4) AS v_off_m, round(degrees(atan2(CASE WHEN al < 0 THEN -ac ELSE ac END, abs(al))), 3) AS angle_deg FROM j""")
 def row_lines_in_frames(spark, sf_dir):
     k = F.col("l_linenumber")
-    lines = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") + k - 4).alias("b"), (4.0 * F.col("l_suppkey")).alias("x0"), F.col("l_quantity").alias("y0"), (4.0 * F.col("l_suppkey") + k).alias("x1"), (F.col("l_quantity") + 100 * F.col("l_discount") - 4.5).alias("y1"))
-    j = placing.lines_in_frame(lines, _frames(spark, sf_dir), "b")
-    return j.agg(F.count("*").alias("lines"), F.round(F.sum("v_off_m"), 2).alias("v_sum"), F.round(F.sum("angle_deg"), 1).alias("angle_sum"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") + k - 4).alias("b"), (4.0 * F.col("l_suppkey")).alias("x0"), F.col("l_quantity").alias("y0"), (4.0 * F.col("l_suppkey") + k).alias("x1"), (F.col("l_quantity") + 100 * F.col("l_discount") - 4.5).alias("y1"))
+    return placing.lines_in_frame(lines, _frames(spark, sf_dir), "b").select("l_orderkey", "l_linenumber", "v_off_m", "angle_deg")
 
 
 @query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey % 120 - 20 AS a0, 40 AS n, 90 AS across FROM lineitem), h AS (SELECT *, greatest(0, least(a0, across - n)) AS held FROM t)
