@@ -70,6 +70,14 @@ def sent_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """stem, with underscores after it while df has a column of that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for the row, also where body uses it in lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -23,15 +23,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import sent_if_small, written
+from fieldloom.llm.common import free_name, let, sent_if_small, written
 from fieldloom.llm.components import connected_components
 from fieldloom.llm.textnum import U, mix, shingles, slices, text_buffers
 
 BANDS, BAND_ROWS, SIMILARITY = 24, 5, 0.8
 #: Buckets of several classes with at most this many members compare all of them; larger ones filter pairs by a pivot.
 SMALL_BUCKET = 32
-#: Members that meet a copy of their pivot's cells in one task, about.
-PIVOT_MEMBERS = 1000
+#: Members that meet a copy of their pivot's cells, about, and members that are asked for it.
+PIVOT_MEMBERS, CONSENSUS = 1000, 32
+#: Differences that a task puts in order at once, and buckets of one row of their counts.
+CHUNK_CELLS, SLICE = 1 << 20, 1 << 10
 #: Bytes of a node (16, and an id) in a table that is sent whole.
 NODE_BYTES = 64
 _UNIT = 2.0**-53
@@ -129,13 +131,68 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return shared.where((F.col("both") == 0) | (F.col("n") >= similarity * (F.col("both") - F.col("n")) - 1e-9)).select("a", "b")
 
 
+def _counted_differences(live: DataFrame) -> DataFrame:
+    """(hub, slice, counts): how many of live's differences d fall into each bucket, by slices of SLICE buckets."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, np.ndarray] = {}
+
+        def slices_of(full):
+            rows = [(h, i, c) for h, all_ in full.items() for i, c in enumerate(all_.reshape(-1, SLICE)) if c.any()]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["hub", "slice", "counts"])
+
+        for batch in batches:
+            for hub, buckets, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                counts = held.setdefault(hub, np.zeros(buckets, np.int64))
+                counts += np.bincount(d.values.to_numpy(zero_copy_only=False) & (buckets - 1), minlength=buckets)
+            if sum(len(c) for c in held.values()) > 4 << 20:
+                yield slices_of(held)
+                held.clear()
+        yield slices_of(held)
+
+    def total(key: tuple, table: pa.Table) -> pa.Table:
+        rows = table.column("counts").combine_chunks()
+        summed = rows.flatten().to_numpy().reshape(-1, SLICE).sum(axis=0)
+        return pa.table({"hub": [key[0].as_py()], "slice": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([summed], pa.list_(pa.int64()))})
+
+    made = "hub binary, slice int, counts array<bigint>"
+    return live.select("hub", "buckets", "d").mapInArrow(count, made).groupBy("hub", "slice").applyInArrow(total, made)
+
+
+PREFIX = pa.schema([("cell", pa.int64()), ("node", pa.binary()), ("root", pa.binary()), ("e", pa.float64()), ("far", pa.bool_()), ("rest", pa.int32())])
+PREFIX_DDL = "cell bigint, node binary, root binary, e double, far boolean, rest int"
+
+
+def _prefixes(members: pa.Table, slices: pa.Table) -> pa.Table:
+    """The first elements of each member's differences in the order of (count of its bucket, cell), but for those whose bucket holds no other."""
+    counts = np.zeros(members.column("buckets")[0].as_py() if len(members) else 0, np.int64)
+    for i, c in zip(slices.column("slice").to_pylist(), slices.column("counts"), strict=True):
+        counts[i * SLICE : (i + 1) * SLICE] = c.values.to_numpy(zero_copy_only=False)
+    cell, rest, row = [], [], []
+    for k, (d, first) in enumerate(zip(members.column("d"), members.column("first").to_pylist(), strict=True)):
+        d = d.values.to_numpy(zero_copy_only=False)
+        n = counts[d & (len(counts) - 1)]
+        shared = n > 1
+        alone = len(d) - int(shared.sum())
+        d, n = d[shared], n[shared]
+        take = np.lexsort((d, n))[: max(0, first - alone)]
+        cell.append(d[take])
+        rest.append(len(d) - np.arange(len(take), dtype=np.int32))
+        row.append(np.full(len(take), k))
+    if not cell:
+        return PREFIX.empty_table()
+    at = pa.array(np.concatenate(row))
+    of = lambda name: members.column(name).take(at)
+    return pa.table([pa.array(np.concatenate(cell)), of("node"), of("root"), of("e"), of("far"), pa.array(np.concatenate(rest).astype(np.int32))], schema=PREFIX)
+
+
 def _pivot_pairs(state: DataFrame, hubs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of different classes in the buckets of hubs (band, n, hub) that may be similar; none that is goes missing.
 
-    The members of all buckets with one hub, together, are compared with its consensus
-    T: the hub's cells, but for those in which more than half of the members
-    differ from it.  With D(x) = x xor T, a pair differs in D(x) xor D(y), and
-    is similar if that is at most c (|x| + |y|), c = (1 - s) / (1 + s).  So
+    The members of all buckets with one hub, together, are compared with a
+    consensus T: the cells of more than half of some 32 members, chosen by
+    hash.  With D(x) = x xor T, a pair differs in D(x) xor D(y), and is
+    similar if that is at most c (|x| + |y|), c = (1 - s) / (1 + s).  So
     |D(x) and D(y)| >= (e(x) + e(y)) / 2 with e(x) = |D(x)| - c |x|.  Let z be
     the member with the least e.  Where e(x) + e(z) <= 0, x is similar to z:
     one pair for each such x, and all of them are near.  The others are far;
@@ -144,39 +201,43 @@ def _pivot_pairs(state: DataFrame, hubs: DataFrame, sets: DataFrame, similarity:
     near y at least (e(y) - e(z)) / 2.  With o of them to share and the rarest
     elements first, a pair meets in one of the first |D| - o + 1 of both:
     edits that both have, not the template they were made from.
+
+    This holds for any T and any one order of the elements.  Rarity is the
+    count of a hashed bucket of elements, 65,536 for a hub at most, summed in
+    tasks before they meet; so no row is made for an element but for those of
+    the prefixes.
     """
     c = (1 - similarity) / (1 + similarity)
-    parts = hubs.groupBy("hub").agg((F.sum("n") / PIVOT_MEMBERS).cast("int").alias("parts"))
-    placed = hubs.join(parts, "hub").select("band", "hub", "parts")
-    part = F.pmod(F.xxhash64("node"), F.col("parts") + 1).alias("part")
-    members = state.join(placed, "band").select("hub", part, "node", "root").distinct()
-    spread = lambda df: df.join(parts, "hub").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint")))).drop("parts")
-    pivots = spread(sets.select(F.col("node").alias("hub"), F.col("cells").alias("pivot")))
+    members = written(state.join(hubs.select("band", "hub"), "band").select("hub", "node", "root").distinct(), "pivot-nodes")
+    sizes = members.groupBy("hub").agg(F.count("*").alias("members")).select("*", (F.col("members") / PIVOT_MEMBERS).cast("bigint").alias("parts"))
+    sizes = sent_if_small(written(sizes, "pivot-sizes"), NODE_BYTES)
+    sized = members.join(sizes, "hub")
+    every = F.greatest(F.lit(1), F.floor(F.col("members") / CONSENSUS))
+    chosen = sized.where((F.pmod(F.xxhash64(F.lit(1), "node"), every) == 0) | (F.col("node") == F.col("hub"))).select("hub", "node")
+    asked = chosen.join(sets, "node").groupBy("hub").agg(F.collect_list("cells").alias("all"))
+    most = F.floor(F.size("all") / 2).cast("int")
+    consensus = let(F.sort_array(F.flatten("all")), lambda s: F.array_distinct(F.filter(s, lambda x, i: F.coalesce(F.get(s, i + most) == x, F.lit(False)))))
+    pivots = asked.select("hub", consensus.alias("pivot")).join(sizes, "hub").select("hub", "pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts"))).alias("part"))
     xor = lambda a, b: F.array_union(F.array_except(a, b), F.array_except(b, a))
-    joined = members.join(sets, "node").join(pivots, ["hub", "part"])
-    raw = written(joined.select("hub", "part", "node", "root", F.size("cells").alias("size"), F.transform(xor("cells", "pivot"), lambda x: F.xxhash64("hub", x)).alias("d")), "pivot-cells")
-    sizes = raw.groupBy("hub").agg(F.count("*").alias("members"))
-    counted = written(raw.select("hub", F.explode("d").alias("cell")).groupBy("hub", "cell").agg(F.count("*").alias("n")).where("n > 1").join(sizes, "hub"), "pivot-counts")
-    # At most twice the mean number of differences: bounded by the texts, not by the members.
-    flips = counted.where("2 * n > members").groupBy("hub").agg(F.collect_list("cell").alias("flip"))
-    none = F.array().cast("array<bigint>")
-    turned = raw.join(spread(flips), ["hub", "part"], "left").select("hub", "node", "root", xor("d", F.coalesce("flip", none)).alias("d"), "size")
-    turned = turned.select("*", (F.size("d") - c * F.col("size")).alias("e"))
-    least = turned.groupBy("hub").agg(F.min("e").alias("least"), F.min_by(F.struct("node", "root"), "e").alias("z"))
+    placed = sized.select("*", F.pmod(F.xxhash64("node"), F.col("parts") + 1).alias("part")).join(sets, "node").join(pivots, ["hub", "part"])
+    turned = placed.select("hub", "node", "root", "members", F.size("cells").alias("size"), F.transform(xor("cells", "pivot"), lambda x: F.xxhash64("hub", x)).alias("d"))
+    turned = written(turned.select("*", (F.size("d") - c * F.col("size")).alias("e")), "pivot-cells")
+    least = turned.groupBy("hub").agg(F.min("e").alias("least"), F.min_by(F.struct("node", "root"), "e").alias("z"), F.sum(F.size("d")).alias("cells"))
+    least = sent_if_small(written(least, "pivot-least"), 2 * NODE_BYTES)
     half = F.when(F.col("far"), F.col("e") + F.col("least")).otherwise(F.col("e") - F.col("least")) / 2
     seen = turned.join(least, "hub").withColumn("far", F.col("e") + F.col("least") > 1e-9)
-    seen = written(seen.withColumn("first", F.size("d") + 1 - F.greatest(F.lit(1), F.ceil(half - 1e-6).cast("int"))), "pivot-members")
     similar = seen.where("not far and root <> z.root").select(F.least("node", "z.node").alias("a"), F.greatest("node", "z.node").alias("b"))
     # Hubs whose members are all near are done.
-    live = seen.join(seen.where("far").select("hub").distinct(), "hub", "left_semi").where("first > 0")
-    common = counted.select("cell", F.when(F.expr("2 * n > members"), F.col("members") - F.col("n")).otherwise(F.col("n")).alias("n")).where("n > 1")
-    ordered = live.select("hub", "node", F.explode("d").alias("cell")).join(common, "cell").groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("n", "cell"))).alias("common"))
-    # An element that no other member has comes first, and makes no pair.
-    alone = F.size("d") - F.size("common")
-    entries = live.join(ordered, ["hub", "node"]).select("node", "root", "e", "far", F.size("common").alias("n_common"), F.slice("common", 1, F.greatest(F.lit(0), F.col("first") - alone)).alias("prefix"))
-    entries = entries.select("node", "root", "e", "far", "n_common", F.posexplode("prefix.cell").alias("at", "cell"))
+    with_far = sent_if_small(written(seen.where("far").select("hub").distinct(), "pivot-far"), NODE_BYTES)
+    live = seen.withColumn("first", F.size("d") + 1 - F.greatest(F.lit(1), F.ceil(half - 1e-6).cast("int"))).where("first > 0").join(with_far, "hub", "left_semi")
+    buckets = F.least(F.lit(1 << 16), F.greatest(F.lit(SLICE), F.pow(F.lit(2), F.ceil(F.log2(16 * F.col("members"))))).cast("int"))
+    chunks = F.floor(F.col("cells") / CHUNK_CELLS)
+    live = written(live.select("hub", F.pmod(F.xxhash64("node"), chunks + 1).alias("chunk"), chunks.alias("chunks"), "node", "root", "e", "far", "first", buckets.alias("buckets"), "d"), "pivot-members")
+    counted = written(_counted_differences(live), "pivot-counts")
+    spread = counted.join(sent_if_small(live.select("hub", "chunks").distinct(), NODE_BYTES), "hub").select("hub", "slice", "counts", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks"))).alias("chunk"))
     # As many elements as follow in both, this one included, are the most that a pair shares from its first common one on.
-    entries = written(entries.select("cell", F.struct("node", "root", "e", "far", (F.col("n_common") - F.col("at")).alias("rest")).alias("x")), "pivot-prefixes")
+    made = live.groupBy("hub", "chunk").cogroup(spread.groupBy("hub", "chunk")).applyInArrow(_prefixes, PREFIX_DDL)
+    entries = written(made.select("cell", F.struct("node", "root", "e", "far", "rest").alias("x")), "pivot-prefixes")
     met = entries.where("x.far").withColumnRenamed("x", "a").join(entries.withColumnRenamed("x", "b"), "cell")
     met = met.where("a.root <> b.root and (not b.far or a.node < b.node) and least(a.rest, b.rest) >= (a.e + b.e) / 2 - 1e-6")
     return similar.union(met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")))
@@ -247,12 +308,13 @@ def keep_one_of_each_class(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that have the least doc_id of their class, one for each class; all columns are kept."""
     rows, roots = near_duplicate_links(docs, **options)
     placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("k")).select(F.col("k.node").alias("kept_node"), F.col("k.doc_id").alias("kept_id"))
+    node, kept_node, kept_id = free_name(docs, "near_node"), free_name(docs, "kept_node"), free_name(docs, "kept_id")
+    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("k")).select(F.col("k.node").alias(kept_node), F.col("k.doc_id").alias(kept_id))
     copies = rows.groupBy("node", "doc_id").agg(F.count("*").alias("n")).where("n > 1")
     kept = written(kept, "kept-rows")
     again = not copies.limit(1).isEmpty()
-    keyed = docs.withColumn("_near_node", text_key(F.col("text")))
-    out = keyed.join(sent_if_small(kept, NODE_BYTES), (F.col("_near_node") == F.col("kept_node")) & keyed["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    keyed = docs.withColumn(node, text_key(F.col("text")))
+    out = keyed.join(sent_if_small(kept, NODE_BYTES), (F.col(node) == F.col(kept_node)) & keyed["doc_id"].eqNullSafe(F.col(kept_id)), "left_semi")
     if again:
-        out = out.dropDuplicates(["doc_id", "_near_node"])
-    return out.drop("_near_node")
+        out = out.dropDuplicates(["doc_id", node])
+    return out.drop(node)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import WORD, let, sent_if_small, written
+from fieldloom.llm.common import WORD, free_name, let, sent_if_small, written
 
 # Common words of four languages, the bins of the word histogram.
 COMMON_WORDS = (
@@ -132,7 +132,8 @@ def keep_good_documents(docs: DataFrame) -> DataFrame:
     taken out by an anti-join, which sends them whole only where they are few.
     Nulls, empty texts, repeated rows and empty tables are as in judge_quality.
     """
-    rejected = _judged(docs, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_WORDS).where(~F.col("kept")).select(F.col("text_key").alias("__key"), F.col("lang").alias("__lang")).distinct()
+    of_key, of_lang = free_name(docs, "rejected_key"), free_name(docs, "rejected_lang")
+    rejected = _judged(docs, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_WORDS).where(~F.col("kept")).select(F.col("text_key").alias(of_key), F.col("lang").alias(of_lang)).distinct()
     side = sent_if_small(written(rejected, "rejected"), KEY_BYTES)
     key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    return docs.join(side, (key == F.col("__key")) & (F.coalesce("lang", F.lit("")) == F.col("__lang")), "left_anti")
+    return docs.join(side, (key == F.col(of_key)) & (F.coalesce("lang", F.lit("")) == F.col(of_lang)), "left_anti")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import WORD, dropped, scratch_path, sent_if_small, stored, written
+from fieldloom.llm.common import WORD, dropped, free_name, scratch_path, sent_if_small, stored, written
 from fieldloom.llm.suffix import common_prefixes, suffix_array
 from fieldloom.llm.textnum import U, mix, powers, slices, text_buffers
 
@@ -387,8 +387,8 @@ def _by_window(around: DataFrame) -> DataFrame:
     return hit.groupBy("block").agg(F.collect_list("x.rows").alias("rows"), F.collect_list("x.begins").alias("starts"), F.collect_list(F.col("x.begins") + WINDOW).alias("ends"))
 
 
-#: Name of the row numbers that this module gives; a caller's column of any other name is left alone.
-ROW_ID = "__substring_row"
+#: Name of the row numbers in the tables of this module's own.
+ROW_ID = "substring_row"
 
 
 def removed_spans(docs: DataFrame, hot: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -475,13 +475,14 @@ def remove_repeats(docs: DataFrame, hot: int | None = None) -> DataFrame:
     null ids, repeated rows and empty tables are as there: a null or empty
     text loses nothing and stays, a null one as an empty text.
     """
-    numbered = written(docs.withColumn(ROW_ID, F.monotonically_increasing_id()), "texts")
-    cut = _cut_rows(numbered.select(ROW_ID, "doc_id", "text"), hot)
+    row, n_cut = free_name(docs, ROW_ID), free_name(docs, "n_cut")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "texts")
+    cut = _cut_rows(numbered.select(F.col(row).alias(ROW_ID), "doc_id", "text"), hot)
     whole = F.size("starts") == 0
     text = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\uFFFD", "")
-    cut = cut.select(F.col("rid").alias(ROW_ID), F.size("starts").alias("__n_cut"), F.when(whole, F.col("kept").cast("string")).otherwise(text).alias("text"))
-    joined = numbered.drop("text").join(cut, ROW_ID)
-    joined = joined.where((F.col("__n_cut") == 0) | F.regexp_like("text", F.lit(WORD)))
+    cut = cut.select(F.col("rid").alias(row), F.size("starts").alias(n_cut), F.when(whole, F.col("kept").cast("string")).otherwise(text).alias("text"))
+    joined = numbered.drop("text").join(cut, row)
+    joined = joined.where((F.col(n_cut) == 0) | F.regexp_like("text", F.lit(WORD)))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return joined.select(*docs.columns)

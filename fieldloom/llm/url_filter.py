@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm.common import free_name
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most (labels, path length) shapes that a rule table may have: both come from URLs, so both are short.
 MAX_SHAPES = 20_000
@@ -70,6 +72,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str
     made = pairs.select("host", "path", F.explode(fits).alias("o")).select("host", "path", F.call_function("substring_index", F.col("host"), F.lit("."), -F.col("o.labels")).alias("suffix"), F.substr(F.col("path"), F.lit(1), F.col("o.chars")).alias("start"))
     made = made.withColumn("url_digest", _digest(F.col("suffix"), F.col("start"))).withColumn("prefix", _prefix(F.col("url_digest")))
     hits = made.join(keyed, "prefix").where("url_digest = digest")
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict"), F.struct(F.length("rule_host"), F.length("rule_path"))).alias("won"))
+    won = free_name(urls, "won")
+    best = hits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict"), F.struct(F.length("rule_host"), F.length("rule_path"))).alias(won))
     out = urls.join(best, ["host", "path"], "left")
-    return out.withColumns({"rule": F.col("won.rule"), "verdict": F.coalesce("won.verdict", F.lit(default))}).drop("won")
+    return out.withColumns({"rule": F.col(won)["rule"], "verdict": F.coalesce(F.col(won)["verdict"], F.lit(default))}).drop(won)

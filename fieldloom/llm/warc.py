@@ -134,6 +134,8 @@ def parse_archive(stream: io.BufferedIOBase) -> Iterator[dict]:
 def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """All records of the archives under path (gzip'd or plain); payload is null where payloads is false.
 
+    Every file is read, whatever its name, but for those that Spark takes as
+    hidden (names that begin with _ or a dot, such as _SUCCESS).
     Records come in any order, repeated ones as often as they stand; a header
     that is missing is null; a file that isn't WARC raises an error; a folder
     without archives gives no rows.
@@ -157,7 +159,7 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
         if rows:
             yield pa.RecordBatch.from_pylist(rows, RECORD)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(records, RECORD_DDL)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import gzip
 import hashlib
 import itertools
 import random
@@ -410,3 +411,29 @@ def test_anchors_are_dealt_over_all_ranges(spark):
     assert set(sent["range"]) == set(range(8))
     n = sent.groupby("range")["keys"].apply(lambda x: sum(map(len, x)))
     assert n.max() < 2 * n.min()
+
+
+def test_no_operator_touches_callers_columns(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(70))
+    docs = spark.createDataFrame([(1, text, "en"), (2, text, "en"), (3, text + " end", "en")], "doc_id long, text string, lang string")
+    names = ["substring_row", "n_cut", "N_CUT_", "near_node", "kept_node", "kept_id", "rejected_key", "rejected_lang", "won", "__key", "node", "root"]
+    for n, name in enumerate(names):
+        if name not in ("N_CUT_",):
+            docs = docs.withColumn(name, F.lit(n))
+    for out in (substring.remove_repeats(docs), neardup.keep_one_of_each_class(docs), quality.keep_good_documents(docs)):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[name] == n for r in rows for n, name in enumerate(names) if name != "N_CUT_")
+    pages = spark.createDataFrame([("http://a.org/x", 7)], "url string, won int")
+    rules = spark.createDataFrame([("org", "/", "block")], "host string, path string, verdict string")
+    assert [(r.won, r.verdict, r.rule) for r in url_filter.judge_urls(pages, rules).collect()] == [(7, "block", "org/")]
+
+
+def test_warc_archives_of_any_name(spark, tmp_path):
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:1>\r\nContent-Type: application/http\r\nContent-Length: 24\r\n\r\nHTTP/1.1 200 OK\r\n\r\nhello\r\n\r\n"
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "CC-MAIN-1.warc.gz").write_bytes(gzip.compress(record) + gzip.compress(record.replace(b"x:1", b"x:2")))
+    (tmp_path / "plain.warc").write_bytes(record.replace(b"x:1", b"x:3"))
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    found = warc.read_records(spark, str(tmp_path)).collect()
+    assert sorted(r.record_id for r in found) == ["<urn:x:1>", "<urn:x:2>", "<urn:x:3>"] and {bytes(r.payload) for r in found} == {b"hello"}
