@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat, mixing, neardup, oracles, packing, quality, sharding, sketch, substring, url_filter, warc
+from fieldloom.llm import chat, hardneg, lexical, mixing, neardup, oracles, packing, pii, quality, sharding, sketch, substring, url_filter, warc
 from fieldloom.llm.common import table
 
 #: The rules of the query, as text: host, path, verdict.
@@ -70,5 +70,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_url_filter, op3_minhash_classes, op4_warc_transactions, op5_histogram_shards, op6_packed_sequences, op7_source_mix, op8_quality_rules, op9_fingerprints, op10_substring_dedup)}
-ORACLES = {"op1_chat_perspectives": oracles.OP1, "op2_url_filter": oracles.OP2, "op4_warc_transactions": oracles.OP4, "op8_quality_rules": oracles.OP8}
+
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    return found.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    of = lambda *kinds: F.filter("spans", lambda s: s.kind.isin(*kinds))
+    n = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    base = F.sha2(pii.digest(of(*pii.BASE)).cast("binary"), 256)
+    return found.select("doc_id", *n, base.alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hardneg.usable(table(spark, sf_dir, "embeddings"))
+    mined = hardneg.mine_hard_negatives(rows, rows.where(F.pmod("vec_id", F.lit(50)) == 0))
+    return mined.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_url_filter, op3_minhash_classes, op4_warc_transactions, op5_histogram_shards, op6_packed_sequences, op7_source_mix, op8_quality_rules, op9_fingerprints, op10_substring_dedup, op11_ranked_search, op12_personal_data, op13_hard_negatives)}
+ORACLES = {"op1_chat_perspectives": oracles.OP1, "op2_url_filter": oracles.OP2, "op4_warc_transactions": oracles.OP4, "op8_quality_rules": oracles.OP8, "op11_ranked_search": oracles.OP11, "op13_hard_negatives": oracles.OP13}

@@ -14,7 +14,7 @@ import pytest
 import corpus_pipeline
 from fieldloom.llm import queries
 
-TABLES = "documents pages conversations".split()
+TABLES = "documents pages conversations benchmark embeddings".split()
 
 
 def plain(rows, names):
