@@ -48,17 +48,22 @@ def to_16_bit(v: Column) -> Column:
 def row_spec(spec: Column) -> Column:
     """Struct mode, n, rows of a choice of rows: "all" ("", "all", "*"), "middle" with n ("middle 3"), or "list" with its numbers in order, each once ("1,2,5-7").
 
-    Numbers count from 1; a list without numbers, or with smaller ones, raises an error.
+    Numbers count from 1.  A range that runs down ("7-5") has no numbers.  A
+    list without numbers or with smaller ones, a part that is neither a number
+    nor a range ("1-2-3"), and "middle" without a number raise an error.
     """
     low = F.lower(F.trim(F.coalesce(spec, F.lit(""))))
+    every, middle = low.isin("", "all", "*"), low.startswith("middle")
     parts = F.filter(F.transform(F.split(F.replace(low, F.lit(";"), F.lit(",")), ","), lambda x: F.trim(x)), lambda x: x != "")
-    one = lambda x: F.when(x.contains("-"), F.sequence(F.split_part(x, F.lit("-"), F.lit(1)).cast("int"), F.split_part(x, F.lit("-"), F.lit(2)).cast("int"))).otherwise(F.array(x.cast("int")))
+    end = lambda x, i: F.regexp_extract(x, r"^(\d+)\s*-?\s*(\d*)$", i).try_cast("int")
+    last = lambda x: F.when(x.contains("-"), end(x, 2)).otherwise(end(x, 1))
+    one = lambda x: F.when(last(x) >= end(x, 1), F.sequence(end(x, 1), last(x))).otherwise(F.array().cast("array<int>"))
     numbers = F.array_sort(F.array_distinct(F.flatten(F.transform(parts, one))))
-    every, middle = low.isin("", "all", "*"), low.startswith("middle")
-    wrong = ~every & ~middle & F.coalesce(F.array_min(numbers) < 1, F.lit(True))
-    mode = F.when(every, "all").when(middle, "middle").when(wrong, F.raise_error(F.concat(F.lit("rows '"), spec, F.lit("': use all, middle N or numbers from 1 on")))).otherwise("list")
-    n = F.when(middle, F.greatest(F.lit(1), F.regexp_extract(low, r"(\S+)$", 1).cast("int")))
-    return F.struct(mode.alias("mode"), n.alias("n"), F.when(~every & ~middle, numbers).alias("rows"))
+    odd = F.exists(parts, lambda x: ~F.regexp_like(x, F.lit(r"^\d+(\s*-\s*\d+)?$")))
+    n = F.regexp_extract(low, r"(\S+)$", 1).try_cast("int")
+    wrong = F.when(middle, n.isNull()).otherwise(~every & (odd | F.coalesce(F.array_min(numbers) < 1, F.lit(True))))
+    mode = F.when(wrong, F.raise_error(F.concat(F.lit("rows '"), spec, F.lit("': use all, middle N or numbers from 1 on")))).when(every, "all").when(middle, "middle").otherwise("list")
+    return F.struct(mode.alias("mode"), F.when(middle, F.greatest(F.lit(1), n)).alias("n"), F.when(~every & ~middle, numbers).alias("rows"))
 
 
 def plot_label(bank: Column, place: Column) -> Column:

@@ -67,8 +67,8 @@ def height_or(points: DataFrame, cells: DataFrame, key: str, z: str, fallback: f
 
 
 def nearest_corner(ring: Column, x: Column, y: Column) -> Column:
-    """Index (from 0) of the corner that is nearest to a point; the first on ties."""
-    near = F.transform(ring, lambda p, i: F.struct(((p.x - x) * (p.x - x) + (p.y - y) * (p.y - y)).alias("d"), i.alias("i")))
+    """Index (from 0) of the corner that is nearest to a point; the first on ties (to nine digits of the squared distance)."""
+    near = F.transform(ring, lambda p, i: F.struct(F.round((p.x - x) * (p.x - x) + (p.y - y) * (p.y - y), 9).alias("d"), i.alias("i")))
     return F.array_min(near)["i"]
 
 

@@ -98,4 +98,4 @@ def scale_of_points(crops: DataFrame, by: str, points: str, least_px: float) ->
     each = crops.select(by, F.array_sort(ratios).alias("r")).where(F.size("r") > 0)
     at = lambda i: F.get("r", i.cast("int"))
     middle = (at(F.floor((F.size("r") - 1) / 2)) + at(F.floor(F.size("r") / 2))) / 2
-    return each.select(by, F.size("r").cast("long").alias("pairs"), middle.alias("scale"))
+    return each.select(by, F.size("r").cast("long").alias("pairs"), F.round(middle, 9).alias("scale"))

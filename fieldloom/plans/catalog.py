@@ -476,9 +476,9 @@ def safe_name(spark, sf_dir):
 
 @query("""SELECT o_orderkey, b || '-' || (b + c) || ',' || a AS spec, CASE WHEN c = 1 THEN 'middle' ELSE 'list' END AS mode, CASE WHEN c = 1 THEN a END AS n,
   CASE WHEN c <> 1 THEN array_to_string(list_sort(list_distinct(list_concat([a::bigint], range(b, b + c + 1)))), ' ') END AS rows_ FROM (
-  SELECT o_orderkey, (1 + o_orderkey % 4)::int AS a, (1 + o_custkey % 5)::int AS b, (o_orderkey % 3)::int AS c FROM orders)""")
+  SELECT o_orderkey, (1 + o_orderkey % 4)::int AS a, (2 + o_custkey % 5)::int AS b, (o_orderkey % 5 - 2)::int AS c FROM orders)""")
 def row_spec_parse(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", (1 + F.col("o_orderkey") % 4).cast("int").alias("a"), (1 + F.col("o_custkey") % 5).alias("b"), (F.col("o_orderkey") % 3).alias("c"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (1 + F.col("o_orderkey") % 4).cast("int").alias("a"), (2 + F.col("o_custkey") % 5).alias("b"), (F.col("o_orderkey") % 5 - 2).alias("c"))
     spec = F.concat_ws("", F.col("b"), F.lit("-"), F.col("b") + F.col("c"), F.lit(","), F.col("a"))
     chosen = labels.row_spec(F.when(F.col("c") == 1, F.concat(F.lit("middle "), F.col("a").cast("string"))).otherwise(spec))
     return o.select("o_orderkey", spec.alias("spec"), chosen.alias("r")).select("o_orderkey", "spec", "r.mode", "r.n", F.array_join("r.rows", " ").alias("rows_"))
@@ -605,7 +605,7 @@ def event_sessions(spark, sf_dir):
 
 @query("""WITH g AS (SELECT l_orderkey AS g, l_linenumber AS k, (l_partkey % 97) * 20 AS col, (l_suppkey % 89) * 20 AS row, l_quantity::double / 1000 AS e FROM lineitem),
   p AS (SELECT a.g, sqrt((a.col - b.col) ** 2 + (a.row - b.row) ** 2) AS px, sqrt((0.006::double * (a.col - b.col) + a.e - b.e) ** 2 + (0.006::double * (a.row - b.row) - a.e + b.e) ** 2) AS m FROM g a JOIN g b ON a.g = b.g AND a.k < b.k)
-  SELECT g, count(*) AS pairs, round(median(m / px), 6) AS scale FROM p WHERE px >= 50 GROUP BY g""")
+  SELECT g, count(*) AS pairs, round(round(median(m / px), 9), 6) AS scale FROM p WHERE px >= 50 GROUP BY g""")
 def gcp_scale_median(spark, sf_dir):
     """Ground metres for each pixel: the median over pairs of a crop's control points (an order's at most seven lines) that are 50 pixels apart."""
     li = table(spark, sf_dir, "lineitem")
