@@ -35,6 +35,8 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text and documents of a shard, about; one document may be longer.
 SHARD_BYTES, SHARD_DOCS = 24 << 20, 1 << 18
+#: Postings that are laid out at once; one term may have more.
+CHUNK_POSTINGS = 1 << 18
 BLOCK = 128
 #: Documents of the first window of a shard (each next one has twice as many) and of the largest.
 FIRST_WINDOW, LAST_WINDOW = 1 << 10, 1 << 14
@@ -88,12 +90,21 @@ def _lists(edges: np.ndarray, flat: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat, kind))
 
 
+def _bytes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The given runs of data, as an array of strings."""
+    size = ends - starts
+    at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    flat = data[np.arange(at[-1]) + np.repeat(starts - at[:-1], size)]
+    return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(flat.tobytes())])
+
+
 class _Shard:
-    """Collects the postings of a shard's documents and gives its index as Arrow batches."""
+    """Collects the postings of a shard's documents, 16 bytes each, and gives its index as Arrow batches of some terms at a time."""
 
     def __init__(self) -> None:
         self.ids, self.known, self.lengths, self.hashes, self.docs, self.counts = [], [], [], [], [], []
-        self.n, self.bytes, self.terms = 0, 0, {}
+        self.seen, self.terms, self.term_hashes = np.zeros(0, np.uint64), [], []
+        self.n, self.bytes = 0, 0
 
     def add(self, ids: np.ndarray, known: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
         data = _LOWERED[data]
@@ -108,11 +119,12 @@ class _Shard:
         self.hashes.append(h[at])
         self.docs.append((d[at] + self.n).astype(np.uint32))
         self.counts.append(np.diff(np.append(at, len(h))).astype(np.uint32))
-        raw = data.tobytes()
         fresh, where = np.unique(h[at], return_index=True)
-        for key, token in zip(fresh.tolist(), order[at[where]].tolist(), strict=True):
-            if key not in self.terms:
-                self.terms[key] = raw[starts[token] : ends[token]]
+        new = ~np.isin(fresh, self.seen, assume_unique=True)
+        token = order[at[where[new]]]
+        self.terms.append(_bytes_of(data, starts[token], ends[token]))
+        self.term_hashes.append(fresh[new])
+        self.seen = np.union1d(self.seen, fresh[new])
         self.ids.append(ids)
         self.known.append(known)
         self.lengths.append(np.bincount(doc, minlength=len(ids)))
@@ -122,21 +134,30 @@ class _Shard:
     def batches(self, shard: int) -> Iterator[pa.RecordBatch]:
         ids, known, lengths = np.concatenate(self.ids), np.concatenate(self.known), np.concatenate(self.lengths)
         by_id = np.lexsort((ids, ~known))
-        number = np.empty(self.n, np.int64)
-        number[by_id] = np.arange(self.n)
+        number = np.empty(self.n, np.uint32)
+        number[by_id] = np.arange(self.n, dtype=np.uint32)
         ids, lengths = ids[by_id], lengths[by_id]
         yield self._documents(shard, np.where(known[by_id], ids, NO_ID), lengths)
-        hashes, doc, tf = np.concatenate(self.hashes), number[np.concatenate(self.docs)], np.concatenate(self.counts).astype(np.int64)
+        hashes, doc, tf = np.concatenate(self.hashes), number[np.concatenate(self.docs)], np.concatenate(self.counts)
+        self.hashes, self.docs, self.counts, self.seen = [], [], [], None
         if not len(hashes):
             return
         order = np.lexsort((doc, hashes))
         hashes, doc, tf = hashes[order], doc[order], tf[order]
-        begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        df = np.diff(np.append(begin, len(doc)))
+        begin = np.append(np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])), len(doc))
+        del order, hashes
+        terms = pa.concat_arrays(self.terms).take(pa.array(np.argsort(np.concatenate(self.term_hashes))))
+        a = 0
+        while a < len(terms):
+            b = max(a + 1, int(np.searchsorted(begin, begin[a] + CHUNK_POSTINGS, "right")) - 1)
+            yield self._terms(shard, terms.slice(a, b - a), begin[a : b + 1] - begin[a], doc[begin[a] : begin[b]].astype(np.int64), tf[begin[a] : begin[b]].astype(np.int64), lengths)
+            a = b
+
+    def _terms(self, shard: int, terms: pa.Array, begin: np.ndarray, doc: np.ndarray, tf: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+        df = np.diff(begin)
         previous = np.concatenate([[-1], doc[:-1]])
-        previous[begin] = -1
-        place = np.arange(len(doc)) - np.repeat(begin, df)
-        is_first = place % BLOCK == 0
+        previous[begin[:-1]] = -1
+        is_first = (np.arange(len(doc)) - np.repeat(begin[:-1], df)) % BLOCK == 0
         block = np.cumsum(is_first) - 1
         first = np.flatnonzero(is_first)
         last = np.append(first[1:], len(doc)) - 1
@@ -148,26 +169,16 @@ class _Shard:
         leads[1:] = falling[1:] < np.minimum.accumulate(falling)[:-1]
         front = order[leads]
         encoded, size = varints(np.stack([doc - previous, tf], 1).ravel())
-        ends = np.concatenate([[0], np.cumsum(size)])[:: 2]
-        n_blocks = -(-df // BLOCK)
-        block_at = np.concatenate([[0], np.cumsum(n_blocks)])
+        ends = np.concatenate([[0], np.cumsum(size)])[::2]
+        edges = np.concatenate([[0], np.cumsum(-(-df // BLOCK))])
         n_front = np.bincount(block[front], minlength=len(first))
-        front_at = np.concatenate([[0], np.cumsum(n_front)])
-        pairs = (tf[front] << 32) | length[front]
         byte_at = np.append(ends[first], ends[-1])
-        terms = [self.terms[h] for h in hashes[begin].tolist()]
-        for a in range(0, len(terms), 20_000):
-            b = min(len(terms), a + 20_000)
-            blocks = slice(block_at[a], block_at[b])
-            edges = block_at[a : b + 1] - block_at[a]
-            f0, f1 = front_at[block_at[a]], front_at[block_at[b]]
-            bytes_at = byte_at[block_at[a : b + 1]]
-            postings = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((bytes_at - bytes_at[0]).astype(np.int32).tobytes()), pa.py_buffer(encoded[bytes_at[0] : bytes_at[-1]].tobytes())])
-            columns = [
-                pa.array(np.full(b - a, shard)), pa.array(terms[a:b], pa.binary()).cast(pa.string()), pa.array(df[a:b], pa.int32()), _lists(edges, doc[last[blocks]], pa.int32()), _lists(edges, np.diff(byte_at)[blocks], pa.int32()),
-                _lists(edges, n_front[blocks], pa.int32()), _lists(front_at[block_at[a : b + 1]] - f0, pairs[f0:f1], pa.int64()), postings, *[pa.nulls(b - a, INDEX.field(i).type) for i in range(8, 12)],
-            ]
-            yield pa.RecordBatch.from_arrays(columns, schema=INDEX)
+        postings = pa.Array.from_buffers(pa.binary(), len(terms), [None, pa.py_buffer(byte_at[edges].astype(np.int32).tobytes()), pa.py_buffer(encoded.tobytes())])
+        columns = [
+            pa.array(np.full(len(terms), shard)), terms, pa.array(df, pa.int32()), _lists(edges, doc[last], pa.int32()), _lists(edges, np.diff(byte_at), pa.int32()), _lists(edges, n_front, pa.int32()),
+            _lists(np.concatenate([[0], np.cumsum(n_front)])[edges], (tf[front] << 32) | length[front], pa.int64()), postings, *[pa.nulls(len(terms), INDEX.field(i).type) for i in range(8, 12)],
+        ]
+        return pa.RecordBatch.from_arrays(columns, schema=INDEX)
 
     def _documents(self, shard: int, ids: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
         row = {"shard": shard, "n_docs": int((lengths > 0).sum()), "n_terms": int(lengths.sum()), "doc_ids": ids, "lengths": lengths.astype(np.int32)}
