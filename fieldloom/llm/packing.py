@@ -9,7 +9,6 @@ that raises the sum of squared fills, until bins are empty or nothing helps.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import os
 import zlib
@@ -172,11 +171,6 @@ class WordTokenizer:
         self.keys, self.starts, self.lengths = np.insert(self.keys, place, keys), np.insert(self.starts, place, starts), np.insert(self.lengths, place, lengths)
 
 
-@functools.lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
-
-
 def piece_bounds(n: int, size: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: full ones, but for a shorter first."""
     first = n % size or min(n, size)
@@ -195,7 +189,8 @@ def token_pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int =
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = tokenizer(path), np.array([end_id], np.uint32)
+        # Made for each task (a fifth of a second): workers live on, and would keep it through every later stage.
+        tok, end = WordTokenizer(path), np.array([end_id], np.uint32)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             data, offsets = text_buffers(batch.column(1))
@@ -207,6 +202,8 @@ def token_pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int =
                         own = ids[start : start + n]
                         rows.append((doc, k, start, n, zlib.crc32(own.tobytes()), *([own.astype(np.int32).tolist()] if with_ids else [])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        tok = batch = data = offsets = part = None
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(cut, ddl)
 

@@ -213,7 +213,7 @@ def test_sharding(spark, docs, none):
 def test_tokenizer_equals_the_library():
     from tokenizers import Tokenizer
 
-    own, lib, r = packing.tokenizer(BPE), Tokenizer.from_file(BPE), random.Random(5)
+    own, lib, r = packing.WordTokenizer(BPE), Tokenizer.from_file(BPE), random.Random(5)
     alphabet = "ab'sdmtrevl 1 2 \n\t\r\x0b!.é  ñ'\"世#́\x1c\x85"
     texts = ["", "  ", "a  b", "it's we're I'll ''s 's's", "x \n\n y ", "<|endoftext|>hi", "'", "'ll"] + ["".join(r.choice(alphabet) for _ in range(r.randint(1, 40))) for _ in range(3000)]
     import pyarrow as pa
