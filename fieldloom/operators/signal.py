@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,33 +79,3 @@ def peaks_of(df: DataFrame, by: str, at: str, v: str, distance: int, prominence:
     taken = F.aggregate(ranked, F.array().cast("array<int>"), lambda got, c: F.when(F.exists(got, lambda j: F.abs(j - c.i) < distance), got).otherwise(F.concat(got, F.array(c.i))))
     each = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(v).alias("v")))).alias("_x"))
     return each.select(by, F.explode(F.transform(taken, lambda i: F.get("_x", i))).alias("_p")).select(by, F.col("_p.at").alias(at), F.col("_p.v").alias(v))
-
-
-def seam_path(cost: np.ndarray, step: int = 4) -> np.ndarray:
-    """Row of the cheapest path from left to right that moves at most step rows a column; the upper on ties."""
-    rows, cols = cost.shape
-    total, back = cost[:, 0].astype(float), np.zeros((rows, cols), np.int64)
-    for c in range(1, cols):
-        best, who = np.full(rows, np.inf), np.zeros(rows, np.int64)
-        for d in range(-step, step + 1):
-            lo, hi = max(0, d), min(rows, rows + d)
-            prev = np.full(rows, np.inf)
-            prev[lo - d : hi - d] = total[lo:hi]
-            better = prev < best
-            best[better], who[better] = prev[better], (np.arange(rows) + d)[better]
-        total, back[:, c] = best + cost[:, c], who
-    path = np.zeros(cols, np.int64)
-    path[-1] = int(total.argmin())
-    for c in range(cols - 1, 0, -1):
-        path[c - 1] = back[path[c], c]
-    return path
-
-
-def seams_of(pixels: DataFrame, by: str, step: int = 1) -> DataFrame:
-    """(by, col, row) of the seam of each group's patch (row, col, value); a group is one patch of bounded size."""
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        cost = pdf.pivot(index="row", columns="col", values="value").sort_index().sort_index(axis=1).to_numpy(float)
-        path = seam_path(cost, step)
-        return pd.DataFrame({by: [pdf[by].iloc[0]] * len(path), "col": range(len(path)), "row": path})
-
-    return pixels.select(by, "row", "col", "value").groupBy(by).applyInPandas(cut, f"{by} long, col long, row long")

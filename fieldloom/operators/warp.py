@@ -60,7 +60,7 @@ def bicubic(patch: np.ndarray, px: int, py: int, x: np.ndarray, y: np.ndarray, w
     return np.where(inside, np.floor(np.clip(total, 0, 255) + 1e-9), 0).astype(np.int32), inside
 
 
-def warped(quads: DataFrame, rasters: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
+def warped(quads: DataFrame, rasters: DataFrame, blocks: DataFrame, size: int, n_bands: int = 3) -> DataFrame:
     """quads' boxes with bands (values of 0 to 255, row by row) and valid (whether the pixel's place is inside the source).
 
     rasters has raster, width and height; blocks is as in operators.windows.
@@ -78,13 +78,16 @@ def warped(quads: DataFrame, rasters: DataFrame, blocks: DataFrame, size: int) -
     keyed = q.select("*", span("sx0", "sx1").alias("bx")).select("*", span("sy0", "sy1").alias("by"))
     box = ["plot", "x0", "y0", "x1", "y1", "quad", "width", "height", "sx0", "sx1", "sy0", "sy1"]
     named = blocks.select("raster", "by", "bx", F.col("x0").alias("px"), F.col("y0").alias("py"), F.col("w").alias("pw"), F.col("h").alias("ph"), "bands")
-    met = keyed.join(named, ["raster", "by", "bx"]).select(*box, "px", "py", "pw", "ph", "bands")
+    met = keyed.join(named, ["raster", "by", "bx"], "left").select(*box, "px", "py", "pw", "ph", "bands")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.select(["sx0", "sx1", "sy0", "sy1", "px", "py", "pw", "ph"]).to_pylist()
             out = []
             for r, bands in zip(rows, batch.column("bands"), strict=True):
+                if not bands.is_valid:
+                    out.append((0, 0, 0, []))
+                    continue
                 x0, x1, y0, y1 = max(r["sx0"], r["px"]), min(r["sx1"], r["px"] + r["pw"]), max(r["sy0"], r["py"]), min(r["sy1"], r["py"] + r["ph"])
                 part = [np.asarray(b.values).reshape(r["ph"], r["pw"])[y0 - r["py"] : y1 - r["py"], x0 - r["px"] : x1 - r["px"]].ravel() for b in bands]
                 out.append((x0, y0, x1 - x0, part))
@@ -101,7 +104,7 @@ def warped(quads: DataFrame, rasters: DataFrame, blocks: DataFrame, size: int) -
         for batch in batches:
             values, valid = [], []
             for r in batch.to_pylist():
-                patch = np.zeros((len(r["parts"][0]["bands"]), r["sy1"] - r["sy0"], r["sx1"] - r["sx0"]))
+                patch = np.zeros((n_bands, r["sy1"] - r["sy0"], r["sx1"] - r["sx0"]))
                 for p in r["parts"]:
                     for k, band in enumerate(p["bands"]):
                         piece = np.array(band).reshape(-1, p["pw"])

@@ -454,11 +454,6 @@ def peak_nms(spark, sf_dir):
     return signal.peaks_of(derive.profile(spark, sf_dir), "vec_id", "i", "v", 4, 0.05)
 
 
-@query()
-def min_error_seam(spark, sf_dir):
-    return signal.seams_of(derive.patches(spark, sf_dir), "vec_id")
-
-
 @query(with_views("profile", body="""SELECT vec_id, arg_min(i, (score, i)) AS start, min(score) AS score FROM (SELECT vec_id, i, round(3 * avg(gap) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) + abs((pos + last) / 2 - 320), 6) AS score, last FROM (
   SELECT vec_id, i, pos, abs(pos - lag(pos) OVER w - 10) AS gap, lead(pos, 2) OVER w AS last FROM (SELECT vec_id, i, 10 * i + round(v, 4) AS pos FROM profile) WINDOW w AS (PARTITION BY vec_id ORDER BY i))) WHERE last IS NOT NULL GROUP BY 1"""))
 def block_choice_regular_gaps(spark, sf_dir):

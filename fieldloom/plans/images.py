@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators import rowfind, windows
+from fieldloom.operators import handover, rowfind, warp, windows
 from fieldloom.plans.catalog import query
 from fieldloom.plans.derive import table
 from fieldloom.tables import stored
@@ -137,3 +137,59 @@ def rows_in_ortho(spark, sf_dir):
     parts = stored(windows.sampled(plans, blocks, 8), "windows")
     found = rowfind.detect(windows.samples(parts, ["r", "g", "b"]), 1000 * step)
     return rowfind.report(found, plans, step)
+
+
+# ---------------------------------------------------------------- frames warped and handed over
+
+_MESH = """nodes AS (SELECT raster, n % 4 AS i, n // 4 AS j, 1.0::double + (n % 4) * 9.7::double + 0.3::double * (raster % 5) + 0.8::double * (n // 4) AS x, -0.4::double + (n // 4) * 15.9::double - 0.5::double * (n % 4) + 0.2::double * (raster % 3) AS y FROM (SELECT DISTINCT raster, unnest(range(12)) AS n FROM rasters) WHERE NOT (raster % 6 = 5 AND n = 5)),
+quads AS (SELECT raster, a.i, a.j, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy, d.x AS dx, d.y AS dy FROM nodes a JOIN nodes b USING (raster) JOIN nodes c USING (raster) JOIN nodes d USING (raster)
+  WHERE a.i < 3 AND a.j < 2 AND b.i = a.i + 1 AND b.j = a.j AND c.i = a.i AND c.j = a.j + 1 AND d.i = a.i + 1 AND d.j = a.j + 1),
+boxes AS (SELECT *, round_even(22 * i / 3.0::double, 0)::int AS x0, round_even(22 * (i + 1) / 3.0::double, 0)::int AS x1, round_even(17 * j / 2.0::double, 0)::int AS y0, round_even(17 * (j + 1) / 2.0::double, 0)::int AS y1 FROM quads),
+px AS (SELECT *, unnest(range(x0, x1)) AS col FROM boxes), py AS (SELECT *, unnest(range(y0, y1)) AS row FROM px),
+uv AS (SELECT *, (col - x0 + 0.5::double) / (x1 - x0) AS u, (row - y0 + 0.5::double) / (y1 - y0) AS v FROM py),
+src AS (SELECT raster, row, col, ax + (bx - ax) * u + (cx - ax) * v + (dx - bx - cx + ax) * u * v AS x, ay + (by_ - ay) * u + (cy - ay) * v + (dy - by_ - cy + ay) * u * v AS y FROM uv),
+f AS (SELECT *, floor(x - 0.5::double)::int AS fx, floor(y - 0.5::double)::int AS fy, x >= 0 AND x < 32 AND y >= 0 AND y < 32 AS valid FROM src),
+t AS (SELECT *, unnest(range(4)) AS m, x - 0.5::double - fx AS dx, y - 0.5::double - fy AS dy FROM f), k AS (SELECT *, unnest(range(4)) AS n FROM t),
+w AS (SELECT raster, row, col, valid, greatest(0, least(31, fx + n - 1)) AS cx, greatest(0, least(31, fy + m - 1)) AS cy,
+  CASE n WHEN 0 THEN -dx + 2 * dx ** 2 - dx ** 3 WHEN 1 THEN 1 - 2 * dx ** 2 + dx ** 3 WHEN 2 THEN dx + dx ** 2 - dx ** 3 ELSE dx ** 3 - dx ** 2 END * CASE m WHEN 0 THEN -dy + 2 * dy ** 2 - dy ** 3 WHEN 1 THEN 1 - 2 * dy ** 2 + dy ** 3 WHEN 2 THEN dy + dy ** 2 - dy ** 3 ELSE dy ** 3 - dy ** 2 END AS weight FROM k)"""
+
+
+def _meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meshes of 3 by 2 cells, skewed, over the raster's edge; one node in six meshes is missing."""
+    g = F.col("raster")
+    x = lambda n: 1.0 + n % 4 * 9.7 + 0.3 * (g % 5) + 0.8 * F.floor(n / 4)
+    y = lambda n: -0.4 + F.floor(n / 4) * 15.9 - 0.5 * (n % 4) + 0.2 * (g % 3)
+    node = lambda n: F.when(~((g % 6 == 5) & (n == 5)), F.struct(x(n).alias("x"), y(n).alias("y")))
+    return rasters(spark, sf_dir).select(g.alias("plot"), "raster", F.lit(3).alias("nx"), F.lit(2).alias("ny"), F.lit(22).alias("w"), F.lit(17).alias("h"), F.transform(F.sequence(F.lit(0), F.lit(11)), node).alias("nodes"))
+
+
+@query(f"""WITH {_CELLS}, {_RASTERS}, {_MESH}, s AS (SELECT raster, w.row, w.col, any_value(valid) AS valid, sum(weight * coalesce(r, 0)) AS r, sum(weight * coalesce(g, 0)) AS g, sum(weight * coalesce(c.b, 0)) AS b
+  FROM w LEFT JOIN cells c ON c.raster = w.raster AND c.row = w.cy AND c.col = w.cx GROUP BY w.raster, w.row, w.col)
+SELECT raster AS plot, row::int AS row, col::int AS col, valid, {", ".join(f"CASE WHEN valid THEN floor(greatest(0, least(255, {k})) + 1e-9::double)::int ELSE 0 END AS {k}" for k in "rgb")} FROM s""".replace("SELECT raster, w.row", "SELECT w.raster, w.row"))
+def frames_warped(spark, sf_dir):
+    blocks = windows.to_blocks(cells(spark, sf_dir), "raster", 8, ["r", "g", "b"])
+    boxes = warp.warped(warp.mesh_quads(_meshes(spark, sf_dir)), rasters(spark, sf_dir), blocks, 8)
+    return warp.pixels(boxes, ["r", "g", "b"])
+
+
+def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of neighbouring mosaics as a composite and a new frame, which overlap in a ragged band, beside or above each other."""
+    px = cells(spark, sf_dir).withColumn("n", F.col("row") * 32 + F.col("col"))
+    bands = F.array(*[F.expr(f"transform(p, x -> x.{c})") for c in "rgb"])
+    whole = px.groupBy("raster").agg(F.sort_array(F.collect_list(F.struct("n", "r", "g", "b"))).alias("p")).where(F.size("p") == 1024).select("raster", bands.alias("bands"))
+    a = whole.where("raster % 2 = 0").select(F.expr("raster div 2").alias("key"), F.col("bands").alias("old"))
+    b = whole.where("raster % 2 = 1").select(F.expr("raster div 2").alias("key"), F.col("bands").alias("new"))
+    at = lambda f: F.transform(F.sequence(F.lit(0), F.lit(1023)), f)
+    turned = F.col("key") % 2 == 1
+    across = lambda n: F.when(turned, n % 32).otherwise(F.floor(n / 32))
+    along = lambda n: F.when(turned, F.floor(n / 32)).otherwise(n % 32)
+    flip = lambda v: F.when(F.col("key") % 4 >= 2, 31 - v).otherwise(v)
+    filled, valid = at(lambda n: flip(across(n)) < 22 + F.floor(along(n) / 9) % 3), at(lambda n: flip(across(n)) >= 9 + F.floor(along(n) / 8) % 3)
+    return a.join(b, "key").select("key", F.lit(32).alias("h"), F.lit(32).alias("w"), "old", "new", filled.alias("filled"), valid.alias("valid"))
+
+
+@query()
+def min_error_seam(spark, sf_dir):
+    """Seams of the strips and the pixels on both sides: SQL has no dynamic programming; the tests hold it against brute force."""
+    out = handover.handed_over(strips(spark, sf_dir), slack=8, least=200, fade=10, half=6)
+    return out.select("key", "turned", "below", F.array_join("path", " ").alias("path"), F.size(F.filter("take", lambda t: t)).alias("taken"), F.aggregate(F.flatten("bands"), F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))

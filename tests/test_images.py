@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.operators import rowfind, windows
+from fieldloom.operators import handover, rowfind, warp, windows
 from fieldloom.plans import images
 
 
@@ -205,3 +205,110 @@ def test_tilt_beyond_the_limit_is_none(spark):
     tilt = lambda slope, odd: rowfind.tilt_of(along, F.array(*[F.lit(slope * x + (9.0 if x == odd else 0.0)) for x in range(0, 60, 10)]), F.array(*[F.lit(1.0)] * 6), F.lit(10.0))
     r = spark.range(1).select(tilt(0.05, -1).alias("a"), tilt(0.2, -1).alias("b"), tilt(0.05, 30).alias("c")).first()
     assert r.a == pytest.approx(math.degrees(math.atan(0.05))) and r.b == 0.0 and r.c == pytest.approx(r.a, abs=1e-6)
+
+
+# ---------------------------------------------------------------- warp and handover
+
+
+def test_warp_against_plain_numpy(spark):
+    value, blocks, rasters = raster(spark, 5, 33, 29, 8)
+    nodes = [(2.0, 1.0), (17.3, -1.2), (34.0, 2.2), (0.5, 15.0), (16.0, 14.1), (31.0, 15.5), (1.5, 30.5), None, (30.0, 27.0), (3.0, 27.5), (15.0, 28.0), (29.0, 28.5)]
+    mesh = spark.createDataFrame([(7, 1, 2, 3, 25, 23, nodes), (8, 1, 1, 1, 0, 9, nodes[:4])], "plot int, raster int, nx int, ny int, w int, h int, nodes array<struct<x:double,y:double>>")
+    quads = warp.mesh_quads(mesh)
+    assert sorted((r.plot, r.x0, r.y0, r.x1, r.y1) for r in quads.collect()) == [(7, 0, 0, 12, 8), (7, 12, 0, 25, 8)]  # the missing node takes four cells away
+    got = {(r.row, r.col): (r.valid, r.v) for r in warp.pixels(warp.warped(quads, rasters, blocks, 8, 1), ["v"]).collect()}
+    want, seen = {}, np.pad(value, 3, mode="edge")
+    cubic = lambda a, d: a[1] + d * (a[2] - a[0] + d * (2 * (a[0] - a[1]) + a[2] - a[3] + d * (a[1] - a[0] - a[2] + a[3])))
+    for x0, x1, q in ((0, 12, (0, 1, 3, 4)), (12, 25, (1, 2, 4, 5))):
+        a, b, c, d = (np.array(nodes[k]) for k in q)
+        for row in range(8):
+            for col in range(x0, x1):
+                u, v = (col - x0 + 0.5) / (x1 - x0), (row + 0.5) / 8
+                x, y = a * (1 - u) * (1 - v) + b * u * (1 - v) + c * (1 - u) * v + d * u * v
+                inside = 0 <= x < 33 and 0 <= y < 29
+                fx, fy = math.floor(x - 0.5), math.floor(y - 0.5)
+                lines = [cubic([float(seen[min(max(fy + m, -3), 31) + 3 - 1 + 0, min(max(fx + k, -3), 35) + 3 - 1]) for k in range(4)], x - 0.5 - fx) for m in range(4)] if inside else [0] * 4
+                want[row, col] = (inside, math.floor(min(255, max(0, cubic(lines, y - 0.5 - fy))) + 1e-9) if inside else 0)
+    assert got == want and any(not v for v, _ in want.values())
+
+
+def test_cheapest_path_is_the_best_of_all():
+    cost = np.random.default_rng(1).random((6, 7))
+    paths = [[r] for r in range(6)]
+    for _ in range(6):
+        paths = [[*p, r] for p in paths for r in range(p[-1] - 2, p[-1] + 3) if 0 <= r < 6]
+    got = handover.cheapest_path(cost, 2)
+    assert sum(cost[r, c] for c, r in enumerate(got)) == pytest.approx(min(sum(cost[r, c] for c, r in enumerate(p)) for p in paths)) and np.abs(np.diff(got)).max() <= 2
+
+
+def plain_seam(old, new, filled, valid, slack, step, bias=0.05):
+    """The best path of a band that lies below, by a table of all places."""
+    h, w = old.shape
+    overlap, lacking = filled & valid, valid & ~filled
+    edge = [max((r for r in range(h) if overlap[r, c]), default=-1) for c in range(w)]
+    active = [overlap[:, c].any() and lacking[:, c].any() for c in range(w)]
+    lo, hi = max(0, min(e for e, a in zip(edge, active, strict=True) if a) - slack), min(h - 1, max(e for e, a in zip(edge, active, strict=True) if a))
+    cost = {(r, c): (abs(old[r, c] - new[r, c]) if overlap[r, c] and edge[c] - slack <= r <= edge[c] else 1e4) + bias * abs(r - edge[c]) for r in range(lo, hi + 1) for c in range(w)}
+    best = {(r, 0): (cost[r, 0], None) for r in range(lo, hi + 1)}
+    for c in range(1, w):
+        for r in range(lo, hi + 1):
+            before = min((q for q in range(r - step, r + step + 1) if lo <= q <= hi), key=lambda q: (best[q, c - 1][0], q))
+            best[r, c] = (best[before, c - 1][0] + cost[r, c], before)
+    path = [min(range(lo, hi + 1), key=lambda r: (best[r, w - 1][0], r))]
+    for c in range(w - 1, 0, -1):
+        path.append(best[path[-1], c][1])
+    path = np.array(path[::-1])
+    take = np.array([[valid[r, c] and (lacking[r, c] or (overlap[r, c] and active[c] and r > path[c])) for c in range(w)] for r in range(h)])
+    return path, np.array(active), take
+
+
+def plain_feather(old, new, path, active, fade, half):
+    h, w = old.shape
+    gap, good = np.zeros(w), np.zeros(w, bool)
+    for c in range(w):
+        a = [old[r, c] for r in range(h) if -half <= r - path[c] < 0]
+        b = [new[r, c] for r in range(h) if 0 <= r - path[c] <= half]
+        good[c] = len(a) > 4 and len(b) > 4 and active[c]
+        gap[c] = np.mean(a) - np.mean(b) if good[c] else 0
+    k = max(3, int(w / 12) | 1) // 2
+    out = new.astype(float)
+    for c in range(w):
+        near = [q for q in range(c - k, c + k + 1) if 0 <= q < w and good[q]]
+        offset = np.clip(np.mean([gap[q] for q in near]) if near else 0, -60, 60)
+        for r in range(h):
+            out[r, c] = np.clip(out[r, c] + offset * np.clip(1 - max(r - path[c], 0) / fade, 0, 1), 0, 255)
+    return out
+
+
+@pytest.mark.parametrize("turn", range(4))
+def test_handover_against_brute_force(spark, turn):
+    r = np.random.default_rng(turn)
+    h, w = 40, 50
+    old, new = r.integers(60, 200, (2, 3, h, w))
+    new = np.clip(new + 30, 0, 255)
+    row, col = np.mgrid[:h, :w]
+    filled, valid = row < 24 + col // 9 % 3, (row >= 10 + col // 8 % 3) & (col > 3)
+    path, active, take = plain_seam(old.mean(axis=0), new.mean(axis=0), filled, valid, 9, 2)
+    given = np.stack([plain_feather(old[k], new[k], path, active, 12, 7) for k in range(3)])
+    want = np.where(take, np.rint(given), np.where(filled, old, 0)).astype(int)
+    # Turned and mirrored strips have the mirrored result.
+    flip = lambda a: np.rot90(a, turn, axes=(-2, -1)) if turn in (1, 3) else a[..., ::-1, :] if turn == 2 else a
+    shown = [flip(x) for x in (old, new, filled, valid)]
+    if turn in (1, 2, 3):  # ties and rounding apart, only the sizes and the taken pixels are compared
+        seam = handover.seam_between(shown[0].mean(axis=0), shown[1].mean(axis=0), shown[2], shown[3], 9, 0.05, 2, 200)
+        assert seam.turned == (turn in (1, 3)) and seam.below == (turn == 1) and (seam.take == flip(take)).mean() > 0.99
+        return
+    flat = lambda a: [x.ravel().tolist() for x in a]
+    strips = spark.createDataFrame([(1, h, w, flat(old), flat(new), filled.ravel().tolist(), valid.ravel().tolist()), (2, h, w, flat(old), flat(new), [False] * h * w, valid.ravel().tolist())], "key int, h int, w int, old array<array<int>>, new array<array<int>>, filled array<boolean>, valid array<boolean>")
+    got = {x.key: x for x in handover.handed_over(strips, slack=9, step=2, least=200, fade=12, half=7).collect()}
+    assert got[1].seam and got[1].below and not got[1].turned and got[1].path == path.tolist()
+    assert (np.array(got[1].take).reshape(h, w) == take).all() and (np.array(got[1].bands).reshape(3, h, w) == want).all()
+    assert not got[2].seam and np.array(got[2].take).reshape(h, w).sum() == valid.sum()
+
+
+def test_seam_goes_round_a_plant():
+    old, new = np.full((60, 80), 100.0), np.full((60, 80), 100.0)
+    new[30:41, 30:50] = 200.0
+    row = np.mgrid[:60, :80][0]
+    seam = handover.seam_between(old, new, row <= 40, row >= 5, slack=30, least=100)
+    assert seam.path[0] == 40 and (seam.path[30:50] < 30).all() and np.abs(np.diff(seam.path)).max() <= 4 and seam.path[-1] == 40

@@ -170,17 +170,6 @@ def test_signals(spark):
     assert 1 < signal.otsu(two, "g", "v", 10).first().threshold < 9
     peaks = lambda x, d, p: sorted(r.i for r in signal.peaks_of(spark.createDataFrame([(1, i, float(a)) for i, a in enumerate(x)], "g int, i int, v double"), "g", "i", "v", d, p).collect())
     assert peaks([0, 5, 0, 4, 0, 0, 0, 3, 0.0], 3, 1.0) == [1, 7] and peaks([0, 5, 4.9, 6, 0], 1, 1.0) == [3]
-    cost = np.random.default_rng(1).random((6, 9))
-    path = signal.seam_path(cost, 1)
-    best = min(sum(cost[r, c] for c, r in enumerate(p)) for p in _paths(6, 9))
-    assert sum(cost[r, c] for c, r in enumerate(path)) == pytest.approx(best) and np.abs(np.diff(path)).max() <= 1
-
-
-def _paths(rows, cols):
-    out = [[r] for r in range(rows)]
-    for _ in range(cols - 1):
-        out = [[*p, r] for p in out for r in (p[-1] - 1, p[-1], p[-1] + 1) if 0 <= r < rows]
-    return out
 
 
 def test_first_and_last_wins(spark):
