@@ -135,6 +135,14 @@ def affine_fit(points: DataFrame, by: str) -> DataFrame:
     return sums.select(by, "n", "a", "b", "c", "d", "e", "f")
 
 
+def affine_residuals(points: DataFrame, by: str) -> DataFrame:
+    """affine_fit's groups with the mean and the largest distance of their points from the fit; null where there is none."""
+    fit = affine_fit(points, by)
+    at = points.join(fit, by)
+    off = F.hypot(F.col("a") * F.col("col") + F.col("b") * F.col("row") + F.col("c") - F.col("x"), F.col("d") * F.col("col") + F.col("e") * F.col("row") + F.col("f") - F.col("y"))
+    return fit.join(at.groupBy(by).agg(F.avg(off).alias("mean_off"), F.max(off).alias("max_off")), by)
+
+
 def stitch(tiles: DataFrame, by: str, row: str, col: str, value: str, ord_: str) -> DataFrame:
     """One value for each pixel: that of the last tile that covers it."""
     return tiles.groupBy(by, row, col).agg(F.max_by(value, ord_).alias(value))

@@ -75,6 +75,23 @@ def add_row(rows: DataFrame, new: DataFrame) -> DataFrame:
     return rows.select("plot_id", "v", "angle", "source", "ord").unionByName(made)
 
 
+def rows_moved(rows: DataFrame, chosen: DataFrame, dv: float) -> DataFrame:
+    """rows (plot_id, row_idx, v, angle, source) with the chosen ones (plot_id, row_idx) moved or nudged across by dv, as edited; all are numbered anew across their plot."""
+    marked = rows.join(chosen.select("plot_id", "row_idx", F.lit(True).alias("_on")).distinct(), ["plot_id", "row_idx"], "left")
+    moved = marked.withColumns({"v": F.when(F.col("_on"), F.round(F.col("v") + dv, 4)).otherwise(F.col("v")), "source": F.when(F.col("_on"), "edit").otherwise(F.col("source"))}).drop("_on")
+    return _numbered(moved)
+
+
+def rows_deleted(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """rows without the chosen ones (plot_id, row_idx), numbered anew across their plot."""
+    return _numbered(rows.join(chosen, ["plot_id", "row_idx"], "left_anti"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    order = Window.partitionBy("plot_id").orderBy("v", "row_idx")
+    return rows.withColumn("row_idx", F.row_number().over(order))
+
+
 def carry_rows(rows: DataFrame, regenerated: DataFrame) -> DataFrame:
     """Rows for an edited grid: where all of a grid's rows came from a count they are made anew, else all are kept."""
     only = rows.agg(F.coalesce(F.bool_and(F.col("source") == "count"), F.lit(True)).alias("_only"))
