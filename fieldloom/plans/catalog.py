@@ -489,10 +489,10 @@ def lookup_ordered_keys(spark, sf_dir):
 
 
 @query("""SELECT coalesce(a.id, b.id) AS id, coalesce(n_rows, 0) AS n_rows, coalesce(note, '') AS note FROM (SELECT o_custkey AS id, count(*) AS n_rows FROM orders GROUP BY 1) a
-  FULL JOIN (SELECT c_custkey AS id, 'not measured' AS note FROM customer WHERE c_acctbal < 0) b ON a.id = b.id""")
+  FULL JOIN (SELECT c_custkey + 100 AS id, 'not measured' AS note FROM customer) b ON a.id = b.id""")
 def full_outer_summary(spark, sf_dir):
     a = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n_rows"))
-    b = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("id"), F.lit("not measured").alias("note"))
+    b = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 100).alias("id"), F.lit("not measured").alias("note"))
     return a.join(b, "id", "full").select("id", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("note", F.lit("")).alias("note"))
 
 
@@ -512,9 +512,9 @@ def recipe_upsert(spark, sf_dir):
     return checks.upsert_sections(o.select(name, F.lit("old").alias("body")), o.where("o_orderstatus = 'F'").select(name, F.lit("new").alias("body")))
 
 
-@query("""SELECT user_id, string_agg(event_type, '; ' ORDER BY event_id) AS flags FROM events WHERE value > 50 GROUP BY 1""")
+@query("""SELECT user_id, string_agg(event_type, '; ' ORDER BY event_id) AS flags FROM events GROUP BY 1""")
 def flags_joined(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("value > 50")
+    e = table(spark, sf_dir, "events")
     return checks.flags_of(e.select(F.col("user_id").alias("plot"), F.col("event_id").alias("seq"), F.col("event_type").alias("flag"))).withColumnRenamed("plot", "user_id")
 
 
@@ -570,10 +570,10 @@ def plots_moved_and_scaled(spark, sf_dir):
 
 @query("""WITH l AS (SELECT o_custkey AS plot_id, o_orderkey AS ord, o_totalprice % 1000 AS v, (o_orderkey % 9) / 2.0::double AS angle FROM orders)
   SELECT plot_id, round(v, 4) AS v, round(angle, 4) AS angle, 'count' AS source, ord FROM l UNION ALL
-  SELECT c_custkey, 500.0, round(coalesce(median(angle), 0), 4), 'edit', coalesce(max(ord), 0) + 1 FROM customer LEFT JOIN l ON plot_id = c_custkey WHERE c_acctbal > 5000 GROUP BY c_custkey""")
+  SELECT c_custkey, 500.0, round(coalesce(median(angle), 0), 4), 'edit', coalesce(max(ord), 0) + 1 FROM customer LEFT JOIN l ON plot_id = c_custkey GROUP BY c_custkey""")
 def rows_added(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("plot_id"), (F.col("o_totalprice") % 1000).alias("v"), ((F.col("o_orderkey") % 9) / 2).alias("angle"), F.lit("count").alias("source"), F.col("o_orderkey").alias("ord"))
-    new = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("plot_id"), F.lit(500.0).alias("v"))
+    new = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("plot_id"), F.lit(500.0).alias("v"))
     return edits.add_row(rows, new).select("plot_id", F.round("v", 4).alias("v"), F.round("angle", 4).alias("angle"), "source", "ord")
 
 
@@ -687,11 +687,11 @@ def usable_length(spark, sf_dir):
 
 
 @query(with_views("tiles", body="""SELECT plot_stem, tile_k, x0, y0, CASE WHEN ok THEN sx + x0 END AS src_photo_x0, CASE WHEN ok THEN sy + y0 END AS src_photo_y0, CASE WHEN st IS NULL THEN 'no manifest row' WHEN NOT ok THEN 'not a plain copy' ELSE '' END AS link_note
-  FROM (SELECT t.*, sx, sy, st, coalesce(st IN ('mask', 'bbox', 'native') AND fu = 1, false) AS ok FROM tiles t LEFT JOIN (SELECT o_orderkey AS plot_stem, o_custkey % 900 AS sx, o_custkey % 70 AS sy, CASE o_orderstatus WHEN 'F' THEN 'mask' WHEN 'O' THEN 'bbox' ELSE 'rectify' END AS st, 1 + o_orderkey % 2 AS fu FROM orders WHERE o_totalprice < 400000) USING (plot_stem))"""))
+  FROM (SELECT t.*, sx, sy, st, coalesce(st IN ('mask', 'bbox', 'native') AND fu = 1, false) AS ok FROM tiles t LEFT JOIN (SELECT o_orderkey + 40 AS plot_stem, o_custkey % 900 AS sx, o_custkey % 70 AS sy, CASE o_orderstatus WHEN 'F' THEN 'mask' WHEN 'O' THEN 'bbox' ELSE 'rectify' END AS st, 1 + o_orderkey % 2 AS fu FROM orders) USING (plot_stem))"""))
 def tile_source_links(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_totalprice < 400000")
+    o = table(spark, sf_dir, "orders")
     style = F.when(F.col("o_orderstatus") == "F", "mask").when(F.col("o_orderstatus") == "O", "bbox").otherwise("rectify")
-    m = o.select(F.col("o_orderkey").alias("plot_stem"), style.alias("raw_style"), (1 + F.col("o_orderkey") % 2).alias("frames_used"), (F.col("o_custkey") % 900).alias("src_x0"), (F.col("o_custkey") % 70).alias("src_y0"), F.col("o_orderkey").alias("ord"))
+    m = o.select((F.col("o_orderkey") + 40).alias("plot_stem"), style.alias("raw_style"), (1 + F.col("o_orderkey") % 2).alias("frames_used"), (F.col("o_custkey") % 900).alias("src_x0"), (F.col("o_custkey") % 70).alias("src_y0"), F.col("o_orderkey").alias("ord"))
     return raster.linked(derive.tiles(spark, sf_dir), m).select("plot_stem", "tile_k", "x0", "y0", "src_photo_x0", "src_photo_y0", "link_note")
 
 

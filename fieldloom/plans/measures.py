@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import comb, pixelcheck, placing
 from fieldloom.plans import derive
-from fieldloom.plans.catalog import query
+from fieldloom.plans.catalog import ORACLES, query
 from fieldloom.plans.derive import table, with_views
 
 # ---------------------------------------------------------------- rows from signals
@@ -105,6 +105,17 @@ def qa_tile_pixels(spark, sf_dir):
     return pixelcheck.tile_results(tiles, window, sources, "vec_id").select("vec_id", "pixels")
 
 
+@query(f"SELECT result, count(*) AS n, sum(inside)::bigint AS inside, sum(identical)::bigint AS identical FROM ({ORACLES['qa_crop_results']}) GROUP BY 1")
+def qa_counts_of_crop_results(spark, sf_dir):
+    """How many crops have each result, of the results found on their pixels."""
+    return qa_crop_results(spark, sf_dir).groupBy("result").agg(F.count("*").alias("n"), F.sum("inside").alias("inside"), F.sum("identical").alias("identical"))
+
+
+@query(f"SELECT pixels, count(*) AS n FROM ({ORACLES['qa_tile_pixels']}) GROUP BY 1")
+def qa_counts_of_tile_results(spark, sf_dir):
+    return qa_tile_pixels(spark, sf_dir).groupBy("pixels").agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH {_DEPTHS} SELECT vec_id, count(*) FILTER (kept AND v8 > 0) AS kept_px, CASE WHEN bool_and(NOT kept OR v8 = 0 OR v8 = (v16 + 128) // 257) THEN 'IDENTICAL' ELSE 'FAIL' END AS pixels
   FROM (SELECT *, row >= 2 + col // 4 AS kept FROM depths WHERE row BETWEEN 2 AND 4) GROUP BY vec_id""")
 def qa_row_images(spark, sf_dir):
