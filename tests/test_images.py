@@ -161,6 +161,9 @@ def test_rows_in_windows_against_plain_numpy(spark, sf):
         one, threshold = plain_detection(p, n_i, n_j, 1000 * step)
         two = plain_detection(p, n_i, n_j, 1000 * step, 0.05)[0] if threshold < 0.05 else None
         want = two if two and (not one or two["green"] > one["green"]) else one
+        if len(p) < rowfind.LEAST_VALID:
+            assert not got.ok and got.reason == "almost no image data"
+            continue
         assert got.ok == (want is not None) and got.threshold == pytest.approx(threshold, abs=1e-5)
         if want:
             own = [r for r in got.rows if r.own]
@@ -170,7 +173,7 @@ def test_rows_in_windows_against_plain_numpy(spark, sf):
     assert checked > 10
 
 
-def planted(plot, pitch, tilt, n_i=420, n_j=160, green=120):
+def planted(plot, pitch, tilt, n_i=420, n_j=150, green=120):
     i, j = np.meshgrid(np.arange(0, n_i, 2), np.arange(n_j))
     across = j - math.tan(math.radians(tilt)) * (i - n_i / 2)
     row = np.abs((across - n_j / 2) % pitch - pitch / 2) < 3
@@ -180,14 +183,14 @@ def planted(plot, pitch, tilt, n_i=420, n_j=160, green=120):
 
 
 def test_planted_rows(spark):
-    rows = planted(1, 40.0, 3.0) + planted(2, 52.0, 0.0) + planted(3, 46.0, -5.5)[:400]
+    rows = planted(1, 40.0, 3.0) + planted(2, 45.0, 0.0) + planted(3, 46.0, -5.5)[:400]
     s = spark.createDataFrame(rows, "plot int, n_i int, n_j int, i int, j int, r int, g int, b int")
     got = {r.plot: r for r in rowfind.detect(s, 5.0).collect()}
-    assert got[1].pitch == pytest.approx(40, rel=0.02) and got[1].angle_deg == pytest.approx(3.0, abs=0.3) and got[2].pitch == pytest.approx(52, rel=0.02) and abs(got[2].angle_deg) < 0.3
-    for k, pitch in ((1, 40), (2, 52)):
+    assert got[1].pitch == pytest.approx(40, rel=0.02) and got[1].angle_deg == pytest.approx(3.0, abs=0.3) and got[2].pitch == pytest.approx(45, rel=0.02) and abs(got[2].angle_deg) < 0.3
+    for k, pitch in ((1, 40), (2, 45)):
         for r in got[k].rows:
             if r.own:
-                assert abs((r.pos - 80 - 0.5) % pitch - pitch / 2) < 3
+                assert abs((r.pos - 75 - 0.5) % pitch - pitch / 2) < 3
     assert not got[3].ok and got[3].reason in ("almost no image data", "too little image data along the plot")
     asked = {r.plot: r for r in rowfind.detect(s.where("plot = 1"), 5.0, pitch_mm=200.0, rows_expected=2).collect()}
     assert sum(r.own for r in asked[1].rows) == 2 and asked[1].pitch == 40.0
