@@ -168,14 +168,21 @@ def upstream_sections(folders: DataFrame, recipes: DataFrame) -> DataFrame:
     return folders.join(above, "parent", "left").join(own, "path", "left").withColumn("section", F.coalesce(F.nullif("_above", F.lit("")), F.nullif("_own", F.lit("")))).drop("_above", "_own")
 
 
-def last_state(edits: DataFrame, by: str, ord_: str) -> DataFrame:
-    """(by, value) after a log of edits (kind set, undo or reset, with value): an undo takes the newest set that still stands, a reset all of them; null where none is left."""
+def last_state(edits: DataFrame, by: str, ord_: str, depth: int | None = None) -> DataFrame:
+    """(by, value) after a log of edits (kind set, undo or reset, with value): an undo takes the newest set that still stands, a reset all of them; null where none is left.
+
+    With a depth (40 in an editor) only so many steps can be undone: older
+    states, the empty one included, are forgotten as new ones come, and an
+    undo beyond them does nothing.
+    """
     w = Window.partitionBy(by).orderBy(ord_)
     rounds = edits.withColumn("_round", F.sum((F.col("kind") == "reset").cast("int")).over(w))
     rounds = rounds.withColumn("_last", F.max("_round").over(Window.partitionBy(by))).where("_round = _last and kind <> 'reset'")
     log = rounds.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(ord_).alias("o"), "kind", "value"))).alias("_log"))
-    none = F.expr("cast(array() as array<string>)")
-    stack = F.aggregate("_log", none, lambda s, e: F.when(e.kind == "set", F.concat(s, F.array(e.value.cast("string")))).when(F.size(s) > 0, F.slice(s, 1, F.size(s) - 1)).otherwise(s))
+    # The state before all edits is the first of the stack; the newest is its last.
+    none = F.expr("array(cast(null as string))")
+    held = lambda s: s if depth is None else F.when(F.size(s) > depth + 1, F.slice(s, -(depth + 1), depth + 1)).otherwise(s)
+    stack = F.aggregate("_log", none, lambda s, e: F.when(e.kind == "set", held(F.concat(s, F.array(e.value.cast("string"))))).when(F.size(s) > 1, F.slice(s, 1, F.size(s) - 1)).otherwise(s))
     return edits.select(by).distinct().join(log.select(by, stack.alias("_s")), by, "left").select(by, F.try_element_at("_s", F.lit(-1)).alias("value"))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import struct
+import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,7 +28,7 @@ def write_table(df: DataFrame, path: str, schema: T.StructType) -> None:
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """path, length, modified, name and stem (lower case) of files; contents aren't read."""
+    """path, length, modified, name and stem (lower case) of files that aren't empty; contents aren't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
     name = F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
     return files.select("path", "length", F.col("modificationTime").alias("modified"), name.alias("name"), F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("stem"))
@@ -51,33 +54,73 @@ def helper_log(lines: DataFrame) -> DataFrame:
     return out.select("kind", part(1).try_cast("int").alias("job"), number(2).alias("width"), number(3).alias("height"), F.when(F.col("kind") == "OK", part(4).try_cast("int")).alias("bits"), F.when(F.col("kind") == "ERR", F.regexp_extract("value", r"^@@ERR\s+\d+\s*(.*)$", 1)).alias("message"))
 
 
-def image_size(head: bytes) -> tuple[int, int, int] | None:
-    """(width, height, bits) from the first bytes of a PNG or a TIFF; None for others."""
-    if head[:8] == b"\x89PNG\r\n\x1a\n":
-        w, h, bits = struct.unpack(">IIB", head[16:25])
-        return w, h, bits
-    if head[:4] in (b"II*\0", b"MM\0*"):
-        e = "<" if head[:2] == b"II" else ">"
-        (at,) = struct.unpack(e + "I", head[4:8])
-        tags = {}
-        (n,) = struct.unpack(e + "H", head[at : at + 2])
-        for k in range(n):
-            tag, kind, count, raw = struct.unpack(e + "HHI4s", head[at + 2 + 12 * k : at + 14 + 12 * k])
-            if kind == 3 and count > 2:
-                (place,) = struct.unpack(e + "I", raw)
-                tags[tag] = struct.unpack(e + "H", head[place : place + 2])[0]
-            else:
-                tags[tag] = struct.unpack(e + ("H" if kind == 3 else "I"), raw[: 2 if kind == 3 else 4])[0]
-        return tags.get(256), tags.get(257), tags.get(258, 1)
-    return None
+def image_size(path: str) -> tuple[int, int, int] | None:
+    """(width, height, bits) from the header of a PNG, TIFF or JPEG file; None for others.  No pixels are read."""
+    from fieldloom.sources.staged import located
+    from fieldloom.sources.tiff import Tiff
+
+    system, inner = located(path)
+    with system.open_input_file(inner) as f:
+        head = f.read(26)
+        if head[:8] == b"\x89PNG\r\n\x1a\n" and len(head) >= 25:
+            return struct.unpack(">IIB", head[16:25])
+        if head[:2] == b"\xff\xd8":
+            at, size = 2, f.size()
+            while at + 9 <= size:
+                f.seek(at)
+                mark = f.read(9)
+                if mark[0] != 0xFF:
+                    return None
+                if 0xC0 <= mark[1] <= 0xCF and mark[1] not in (0xC4, 0xC8, 0xCC):
+                    bits, h, w = struct.unpack(">BHH", mark[4:9])
+                    return w, h, bits
+                at += 2 + (0 if mark[1] == 0x01 or 0xD0 <= mark[1] <= 0xD8 else struct.unpack(">H", mark[2:4])[0])
+            return None
+    if head[:2] not in (b"II", b"MM"):
+        return None
+    try:
+        image = Tiff(path, pixels=False)
+    except (ValueError, struct.error, KeyError):
+        return None
+    return image.width, image.height, image.bits
 
 
 def image_sizes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """path, width, height and bits of images, from their headers; null for other files."""
+    """path, width, height and bits of images, from their headers; null for other files.  A task opens files and reads no more than their headers."""
     def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [image_size(bytes(c)) or (None, None, None) for c in pdf["content"]]
+            found = [image_size(p) or (None, None, None) for p in pdf["path"]]
             yield pd.DataFrame({"path": pdf["path"], "width": pd.array([f[0] for f in found], "Int32"), "height": pd.array([f[1] for f in found], "Int32"), "bits": pd.array([f[2] for f in found], "Int32")})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(sizes, "path string, width int, height int, bits int")
+    return list_files(spark, path, pattern).select("path").mapInPandas(sizes, "path string, width int, height int, bits int")
+
+
+def read_projects(spark: SparkSession, path: str) -> DataFrame:
+    """project, ord, chunk_id, label, active: the chunks that the projects under path list, from their zipped XML.
+
+    A project is a folder x.files with a project.zip, and a zip for each
+    chunk.  A chunk whose own file is missing, broken or without a label is
+    called "chunk" with its number; a project that can't be read has no rows.
+    The files are met by their paths, so only their documents are shuffled.
+    """
+    def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for p, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        out.append((p, z.read("doc.xml").decode("utf-8", "replace")))
+                except (zipfile.BadZipFile, KeyError, zlib.error):
+                    continue
+            yield pd.DataFrame(out, columns=["zip", "doc"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).where(F.col("path").contains(".files/"))
+    docs = files.select("path", "content").mapInPandas(documents, "zip string, doc string")
+    entry = r'<chunk id="(\d+)" path="([^"]+)"'
+    found = lambda k: F.regexp_extract_all("doc", F.lit(entry), F.lit(k))
+    top = docs.where(F.col("zip").endswith(".files/project.zip"))
+    base = F.regexp_extract("zip", r"^(.*)/project\.zip$", 1)
+    chunks = top.select(base.alias("base"), F.nullif(F.regexp_extract("doc", r'active_id="(\d+)"', 1), F.lit("")).alias("on"), F.posexplode(F.arrays_zip(found(1).alias("id"), found(2).alias("at"))).alias("ord", "c"))
+    labels = docs.select("zip", F.nullif(F.regexp_extract("doc", r'label="([^"]*)"', 1), F.lit("")).alias("label"))
+    chunks = chunks.withColumn("zip", F.concat("base", F.lit("/"), F.col("c.at")))
+    return chunks.join(labels, "zip", "left").select(F.regexp_replace("base", r"\.files$", "").alias("project"), "ord", F.col("c.id").cast("int").alias("chunk_id"), F.coalesce("label", F.concat(F.lit("chunk "), F.col("c.id"))).alias("label"), F.coalesce(F.col("c.id") == F.col("on"), F.lit(False)).alias("active"))

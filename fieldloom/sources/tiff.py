@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
+from fieldloom.sources.staged import located
+
 # Numbers of tags and types of the format.
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_AT, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR, PREDICTOR, TILE_W, TILE_H, TILE_AT, TILE_BYTES = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
-TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 16: "Q"}
+TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 12: "d", 16: "Q"}
 NONE, DEFLATE = 1, (8, 32946)
 
 SCHEMA = "path string, by long, bx long, x0 long, y0 long, w long, h long, width long, height long, bits int, bands array<array<int>>"
@@ -40,10 +42,13 @@ class Part(NamedTuple):
 
 
 class Tiff:
-    """The first image of a TIFF file, open for reading parts of it; read counts the bytes that were read."""
+    """The first image of a TIFF file, open for reading parts of it; read counts the bytes that were read.
+
+    Without pixels any compression is taken, since only the directory is asked for.
+    """
 
-    def __init__(self, path: str) -> None:
-        system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    def __init__(self, path: str, pixels: bool = True) -> None:
+        system, inner = located(path)
         self.file, self.read = system.open_input_file(inner), 0
         head = self._bytes(0, 16)
         self.order = {b"II": "<", b"MM": ">"}.get(head[:2])
@@ -62,6 +67,8 @@ class Tiff:
         self.path, self.width, self.height = path, self._one(WIDTH), self._one(HEIGHT)
         self.samples, self.bits = self._one(SAMPLES, 1), self._one(BITS, 1)
         self.compression, self.predictor, self.planes = self._one(COMPRESSION, 1), self._one(PREDICTOR, 1), self.samples if self._one(PLANAR, 1) == 2 else 1
+        if not pixels:
+            return
         if self.compression != NONE and self.compression not in DEFLATE:
             raise ValueError(f"{path}: compression {self.compression} isn't supported, only none and deflate")
         if self.bits not in (8, 16) or self.predictor not in (1, 2):
@@ -126,7 +133,7 @@ class TiffReader(DataSourceReader):
         self.box = [int(v) for v in options.get("box", "0,0,2147483647,2147483647").split(",")]
 
     def partitions(self) -> list[InputPartition]:
-        system, inner = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        system, inner = located(self.path)
         found = system.get_file_info(inner)
         base = self.path[: len(self.path) - len(inner)] if "://" in self.path else ""
         files = [f.path for f in system.get_file_info(fs.FileSelector(inner, recursive=True)) if f.type == fs.FileType.File and f.path.lower().endswith((".tif", ".tiff"))] if found.type == fs.FileType.Directory else [inner]

@@ -102,24 +102,31 @@ def parse_dbf(content: bytes) -> list[dict[str, str]]:
 
 
 def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
-    """ord, plot_id, ring, props of polygon shapefiles under path (.shp with its .dbf beside it); one task for each file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    base = F.regexp_replace("path", r"\.[^.]*$", "")
-    shp = files.where(F.lower("path").endswith(".shp")).select(base.alias("base"), F.col("content").alias("shp"))
-    dbf = files.where(F.lower("path").endswith(".dbf")).select(base.alias("base"), F.col("content").alias("dbf"))
+    """ord, plot_id, ring, props, epsg of polygon shapefiles under path (.shp with its .dbf and .prj beside it); one task for each file.
+
+    Only names are listed and shuffled; a task opens a file and its
+    companions.  epsg is null where there is no .prj, or one of a system that
+    isn't known.
+    """
+    from fieldloom.sources.records import list_files
+    from fieldloom.sources.shapefiles import companion, epsg_of_prj
+    from fieldloom.sources.staged import content_of
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for a, b in zip(pdf["shp"], pdf["dbf"], strict=True):
-                records = parse_dbf(b) if b is not None else []
+            for p in pdf["path"]:
+                fields, system = companion(p, ".dbf"), companion(p, ".prj")
+                records = parse_dbf(fields) if fields is not None else []
                 out = []
-                for i, ring in parse_shp(a):
+                for i, ring in parse_shp(content_of(p)):
                     props = records[i] if i < len(records) else {}
                     field = pick_id_field(list(props))
-                    out.append((i, props[field] if field else str(i + 1), [{"x": x, "y": y} for x, y in ring], props))
-                yield pd.DataFrame(out, columns=["ord", "plot_id", "ring", "props"])
+                    out.append((i, props[field] if field else str(i + 1), [{"x": x, "y": y} for x, y in ring], props, system.decode("utf-8", "replace") if system else None))
+                yield pd.DataFrame(out, columns=["ord", "plot_id", "ring", "props", "prj"])
 
-    return shp.join(dbf, "base", "left").select("shp", "dbf").mapInPandas(rows, f"ord int, plot_id string, ring {RING}, props map<string,string>")
+    files = list_files(spark, path).where(F.col("name").endswith(".shp")).select("path")
+    found = files.mapInPandas(rows, f"ord int, plot_id string, ring {RING}, props map<string,string>, prj string")
+    return found.select("ord", "plot_id", "ring", "props", epsg_of_prj(F.col("prj")).alias("epsg"))
 
 
 def shp_bytes(rings: list[list[tuple[float, float]]]) -> bytes:

@@ -5,16 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df, written as Parquet to the folder of spark.checkpoint.dir and read again; the files go when the driver's JVM ends.
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; what is written there goes when the driver's JVM ends.
 
     Without that setting a temporary folder serves where Spark runs in one
     process; on a cluster it is an error.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
@@ -24,5 +23,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df, written as Parquet to a scratch path and read again."""
+    path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
