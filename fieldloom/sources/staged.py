@@ -39,7 +39,8 @@ class StagedWriter(DataSourceWriter):
     one whose message it got.  Appending never replaces a file: names that are
     there already are an error before anything is moved.  Overwriting takes
     the path's files with one of the endings away first.  A job that fails
-    leaves no file that a reader sees.
+    before its commit leaves no file that a reader sees; a driver that is lost
+    amid the commit's moves leaves some whole files.
     """
 
     endings: tuple[str, ...] = ()
