@@ -62,9 +62,14 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, cap: int, lanes: int =
 
     Kasai's rule: in text order a suffix shares at least one less than the
     suffix one place before.  Texts are cut into runs of lanes places; all
-    runs advance together, each from what its last place gave.
+    runs advance together, each from what its last place gave.  That rule
+    needs the two suffixes in true order: where they share cap bytes, an order
+    of bounded depth may have them either way, so what they give is compared.
     """
     n = len(data)
+    eight = _eight(data)
+    # Places of the eight bytes that together are cap - 1; a smaller cap has none and starts from nothing.
+    steps = [*range(0, cap - 9, 8), cap - 9] if cap > 8 else []
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     shared = np.zeros(n, np.int64)
@@ -74,6 +79,12 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, cap: int, lanes: int =
         other = before[at]
         have = np.maximum(shared[at - 1] - 1, 0) if lane else np.zeros(len(at), np.int64)
         have[other < 0] = 0
+        unsure = np.flatnonzero((have >= cap - 1) & (other >= 0))
+        a, b = at[unsure], other[unsure]
+        same = np.maximum(a, b) + cap - 1 <= n if steps else np.zeros(len(unsure), bool)
+        for k in steps:
+            same &= eight[np.minimum(a + k, n - 1)] == eight[np.minimum(b + k, n - 1)]
+        have[unsure[~same]] = 0
         live = np.flatnonzero(other >= 0)
         while len(live):
             a, b, k = at[live], other[live], have[live]

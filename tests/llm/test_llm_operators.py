@@ -362,6 +362,17 @@ def test_suffix_array(n, letters):
             assert shared[i] == k
 
 
+def test_prefixes_of_an_order_of_bounded_depth():
+    for seed in range(20):
+        r = np.random.default_rng(seed)
+        pool = [r.integers(97, 101, int(r.integers(60, 200))).astype(np.uint8) for _ in range(4)]
+        raw = b"".join(pool[r.integers(4)][: r.integers(50, 200)].tobytes() + r.integers(97, 101, int(r.integers(6))).astype(np.uint8).tobytes() for _ in range(12))
+        data = np.frombuffer(raw, np.uint8)
+        order = suffix.suffix_array(data, 50)
+        shared = suffix.common_prefixes(data, order, 50)
+        assert [bool(s >= 50) for s in shared[1:]] == [len(raw[a : a + 50]) == 50 and raw[a : a + 50] == raw[b : b + 50] for a, b in zip(order[:-1], order[1:], strict=True)]
+
+
 def brute_removed(rows):
     first = {}
     rows = [(float("inf") if d is None else d, (t or "").encode()) for d, t in rows]
