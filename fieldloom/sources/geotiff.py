@@ -24,7 +24,7 @@ from fieldloom.sources.records import list_files
 from fieldloom.sources.staged import StagedWriter, Written
 
 # Numbers of the tags that place an image, and of their keys.
-SCALE, TIE, MATRIX, KEYS, METADATA, PHOTOMETRIC = 33550, 33922, 34264, 34735, 42112, 262
+SCALE, TIE, MATRIX, KEYS, METADATA, PHOTOMETRIC, EXTRA = 33550, 33922, 34264, 34735, 42112, 262, 338
 MODEL_KEY, RASTER_KEY, GEOGRAPHIC_KEY, PROJECTED_KEY = 1024, 1025, 2048, 3072
 LARGEST = (1 << 32) - 1
 POINTS = "array<struct<row:double,col:double,x:double,y:double,z:double>>"
@@ -41,6 +41,17 @@ def strips_of(pixels: DataFrame, by: str, bands: list[str], rows: int = 64) -> D
     return strip.select(by, "y0", F.array(*map(band, bands)).alias("bands"))
 
 
+def filled(pixels: DataFrame, sizes: DataFrame, by: str, bands: list[str]) -> DataFrame:
+    """The pixels (by, row, col, bands, alpha) of whole images of sizes (by, width, height, bits): those that are missing are 0 in all bands.
+
+    alpha is the bits' largest value where a pixel is there, and 0 where it is missing.
+    """
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    full = sizes.select(by, "width", F.expr("shiftleft(1, bits)").alias("_levels"), upto("height").alias("row")).select(by, "_levels", "row", upto("width").alias("col"))
+    met = full.join(pixels.withColumn("_there", F.lit(True)), [by, "row", "col"], "left")
+    return met.select(by, "row", "col", *[F.coalesce(b, F.lit(0)).alias(b) for b in bands], F.when(F.col("_there"), F.col("_levels") - 1).otherwise(0).alias("alpha"))
+
+
 def write_geotiffs(strips: DataFrame, path: str, compression: str = "deflate", mode: str = "append") -> None:
     """strips (name, y0, width, height, bits, bands; and transform, epsg, projected, gcps, tags where they are known) as one file for each name.
 
@@ -56,9 +67,11 @@ def _entries(row: T.Row, n_bands: int, bits: int, rows: int, counts: list[int],
     """Tags of an image as (type, values); the strips' places are filled in later."""
     said = lambda k: row[k] if k in row else None
     tags = {
-        tiff.WIDTH: (4, [row["width"]]), tiff.HEIGHT: (4, [row["height"]]), tiff.BITS: (3, [bits] * n_bands), tiff.COMPRESSION: (3, [compression]), PHOTOMETRIC: (3, [2 if n_bands == 3 else 1]),
+        tiff.WIDTH: (4, [row["width"]]), tiff.HEIGHT: (4, [row["height"]]), tiff.BITS: (3, [bits] * n_bands), tiff.COMPRESSION: (3, [compression]), PHOTOMETRIC: (3, [2 if n_bands in (3, 4) else 1]),
         tiff.STRIP_AT: (4, [0] * len(counts)), tiff.SAMPLES: (3, [n_bands]), tiff.STRIP_ROWS: (4, [rows]), tiff.STRIP_BYTES: (4, counts), tiff.PLANAR: (3, [1]), tiff.PREDICTOR: (3, [1 if compression == tiff.NONE else 2]),
     }
+    if n_bands == 4:
+        tags[EXTRA] = (3, [2])  # the fourth band is alpha, which changes no other
     if said("transform"):
         a, b, c, d, e, f = said("transform")
         if b == 0 and d == 0 and a > 0 > e:
@@ -154,7 +167,8 @@ class GeoTiffSink(DataSource):
     Option compression: deflate (with differences along rows) or none.  A
     transform is written as such, control points only where there is none; a
     name's first strip says where it lies.  Missing, repeated or broken strips,
-    and values beyond the bits, are errors.  Pixels are unchanged.
+    and values beyond the bits, are errors.  Pixels are unchanged.  Three bands
+    are red, green and blue, a fourth after them is alpha (see filled).
     """
 
     @classmethod

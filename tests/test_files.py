@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.operators import georef, ortho, placing
+from fieldloom.plans import catalog
 from fieldloom.sources import geotiff, records, shapefiles, vector
 from fieldloom.sources.tiff import Tiff
 
@@ -183,3 +184,18 @@ def test_ortho_blocks_of_one_band(spark):
     ring = spark.createDataFrame([(1, [(0.0, 0.0), (1.0, 0.0), (1.0, 2.0), (0.0, 2.0)])], "k int, ring array<struct<x:double,y:double>>")
     got = ortho.masked_blocks(blocks, ring, "k", 1).first()
     assert (got.bands, got.n_inside, got.n_valid) == ([[240, 0, 0, 0]], 2, 1)
+
+
+@pytest.mark.parametrize("n", [23, 37])
+def test_mosaics_with_gaps(spark, tmp_path, sf, n):
+    import duckdb
+
+    from fieldloom.plans import files
+
+    # The last mosaic lacks vectors, so that its last row of patches isn't full.
+    spark.read.parquet(f"{sf}/embeddings.parquet").where(F.col("vec_id") < n).coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = files.geotiffs_of_mosaics(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.execute(catalog.ORACLES["geotiffs_of_mosaics"]).fetchall()
+    assert len(want) == n * 64 and sorted(map(tuple, got)) == sorted(want)
