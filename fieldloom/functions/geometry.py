@@ -147,13 +147,18 @@ def min_area_frame(ring: Column) -> Column:
     """(cx, cy, ux, uy, hl, hw) of the least rectangle along one of the sides; the first on ties."""
     def frame(r):
         def one(e, i):
-            n = F.hypot(e.b.x - e.a.x, e.b.y - e.a.y)
-            ux, uy = (e.b.x - e.a.x) / n, (e.b.y - e.a.y) / n
-            along = F.transform(r, lambda p: p.x * ux + p.y * uy)
-            across = F.transform(r, lambda p: -p.x * uy + p.y * ux)
-            lo, hi, a, b = F.array_min(along), F.array_max(along), F.array_min(across), F.array_max(across)
-            u, v = (lo + hi) / 2, (a + b) / 2
-            return F.struct(F.round((hi - lo) * (b - a), 9).alias("area"), i.alias("i"), (u * ux - v * uy).alias("cx"), (u * uy + v * ux).alias("cy"), ux.alias("ux"), uy.alias("uy"), ((hi - lo) / 2).alias("hl"), ((b - a) / 2).alias("hw"))
+            dx, dy = e.b.x - e.a.x, e.b.y - e.a.y
+
+            def placed(d):
+                turned = F.struct(F.transform(r, lambda p: p.x * d.x + p.y * d.y).alias("along"), F.transform(r, lambda p: -p.x * d.y + p.y * d.x).alias("across"))
+                ends = let(turned, lambda t: F.struct(F.array_min(t.along).alias("lo"), F.array_max(t.along).alias("hi"), F.array_min(t.across).alias("a"), F.array_max(t.across).alias("b")))
+                return let(ends, lambda m: made(d, m))
+
+            def made(d, m):
+                u, v = (m.lo + m.hi) / 2, (m.a + m.b) / 2
+                return F.struct(F.round((m.hi - m.lo) * (m.b - m.a), 9).alias("area"), i.alias("i"), (u * d.x - v * d.y).alias("cx"), (u * d.y + v * d.x).alias("cy"), d.x.alias("ux"), d.y.alias("uy"), ((m.hi - m.lo) / 2).alias("hl"), ((m.b - m.a) / 2).alias("hw"))
+
+            return let(let(F.hypot(dx, dy), lambda n: F.struct((dx / n).alias("x"), (dy / n).alias("y"))), placed)
         return F.array_min(F.transform(F.filter(edges(r), lambda e: F.hypot(e.b.x - e.a.x, e.b.y - e.a.y) > 0), one))
 
     return let(ring, frame)

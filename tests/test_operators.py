@@ -251,3 +251,12 @@ def test_streams(spark, sf, tmp_path):
     jobs = spark.createDataFrame([("a",), ("b",)], "stem string")
     files = spark.createDataFrame([("a", "/x/a.tif")], "stem string, path string")
     assert {r.stem: r.result for r in landing.classified(jobs, files).collect()} == {"a": "LANDED", "b": "MISSING"}
+
+
+def test_least_rectangle_computes_each_side_once(spark, sf):
+    from fieldloom.functions import geometry as geo
+    from fieldloom.plans import catalog
+
+    # Once to leave out sides without a length, once for the direction.
+    assert str(geo.min_area_frame(F.col("ring"))).lower().count("hypot") == 2
+    assert catalog.QUERIES["plot_frame_minrect"](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
