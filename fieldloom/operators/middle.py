@@ -125,9 +125,14 @@ def points_of_box(points: Column, x0: Column, y0: Column, x1: Column, y1: Column
     With under four points they are moved into the part; null where they fix
     no such surface (all on a line).
     """
-    terms = lambda p: F.array(F.lit(1.0), p.row, p.col, p.row * p.col)
-    sums = lambda i: F.aggregate(points, F.array_repeat(F.lit(0.0), 7), lambda a, p: F.zip_with(a, F.concat(F.transform(terms(p), lambda v: v * F.get(terms(p), i)), F.transform(F.array(p.x, p.y, p.z), lambda v: v * F.get(terms(p), i))), lambda s, v: s + v))
-    surface = solved(F.array(*[sums(F.lit(i)) for i in range(4)]), 4)
+    return let(points, lambda p: _points_of_box(p, x0, y0, x1, y1))
+
+
+def _points_of_box(points: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """points_of_box of points that are bound, so that each is computed once."""
+    terms = F.transform(points, lambda p: F.array(F.lit(1.0), p.row, p.col, p.row * p.col, p.x, p.y, p.z))
+    sums = lambda rows, i: F.aggregate(rows, F.array_repeat(F.lit(0.0), 7), lambda a, t: F.zip_with(a, t, lambda s, v: s + v * F.get(t, F.lit(i))))
+    surface = solved(let(terms, lambda rows: F.array(*[sums(rows, i) for i in range(4)])), 4)
 
     def corner(c: Column, row: Column, col: Column) -> Column:
         at = lambda k: sum((F.get(F.get(c, F.lit(i)), F.lit(k)) * v for i, v in enumerate((F.lit(1.0), row, col, row * col))), F.lit(0.0))

@@ -170,5 +170,6 @@ def control_points_of_part(spark, sf_dir):
     k = F.col("p_partkey")
     grid = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: F.struct((20.0 * i + k % 7).alias("row"), (30.0 * j + k % 11).alias("col"), (F.pmod(i * 7 + j * 13 + k, F.lit(5)) * math.pi / 500).alias("e")))))
     points = F.transform(grid, lambda p: F.struct(p.row.alias("row"), p.col.alias("col"), (100 + 0.01 * p.col + 0.002 * p.row + 1e-5 * p.row * p.col + p.e).alias("x"), (50 - 0.012 * p.row + 3e-6 * p.row * p.col - p.e).alias("y"), (12 + 0.001 * p.col + 2 * p.e).alias("z")))
-    found = table(spark, sf_dir, "part").select(k.alias("crop"), F.explode(middle.points_of_box(points, F.lit(5), F.lit(7), F.lit(100), F.lit(70))).alias("p"))
+    part = derive.spread(table(spark, sf_dir, "part").select("p_partkey"))
+    found = part.select(k.alias("crop"), F.explode(middle.points_of_box(points, F.lit(5), F.lit(7), F.lit(100), F.lit(70))).alias("p"))
     return found.select("crop", "p.row", "p.col", *[F.round(f"p.{c}", 4).alias(c) for c in "xyz"])
