@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter
 
 from fieldloom.sources.records import list_files
 from fieldloom.sources.staged import StagedWriter, Written, content_of
-from fieldloom.sources.vector import RING, parse_dbf
+from fieldloom.sources.vector import PIECE_ROWS, RING, dbf_records
 
 # Numbers of the format, and the text of reference systems.
 NULL_SHAPE, LINE, POLYGON, LINES = 0, 3, 5, (3, 13, 23)
@@ -212,16 +212,20 @@ def read_row_lines(spark: SparkSession, path: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # In Arrow, since pandas would make a NaN a null.
         kinds = [("plot_id", pa.string()), ("row_idx", pa.int32()), *((k, pa.float64()) for k in ("v_off_m", "length_m", "angle_deg")), ("source", pa.string()), ("contrast", pa.float64()), ("line", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))]
+        batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, (_, kind) in enumerate(kinds)], schema=pa.schema(kinds))
         for batch in batches:
             for p in batch.column(0).to_pylist():
-                records = parse_dbf(companion(p, ".dbf") or b"\0" * 32 + b"\x0d")
+                n, record = dbf_records(companion(p, ".dbf") or b"\0" * 32 + b"\x0d")
                 out = []
                 for i, points in parse_lines(content_of(p)):
                     if len(points) >= 2:
-                        r = {k.lower(): v for k, v in records[i].items()} if i < len(records) else {}
+                        r = {k.lower(): v for k, v in record(i).items()} if i < n else {}
                         number = lambda k, kind, none, r=r: kind(float(r[k])) if r.get(k) else none
                         out.append((r.get("plot_id", ""), number("row_idx", int, 0), *(number(k, float, 0.0) for k in ("v_off_m", "length_m", "angle_deg")), r.get("source") or "edit", number("contrast", float, math.nan), [{"x": x, "y": y} for x, y in (points[0], points[-1])]))
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, (_, kind) in enumerate(kinds)], schema=pa.schema(kinds))
+                    if len(out) >= PIECE_ROWS:
+                        yield batch_of(out)
+                        out = []
+                yield batch_of(out)
 
     files = list_files(spark, path).where(F.col("name").endswith(".shp")).select("path")
     return files.mapInArrow(rows, f"plot_id string, row_idx int, v_off_m double, length_m double, angle_deg double, source string, contrast double, line {RING}")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,21 +84,53 @@ def parse_shp(content: bytes) -> Iterator[tuple[int, list[tuple[float, float]]]]
         yield number - 1, ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
 
 
-def parse_dbf(content: bytes) -> list[dict[str, str]]:
-    """The records of a .dbf file as text by field."""
+def dbf_records(content: bytes) -> tuple[int, Callable[[int], dict[str, str]]]:
+    """The number of records of a .dbf file, and a function that gives one as text by field."""
     n, head, size = struct.unpack("<IHH", content[4:12])
     fields, at = [], 32
     while content[at] != 0x0D:
         fields.append((content[at : at + 11].split(b"\0")[0].decode("latin-1"), content[at + 16]))
         at += 32
-    rows = []
-    for i in range(n):
+
+    def record(i: int) -> dict[str, str]:
         x, row = head + i * size + 1, {}
         for name, width in fields:
             row[name] = content[x : x + width].decode("utf-8", "replace").strip()
             x += width
-        rows.append(row)
-    return rows
+        return row
+
+    return n, record
+
+
+def parse_dbf(content: bytes) -> list[dict[str, str]]:
+    """The records of a .dbf file as text by field."""
+    n, record = dbf_records(content)
+    return [record(i) for i in range(n)]
+
+
+#: Rows and points after which a reader hands on what it has of a file.
+PIECE_ROWS, PIECE_POINTS = 2_000, 50_000
+
+
+def shapefile_pieces(path: str, rows: int = PIECE_ROWS) -> Iterator[list[tuple]]:
+    """(ord, plot_id, ring, props, prj) of a polygon shapefile, some rows at a time: beyond the files' bytes a task holds one piece."""
+    from fieldloom.sources.shapefiles import companion
+    from fieldloom.sources.staged import content_of
+
+    fields, system = companion(path, ".dbf"), companion(path, ".prj")
+    n, record = dbf_records(fields) if fields is not None else (0, None)
+    prj = system.decode("utf-8", "replace") if system else None
+    out, points = [], 0
+    for i, ring in parse_shp(content_of(path)):
+        props = record(i) if i < n else {}
+        field = pick_id_field(list(props))
+        out.append((i, props[field] if field else str(i + 1), [{"x": x, "y": y} for x, y in ring], props, prj))
+        points += len(ring)
+        if len(out) >= rows or points >= PIECE_POINTS:
+            yield out
+            out, points = [], 0
+    if out:
+        yield out
 
 
 def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
@@ -109,20 +141,13 @@ def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
     isn't known.
     """
     from fieldloom.sources.records import list_files
-    from fieldloom.sources.shapefiles import companion, epsg_of_prj
-    from fieldloom.sources.staged import content_of
+    from fieldloom.sources.shapefiles import epsg_of_prj
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p in pdf["path"]:
-                fields, system = companion(p, ".dbf"), companion(p, ".prj")
-                records = parse_dbf(fields) if fields is not None else []
-                out = []
-                for i, ring in parse_shp(content_of(p)):
-                    props = records[i] if i < len(records) else {}
-                    field = pick_id_field(list(props))
-                    out.append((i, props[field] if field else str(i + 1), [{"x": x, "y": y} for x, y in ring], props, system.decode("utf-8", "replace") if system else None))
-                yield pd.DataFrame(out, columns=["ord", "plot_id", "ring", "props", "prj"])
+                for piece in shapefile_pieces(p):
+                    yield pd.DataFrame(piece, columns=["ord", "plot_id", "ring", "props", "prj"])
 
     files = list_files(spark, path).where(F.col("name").endswith(".shp")).select("path")
     found = files.mapInPandas(rows, f"ord int, plot_id string, ring {RING}, props map<string,string>, prj string")

@@ -199,3 +199,10 @@ def test_mosaics_with_gaps(spark, tmp_path, sf, n):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     want = con.execute(catalog.ORACLES["geotiffs_of_mosaics"]).fetchall()
     assert len(want) == n * 64 and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_shapefiles_are_read_in_pieces(sink, tmp_path):
+    rows = sink.range(25).select(F.col("id").alias("plot"), F.expr("array(named_struct('x', id * 1.0D, 'y', 0D), named_struct('x', id + 1D, 'y', 0D), named_struct('x', id + 1D, 'y', 1D))").alias("ring")).coalesce(1)
+    rows.write.format("shapefiles").mode("append").save(str(tmp_path / "o"))
+    pieces = list(vector.shapefile_pieces(str(next((tmp_path / "o").glob("*.shp"))), 10))
+    assert [len(p) for p in pieces] == [10, 10, 5] and [r[1] for p in pieces for r in p] == [str(i) for i in range(25)]
