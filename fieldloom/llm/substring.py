@@ -12,8 +12,8 @@ a document with a smaller id.  The work is dealt out by sampled suffixes:
    stands for) to shards by the anchor.  In a shard, equal surroundings take
    the least document id; where an anchor has differing ones, a suffix array
    (Larsson-Sadakane) of them with common prefixes (Kasai) finds the equal
-   windows.  Anchors of very many documents go window by window instead,
-   through Spark's aggregation, so no shard must hold them.
+   windows.  Anchors of very many documents go window by window instead: a
+   block sends each window's digest once, so no shard must hold them.
 4. Blocks join the found spans and cut their texts.
 """
 
@@ -38,6 +38,8 @@ BLOCK_BYTES = 4 << 20
 HOT_DOCS = 5_000
 #: Key ranges and shards are counted for about this much text in each.
 RANGE_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
+#: Windows of hot anchors are dealt to parts for about this much text in each.
+WINDOWS_BYTES = 64 << 20
 #: A suffix array covers about this much of a shard; surroundings of one anchor stay together.
 SORTED_BYTES = 512 << 10
 #: Bytes of a text's key with an id in a table that is sent whole.
@@ -318,7 +320,8 @@ def _surroundings(blocks: DataFrame, n_buckets: int, shared: DataFrame, n_shards
                         done = {"part": "spans", "shard": 0, "block": block, "keys": b"", "rows": row[later], "ids": [], "firsts": begin, "counts": begin + count[later] + WINDOW - 1, "around": b""}
                         yield pa.RecordBatch.from_pylist([done], AROUND)
                     pick = pick[ids[row[pick]] == least[back]]
-                    shard = _ranged(mix(key[pick]), n_shards)
+                    # Hot anchors stay in one row, since their windows are dealt out one by one.
+                    shard = _ranged(mix(key[pick]), n_shards) if kind == "shard" else np.zeros(len(pick), np.int64)
                     order = np.argsort(shard, kind="stable")
                     pick, shard = pick[order], shard[order]
                     cut = np.append(np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])), len(shard))
@@ -363,28 +366,75 @@ def _in_shards(around: DataFrame) -> DataFrame:
     return around.groupBy("shard").applyInArrow(spans, SPANS_DDL).where(F.size("rows") > 0)
 
 
-def _by_window(around: DataFrame) -> DataFrame:
-    """Spans of hot anchors: each of their windows is a row of its block, and its least document is an aggregate over the blocks."""
+def _occurrences(batch: pa.RecordBatch, i: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct windows of a block's hot surroundings and the least document of each; and the windows' places: which window, row, document, begin."""
+    rows, ids, firsts, counts = (np.asarray(batch.column(c)[i].values) for c in ("rows", "ids", "firsts", "counts"))
+    raw = batch.column("around")[i].as_py()
+    own = np.repeat(np.arange(len(rows)), counts)
+    step = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+    begin = np.repeat(np.cumsum(counts + WINDOW - 1) - counts - WINDOW + 1, counts) + step
+    ident: dict[bytes, int] = {}
+    back = np.array([ident.setdefault(raw[p : p + WINDOW], len(ident)) for p in begin.tolist()], np.int64)
+    least = np.full(len(ident), NO_ID)
+    np.minimum.at(least, back, ids[own])
+    return list(ident), least, back, rows[own], ids[own], firsts[own] + step
 
-    def split(batches):
+
+def _dealt(windows: list[bytes], n_parts: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Two numbers of each window's MD5, and for each part that has some of the windows, which."""
+    key = np.frombuffer(b"".join(hashlib.md5(w, usedforsecurity=False).digest() for w in windows), "<u8").reshape(-1, 2)
+    part = _ranged(key[:, 0], n_parts)
+    order = np.argsort(part, kind="stable")
+    own, begin = np.unique(part[order], return_index=True)
+    return key, [(int(p), order[a:b]) for p, a, b in zip(own, begin, np.append(begin, len(order))[1:], strict=True)]
+
+
+def _by_window(around: DataFrame, n_parts: int) -> DataFrame:
+    """Spans of hot anchors: a block sends each of its windows once, with its least document, and hears which have a smaller one elsewhere."""
+
+    def send(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                rows, ids, firsts, counts = (np.asarray(batch.column(c)[i].values) for c in ("rows", "ids", "firsts", "counts"))
-                raw, at = batch.column("around")[i].as_py(), 0
-                places: dict[bytes, list[tuple[int, int, int]]] = {}
-                for r, d, f, c in zip(rows.tolist(), ids.tolist(), firsts.tolist(), counts.tolist(), strict=True):
-                    for j in range(c):
-                        places.setdefault(raw[at + j : at + j + WINDOW], []).append((r, d, f + j))
-                    at += c + WINDOW - 1
+                windows, least, *_ = _occurrences(batch, i)
+                key, parts = _dealt(windows, n_parts)
                 block = batch.column("block")[i].as_py()
-                made = [list(zip(*v, strict=True)) for v in places.values()]
-                columns = [pa.array([v[k] for v in made], pa.list_(pa.int64())) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(made), pa.int64()), pa.array(list(places), pa.binary()), *columns], names=["block", "window", "rows", "ids", "begins"])
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int64()), pa.array([block] * len(parts), pa.int64()), pa.array([key[at].tobytes() for _, at in parts], pa.binary()), pa.array([least[at].astype("<i8").tobytes() for _, at in parts], pa.binary())], names=["share", "block", "keys", "least"])
 
-    windows = around.mapInArrow(split, "block bigint, window binary, rows array<bigint>, ids array<bigint>, begins array<bigint>")
-    least = windows.groupBy("window").agg(F.min(F.array_min("ids")).alias("least"), F.max(F.array_max("ids")).alias("most")).where("least < most").select("window", "least")
-    hit = windows.join(least, "window").select("block", F.explode(F.filter(F.arrays_zip("rows", "ids", "begins"), lambda x: x.ids > F.col("least"))).alias("x"))
-    return hit.groupBy("block").agg(F.collect_list("x.rows").alias("rows"), F.collect_list("x.begins").alias("starts"), F.collect_list(F.col("x.begins") + WINDOW).alias("ends"))
+    def meet(table: pa.Table) -> pa.Table:
+        lists = [np.frombuffer(x.as_buffer(), "<i8") for x in table.column("least")]
+        key = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in table.column("keys")]).reshape(-1, 2)
+        least = np.concatenate(lists)
+        order = np.lexsort((key[:, 1], key[:, 0]))
+        new = np.ones(len(order), bool)
+        new[1:] = (key[order][1:] != key[order][:-1]).any(axis=1)
+        start = np.flatnonzero(new)
+        low = np.empty(len(order), np.int64)
+        low[order] = np.repeat(np.minimum.reduceat(least[order], start), np.diff(np.append(start, len(order))))
+        hits = np.split(low < least, np.cumsum([len(x) for x in lists])[:-1])
+        return pa.table([table.column("block"), table.column("share"), pa.array([np.flatnonzero(h).astype("<u4").tobytes() for h in hits], pa.binary())], names=["block", "share", "hits"])
+
+    def spans(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                windows, least, back, row, doc, begin = _occurrences(batch, i)
+                lost = np.zeros(len(windows), bool)
+                parts = dict(_dealt(windows, n_parts)[1])
+                for x in batch.column("answers")[i].as_py() or ():
+                    lost[parts[x["share"]][np.frombuffer(x["hits"], "<u4")]] = True
+                at = np.flatnonzero(lost[back] | (doc > least[back]))
+                if not len(at):
+                    continue
+                # Neighbouring windows of one row are one span.
+                row, begin = row[at], begin[at]
+                new = np.ones(len(at), bool)
+                new[1:] = (row[1:] != row[:-1]) | (begin[1:] != begin[:-1] + 1)
+                first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(at)) - 1
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("block")[i].as_py()], pa.int64()), *[pa.array([x], pa.list_(pa.int64())) for x in (row[first], begin[first], begin[last] + WINDOW)]], names=["block", "rows", "starts", "ends"])
+
+    hot = around.select("block", "rows", "ids", "firsts", "counts", "around")
+    answers = hot.mapInArrow(send, "share bigint, block bigint, keys binary, least binary").groupBy("share").applyInArrow(meet, "block bigint, share bigint, hits binary").where(F.length("hits") > 0)
+    answered = hot.join(answers.groupBy("block").agg(F.collect_list(F.struct("share", "hits")).alias("answers")), "block", "left")
+    return answered.mapInArrow(spans, SPANS_DDL)
 
 
 #: Name of the row numbers in the tables of this module's own.
@@ -408,7 +458,7 @@ def removed_spans(docs: DataFrame, hot: int | None = None) -> tuple[DataFrame, D
     around, around_path = stored(_surroundings(blocks, n_buckets, shared, max(8, -(-total // SHARD_BYTES))), "surroundings")
     dropped(spark, shared_path)
     settled = around.where("part = 'spans'").select("block", "rows", F.col("firsts").alias("starts"), F.col("counts").alias("ends"))
-    spans = written(_in_shards(around.where("part = 'shard'")).union(_by_window(around.where("part = 'windows'"))).union(settled), "spans")
+    spans = written(_in_shards(around.where("part = 'shard'")).union(_by_window(around.where("part = 'windows'"), max(8, -(-total // WINDOWS_BYTES)))).union(settled), "spans")
     dropped(spark, around_path)
     joined = _answered(blocks, n_buckets, spans, "left", found=F.struct("rows", "starts", "ends"))
 

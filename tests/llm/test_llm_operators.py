@@ -407,6 +407,16 @@ def test_substrings_against_brute_force(spark, docs, none, monkeypatch, hot, blo
     assert substring.deduplicate_substrings(none).count() == 0
 
 
+def test_windows_of_hot_anchors_make_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(substring, "BLOCK_BYTES", 30_000)
+    held, by_window = [], substring._by_window
+    monkeypatch.setattr(substring, "_by_window", lambda around, n: held.append(by_window(around, n)) or held[-1])
+    r, passage = random.Random(11), " ".join(words(60, 79))
+    rows = [(i, f"{' '.join(words(25, 700 + i))} {passage[r.randint(0, 90) :]}") for i in range(200)]
+    assert removed(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), 3) == brute_removed(rows)
+    assert "Generate" not in held[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_remove_repeats_keeps_columns(spark, docs, none):
     out = substring.remove_repeats(docs).collect()
     assert out[0].__fields__ == docs.columns and all(r.n_chars == len(r.text or "") for r in out)
