@@ -32,8 +32,8 @@ BANDS, BAND_ROWS, SIMILARITY = 24, 5, 0.8
 SMALL_BUCKET = 32
 #: Members that meet a copy of their pivot's cells, about, and members that are asked for it.
 PIVOT_MEMBERS, CONSENSUS = 1000, 32
-#: Differences that a task puts in order at once, and buckets of one row of their counts.
-CHUNK_CELLS, SLICE = 1 << 20, 1 << 10
+#: Differences that a task puts in order at once; buckets of one row of their counts, and most buckets of a hub.
+CHUNK_CELLS, SLICE, MOST_BUCKETS = 1 << 20, 1 << 13, 1 << 21
 #: Bytes of a node (16, and an id) in a table that is sent whole.
 NODE_BYTES = 64
 _UNIT = 2.0**-53
@@ -131,31 +131,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return shared.where((F.col("both") == 0) | (F.col("n") >= similarity * (F.col("both") - F.col("n")) - 1e-9)).select("a", "b")
 
 
-def _counted_differences(live: DataFrame) -> DataFrame:
-    """(hub, slice, counts): how many of live's differences d fall into each bucket, by slices of SLICE buckets."""
+def _shared_differences(live: DataFrame) -> DataFrame:
+    """(hub, slice, at, n): the buckets (slice * SLICE + at) that more than one of live's differences d falls into, and how many do."""
+    schema = pa.schema([("hub", pa.binary()), ("slice", pa.int32()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, np.ndarray] = {}
+        held: dict[bytes, list[np.ndarray]] = {}
+        size = 0
 
         def slices_of(full):
-            rows = [(h, i, c) for h, all_ in full.items() for i, c in enumerate(all_.reshape(-1, SLICE)) if c.any()]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["hub", "slice", "counts"])
+            rows = []
+            for hub, parts in full.items():
+                bucket, n = np.unique(np.concatenate(parts), return_counts=True)
+                slice_, first = np.unique(bucket // SLICE, return_index=True)
+                rows += [(hub, i, a, c) for i, a, c in zip(slice_, np.split(bucket % SLICE, first[1:]), np.split(n, first[1:]), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
         for batch in batches:
             for hub, buckets, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                counts = held.setdefault(hub, np.zeros(buckets, np.int64))
-                counts += np.bincount(d.values.to_numpy(zero_copy_only=False) & (buckets - 1), minlength=buckets)
-            if sum(len(c) for c in held.values()) > 4 << 20:
+                held.setdefault(hub, []).append(d.values.to_numpy(zero_copy_only=False) & (buckets - 1))
+                size += len(d.values)
+            if size > 4 << 20:
                 yield slices_of(held)
                 held.clear()
+                size = 0
         yield slices_of(held)
 
     def total(key: tuple, table: pa.Table) -> pa.Table:
-        rows = table.column("counts").combine_chunks()
-        summed = rows.flatten().to_numpy().reshape(-1, SLICE).sum(axis=0)
-        return pa.table({"hub": [key[0].as_py()], "slice": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([summed], pa.list_(pa.int64()))})
+        at, n = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("at", "n"))
+        summed = np.bincount(at, weights=n, minlength=SLICE).astype(np.int64)
+        shared = np.flatnonzero(summed > 1)
+        row = [[key[0].as_py()], [key[1].as_py()], [shared], [summed[shared]]]
+        return pa.table([pa.array(x, f.type) for x, f in zip(row, schema, strict=True)], schema=schema).slice(0, min(1, len(shared)))
 
-    made = "hub binary, slice int, counts array<bigint>"
+    made = "hub binary, slice int, at array<int>, n array<bigint>"
     return live.select("hub", "buckets", "d").mapInArrow(count, made).groupBy("hub", "slice").applyInArrow(total, made)
 
 
@@ -165,25 +174,27 @@ PREFIX_DDL = "cell bigint, node binary, root binary, e double, far boolean, rest
 
 def _prefixes(members: pa.Table, slices: pa.Table) -> pa.Table:
     """The first elements of each member's differences in the order of (count of its bucket, cell), but for those whose bucket holds no other."""
-    counts = np.zeros(members.column("buckets")[0].as_py() if len(members) else 0, np.int64)
-    for i, c in zip(slices.column("slice").to_pylist(), slices.column("counts"), strict=True):
-        counts[i * SLICE : (i + 1) * SLICE] = c.values.to_numpy(zero_copy_only=False)
-    cell, rest, row = [], [], []
-    for k, (d, first) in enumerate(zip(members.column("d"), members.column("first").to_pylist(), strict=True)):
-        d = d.values.to_numpy(zero_copy_only=False)
-        n = counts[d & (len(counts) - 1)]
-        shared = n > 1
-        alone = len(d) - int(shared.sum())
-        d, n = d[shared], n[shared]
-        take = np.lexsort((d, n))[: max(0, first - alone)]
-        cell.append(d[take])
-        rest.append(len(d) - np.arange(len(take), dtype=np.int32))
-        row.append(np.full(len(take), k))
-    if not cell:
+    if not len(members) or not len(slices):
         return PREFIX.empty_table()
-    at = pa.array(np.concatenate(row))
-    of = lambda name: members.column(name).take(at)
-    return pa.table([pa.array(np.concatenate(cell)), of("node"), of("root"), of("e"), of("far"), pa.array(np.concatenate(rest).astype(np.int32))], schema=PREFIX)
+    at, n = (slices.column(c).combine_chunks() for c in ("at", "n"))
+    bucket = np.repeat(slices.column("slice").to_numpy().astype(np.int64) * SLICE, at.value_lengths().to_numpy()) + at.flatten().to_numpy()
+    order = np.argsort(bucket)
+    bucket, n = bucket[order], n.flatten().to_numpy()[order]
+    d = members.column("d").combine_chunks()
+    row = np.repeat(np.arange(len(members)), d.value_lengths().to_numpy())
+    d = d.flatten().to_numpy()
+    own = d & (members.column("buckets")[0].as_py() - 1)
+    place = np.minimum(np.searchsorted(bucket, own), len(bucket) - 1)
+    shared = bucket[place] == own
+    alone = np.bincount(row[~shared], minlength=len(members))
+    d, row, n = d[shared], row[shared], n[place[shared]]
+    order = np.lexsort((d, n, row))
+    d, row = d[order], row[order]
+    left = np.bincount(row, minlength=len(members))
+    nth = np.arange(len(row)) - (np.cumsum(left) - left)[row]
+    take = nth < (members.column("first").to_numpy() - alone)[row]
+    of = lambda name: members.column(name).take(pa.array(row[take]))
+    return pa.table([pa.array(d[take]), of("node"), of("root"), of("e"), of("far"), pa.array((left[row] - nth)[take].astype(np.int32))], schema=PREFIX)
 
 
 def _pivot_pairs(state: DataFrame, hubs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -203,9 +214,11 @@ def _pivot_pairs(state: DataFrame, hubs: DataFrame, sets: DataFrame, similarity:
     edits that both have, not the template they were made from.
 
     This holds for any T and any one order of the elements.  Rarity is the
-    count of a hashed bucket of elements, 65,536 for a hub at most, summed in
-    tasks before they meet; so no row is made for an element but for those of
-    the prefixes.
+    count of a hashed bucket of elements, summed in tasks before they meet; so
+    no row is made for an element but for those of the prefixes.  A hub has
+    some eight buckets for each element, so that one that no other member has
+    (most of an edit's are) is mostly alone in its bucket, and left out; from
+    MOST_BUCKETS on, more meet by chance and prefixes are longer again.
     """
     c = (1 - similarity) / (1 + similarity)
     members = written(state.join(hubs.select("band", "hub"), "band").select("hub", "node", "root").distinct(), "pivot-nodes")
@@ -230,11 +243,11 @@ def _pivot_pairs(state: DataFrame, hubs: DataFrame, sets: DataFrame, similarity:
     # Hubs whose members are all near are done.
     with_far = sent_if_small(written(seen.where("far").select("hub").distinct(), "pivot-far"), NODE_BYTES)
     live = seen.withColumn("first", F.size("d") + 1 - F.greatest(F.lit(1), F.ceil(half - 1e-6).cast("int"))).where("first > 0").join(with_far, "hub", "left_semi")
-    buckets = F.least(F.lit(1 << 16), F.greatest(F.lit(SLICE), F.pow(F.lit(2), F.ceil(F.log2(16 * F.col("members"))))).cast("int"))
+    buckets = F.least(F.lit(MOST_BUCKETS), F.greatest(F.lit(SLICE), F.pow(F.lit(2), F.ceil(F.log2(8 * F.col("cells")))))).cast("int")
     chunks = F.floor(F.col("cells") / CHUNK_CELLS)
     live = written(live.select("hub", F.pmod(F.xxhash64("node"), chunks + 1).alias("chunk"), chunks.alias("chunks"), "node", "root", "e", "far", "first", buckets.alias("buckets"), "d"), "pivot-members")
-    counted = written(_counted_differences(live), "pivot-counts")
-    spread = counted.join(sent_if_small(live.select("hub", "chunks").distinct(), NODE_BYTES), "hub").select("hub", "slice", "counts", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks"))).alias("chunk"))
+    counted = written(_shared_differences(live), "pivot-counts")
+    spread = counted.join(sent_if_small(live.select("hub", "chunks").distinct(), NODE_BYTES), "hub").select("hub", "slice", "at", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks"))).alias("chunk"))
     # As many elements as follow in both, this one included, are the most that a pair shares from its first common one on.
     made = live.groupBy("hub", "chunk").cogroup(spread.groupBy("hub", "chunk")).applyInArrow(_prefixes, PREFIX_DDL)
     entries = written(made.select("cell", F.struct("node", "root", "e", "far", "rest").alias("x")), "pivot-prefixes")

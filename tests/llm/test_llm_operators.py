@@ -148,6 +148,40 @@ def test_near_duplicates_of_a_template_against_brute_force(spark):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
+def test_near_duplicates_leave_out_edits_of_one_text(spark, monkeypatch):
+    r, base, rows = random.Random(5), words(300, 41), []
+    for k in range(300):  # 5 to 24 words replaced by words of the text's own, and a second edit of some of them
+        copy = base.copy()
+        for j in range(r.randint(5, 24)):
+            copy[r.randrange(300)] = f"own{k}x{j}"
+        rows.append((len(rows), " ".join(copy)))
+        if k % 3 == 0:
+            for j in range(9):
+                copy[r.randrange(300)] = f"more{k}x{j}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if both / (len(sets[i]) + len(sets[j]) - both) >= 0.8:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    stored, made = neardup.written, {}
+    def written(df, what):
+        out = stored(df, what)
+        if what in ("pivot-members", "pivot-prefixes"):
+            made[what] = out.agg({"first": "sum"} if what == "pivot-members" else {"*": "count"}).first()[0]
+        return out
+    monkeypatch.setattr(neardup, "written", written)
+    got = {x.doc_id: x.class_id for x in neardup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(rows))} and len(set(got.values())) > 50
+    assert made["pivot-members"] > 10_000 and made["pivot-prefixes"] < made["pivot-members"] / 2, made
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     h = mix(rng.integers(0, 2**63, 900, dtype=np.uint64))
